@@ -1,18 +1,22 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB equivalents."""
 
-from quillspark.llm import fingerprint, langid, line_dedup, mixing, ngram_join, vector_dedup
+from quillspark.llm import fingerprint, langid, licenses, line_dedup, mixing, ngram_join, pieces, toxicity, vector_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_embedding_near_dedup": vector_dedup.query,
+    "op3_license_scan": licenses.query,
     "op4_line_dedup": line_dedup.query,
+    "op5_toxicity": toxicity.query,
     "op6_source_mixing": mixing.query,
+    "op7_sentencepiece": pieces.query,
     "op9_language_id": langid.query,
     "op10_document_fingerprints": fingerprint.query,
 }
 
 ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": vector_dedup.ORACLE,
+    "op3_license_scan": licenses.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
 }
