@@ -1,6 +1,6 @@
 """The subpackage's queries and, where SQL can express them, their DuckDB equivalents."""
 
-from quillspark.llm import fingerprint, langid, licenses, line_dedup, mixing, ngram_join, pieces, toxicity, vector_dedup
+from quillspark.llm import fingerprint, langid, licenses, line_dedup, mixing, ngram_join, pieces, suffix_dedup, toxicity, vector_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_toxicity": toxicity.query,
     "op6_source_mixing": mixing.query,
     "op7_sentencepiece": pieces.query,
+    "op8_suffix_array_dedup": suffix_dedup.query,
     "op9_language_id": langid.query,
     "op10_document_fingerprints": fingerprint.query,
 }
