@@ -52,7 +52,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """(id, size, source_size, target, taken) for every document.
+    """(id, size, source_size, target, taken, copies) for every document.
 
     A source takes each document floor(target / source_size) times, and once more those whose
     hash is under its threshold; the threshold is the one that comes nearest to the rest.
@@ -94,13 +94,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     t = t.join(found, t["source"].eqNullSafe(found["source"]), "left").select(t["source"], "source_size", "target", "whole", F.when(F.col("rest") > 0, cut).otherwise(F.lit(0)).alias("cut"))
     once = (F.col("h") < F.col("cut")).cast("long")
     return sized.join(t, sized["source"].eqNullSafe(t["source"])).select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("whole") + once)).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("whole") + once)).alias("taken"), (F.col("whole") + once).alias("copies")
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents, weights 5, 2, 1 repeating, 150 % of all words, no source over 2 times its own."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")
 
 
 ORACLE = r"""
