@@ -1,8 +1,55 @@
-"""A cleaning pipeline for training documents; each stage applies one operator of quillspark.llm."""
+"""A cleaning pipeline for training documents; each stage applies one operator of quillspark.llm.
 
-from quillspark.llm import shared
+A stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return the
+columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
+"""
 
-STAGES = []
+from pyspark.sql import functions as F
+
+from quillspark.llm import line_dedup, mixing, ngram_join, pieces, shared, toxicity
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Documents whose toxicity reaches the threshold go; the network learns from the labels table."""
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.with_scores(docs, net, name="quill_toxicity")
+    return scored.where(F.col("quill_toxicity") < toxicity.THRESHOLD).drop("quill_toxicity")
+
+
+def drop_repeated_lines(spark, docs, sf_dir):
+    """Lines that are similar to an earlier one go; every document stays, if only with an empty text."""
+    out = line_dedup.line_dedup(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """Of each group of near copies (five words, 0.8 or more) the document with the smallest id stays."""
+    found = ngram_join.ngram_jaccard_join(docs, k=5, num=80, den=100)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """A document stands in the result as often as the mix takes it: not at all, once or twice."""
+    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("quill_id"), "copies").distinct()
+    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("quill_id")))
+    return taken.withColumn("quill_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def encode(spark, docs, sf_dir):
+    """Piece ids of every text, with the scores of its best segmentations."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("source_mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+
+#: SQL can't express the trained network and the segmentation lattice.
 ORACLE_SQL = None
 
 
