@@ -5,7 +5,8 @@ from __future__ import annotations
 import ast
 
 import pandas as pd
-from pyspark.sql import functions as F
+
+from quillspark.functions.arrow import arrow_udf
 
 #: Names that stand for a language; others are taken as they are.
 ALIASES = {"py": "python", "python3": "python", "js": "javascript", "ts": "typescript", "rb": "ruby", "golang": "go", "sh": "bash", "shell": "bash", "yml": "yaml", "c++": "cpp", "rs": "rust"}
@@ -80,11 +81,11 @@ def code_metadata(code: str | None, language: str | None = "python") -> dict:
     return out | {"success": True}
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def valid_language_udf(code: pd.Series, hint: pd.Series) -> pd.Series:
     return pd.Series([valid_language(c, h) for c, h in zip(code, hint, strict=True)])
 
 
-@F.pandas_udf("struct<success:boolean,functions:array<string>,parameters:array<string>,docstrings:array<string>,classes:array<string>,assigned:array<string>,tries:int,comprehensions:int>")
+@arrow_udf("struct<success:boolean,functions:array<string>,parameters:array<string>,docstrings:array<string>,classes:array<string>,assigned:array<string>,tries:int,comprehensions:int>")
 def code_metadata_udf(code: pd.Series, language: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([code_metadata(c, x) for c, x in zip(code, language, strict=True)], columns=["success", "functions", "parameters", "docstrings", "classes", "assigned", "tries", "comprehensions"])

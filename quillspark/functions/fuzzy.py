@@ -44,9 +44,26 @@ def ratio_udf(keyword: str):
     return best
 
 
-def partial_udf(keyword: str):
+def partial_udf(keyword: str, least: float = 0.0):
+    """Column function: the partial ratio of a keyword with a text, 0 where it is below ``least``.
+
+    A stretch that isn't equal to the keyword lacks a character of n, at the text's edge at best:
+    2(n - 1) / (2n - 1).  Where that is below ``least``, only texts that hold the keyword count.
+    """
+    word = keyword.lower()
+    equal_only = len(word) > 0 and 200.0 * (len(word) - 1) / (2 * len(word) - 1) < least
+
     @F.pandas_udf("double")
     def best(text: pd.Series) -> pd.Series:
-        return pd.Series([partial_ratio(keyword.lower(), t.lower()) if t is not None else 0.0 for t in text])
+        def one(t):
+            if t is None:
+                return 0.0
+            t = t.lower()
+            if word in t:
+                return 100.0
+            score = 0.0 if equal_only and len(t) >= len(word) else partial_ratio(word, t)
+            return score if score >= least else 0.0
+
+        return pd.Series([one(t) for t in text])
 
     return best

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrow import arrow_udf
 from quillspark.functions.jsontext import is_json_like
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -241,7 +242,7 @@ def html_blocks(html: str | None) -> list[dict]:
     return sorted(out, key=lambda b: (b["start_line"] is None, b["start_line"] or 0))
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def page_text_udf(html: pd.Series) -> pd.Series:
     return html.map(page_text)
 
@@ -254,6 +255,6 @@ def selected_udf(selector: str):
     return run
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def links_udf(html: pd.Series) -> pd.Series:
     return html.map(links)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrow import arrow_udf
+
 
 def is_json_like(text: str | None) -> bool:
     """An object or array that parses; bare scalars aren't."""
@@ -44,7 +46,8 @@ def _repair(text: str) -> str:
             stack.append("}" if c == "{" else "]")
         elif c in "}]" and stack:
             stack.pop()
-    return t + '"' * quoted + "".join(reversed(stack))
+    closed = t.rstrip().removesuffix(",") if stack and not quoted else t
+    return closed + '"' * quoted + "".join(reversed(stack))
 
 
 def clean_json(text: str | None):
@@ -54,6 +57,8 @@ def clean_json(text: str | None):
     tries = [text]
     if m := re.search(r"(\[.*\]|\{.*\})", text, re.S):
         tries.append(m[1])
+    elif m := re.search(r"[\[{].*", text, re.S):  # cut off before its end
+        tries.append(m[0])
     tries.append(_repair(tries[-1]))
     for t in tries:
         try:
@@ -108,13 +113,13 @@ def search(value, terms, mode: str) -> tuple[float, list[str], list[str]]:
     return len(found) / len(set(want)), sorted(found), sorted(places)
 
 
-RESULT = "score double, matched array<string>, paths array<string>"
+RESULT = "struct<score:double,matched:array<string>,paths:array<string>>"
 
 
 def search_udf(terms, mode: str):
     """Column function over JSON text; text that doesn't parse scores 0."""
 
-    @F.pandas_udf(f"struct<{RESULT.replace(' ', ':', 1).replace(', matched ', ',matched:').replace(', paths ', ',paths:')}>")
+    @F.pandas_udf(RESULT)
     def run(text: pd.Series) -> pd.DataFrame:
         rows = []
         for t in text:
@@ -127,7 +132,7 @@ def search_udf(terms, mode: str):
     return run
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def clean_json_udf(text: pd.Series) -> pd.Series:
     """JSON text of the cleaned value; the text itself where nothing parses."""
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.arrow import arrow_udf
+
 #: File suffixes that are kept and those that can be searched.
 KEPT_SUFFIXES = [".html", ".htm", ".md", ".rst", ".txt", ".json", ".xml"]
 LOCAL_SUFFIXES = [".local", ".internal", ".localhost", ".lan", ".home.arpa"]
@@ -64,7 +66,7 @@ def followable(href: Column) -> Column:
     return ~F.trim(F.lower(href)).rlike("^(#|javascript:|mailto:|tel:)") & (F.trim(href) != "")
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def joined(base: pd.Series, href: pd.Series) -> pd.Series:
     """The absolute form of a link; null where it has none."""
 
@@ -77,7 +79,7 @@ def joined(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)])
 
 
-@F.pandas_udf("boolean")
+@arrow_udf("boolean")
 def _private_address(host: pd.Series) -> pd.Series:
     def one(h):
         try:
