@@ -37,8 +37,8 @@ from quillspark.llm import textkit as tk
 U64 = np.uint64
 WIDTH, GRAM = 50, 24
 REACH = WIDTH - GRAM  # bytes that a string can stand out beyond its minimiser, to either side
-#: Anchors that a map task holds before it sends them on; symbols of one shard.
-HELD, SHARD = 3_000_000, 1 << 21
+#: Symbols of one merge (whole groups of segments with one minimiser), and of one shard.
+MERGED, SHARD = 1 << 17, 1 << 21
 _NONE = U64(2**64 - 1)
 
 
@@ -66,7 +66,8 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, h[place]
 
 
-# Stage 1: (bucket, kind, keys, ids) rows; kind 0 is to be met with others, kind 1 is settled.
+# Stage 1: (bucket, kind, keys, ids) rows; kind 0 is to be met with others, kind 1 is settled,
+# kind 2 names a whole copy.  Keys of anchors are sent as the upper 48 bits of their hashes.
 _PACKED = "bucket long, kind int, keys binary, ids binary"
 
 
@@ -83,6 +84,17 @@ def _deal(where: np.ndarray, kind: int, keys: np.ndarray, ids: np.ndarray) -> pa
     return _packed(where[cut], np.full(len(cut), kind), [keys[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], [ids[i:j].tobytes() for i, j in zip(cut, ends, strict=True)])
 
 
+def _short(keys: np.ndarray) -> np.ndarray:
+    """6 bytes for each hash."""
+    return (keys >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _long(parts: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(parts) // 6, 8), np.uint8)
+    out[:, :6] = parts.reshape(-1, 6)
+    return out.view(U64).reshape(-1)
+
+
 def _pairs(keys: np.ndarray, ids: np.ndarray):
     """Distinct (key, id) pairs in order, where each key starts, and whether it has several ids."""
     order = np.lexsort((ids, keys))
@@ -94,29 +106,29 @@ def _pairs(keys: np.ndarray, ids: np.ndarray):
     return keys, ids, first, np.bincount(group)[group] > 1 if len(keys) else first
 
 
+def _ids(table: pa.Table, kind: int) -> np.ndarray:
+    """Ids as Spark's hexadecimal digits give them: big-endian longs."""
+    return np.frombuffer(b"".join(x.as_py() for x, k in zip(table.column("ids"), table.column("kind").to_pylist(), strict=True) if k == kind), dtype=">i8").astype(np.int64)
+
+
 def _collect(buckets: int):
-    def send(held, turn):
+    """The anchors of a bucket of documents that aren't whole copies."""
+
+    def run(key, docs, copies):
+        ids = docs.column("id").to_numpy(zero_copy_only=False)
+        skip = np.isin(ids, _ids(copies, 2)) if copies.num_rows else np.zeros(len(ids), bool)
+        data, offs = tk.utf8(docs.column("text"))
+        held = [(np.zeros(0, U64), np.zeros(0, np.int64))]
+        for at, to in tk.chunks(offs):
+            o = offs[at : to + 1] - offs[at]
+            place, h = anchors(data[offs[at] : offs[to]], o)
+            row = at + np.searchsorted(o, place, side="right") - 1
+            held.append((h[~skip[row]], ids[row[~skip[row]]]))
         keys, ids, first, several = _pairs(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
-        yield _deal((keys[first] % U64(buckets)).astype(np.int64), 0, keys[first], ids[first])
+        out = [_deal((keys[first] % U64(buckets)).astype(np.int64), 0, _short(keys[first]), ids[first])]
         if several.any():  # known to be shared already; any bucket will do
-            yield _deal(np.full(int(several.sum()), turn % buckets, np.int64), 1, keys[several], ids[several])
-
-    def run(batches):
-        held, total, turn = [], 0, 0
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            turn += int(ids[0]) if len(ids) else 0
-            data, offs = tk.utf8(batch.column(1))
-            for at, to in tk.chunks(offs):
-                o = offs[at : to + 1] - offs[at]
-                place, h = anchors(data[offs[at] : offs[to]], o)
-                held.append((h, ids[at + np.searchsorted(o, place, side="right") - 1]))
-                total += len(h)
-                if total > HELD:
-                    yield from send(held, turn)
-                    held, total, turn = [], 0, turn + 1
-        if held:
-            yield from send(held, turn)
+            out.append(_deal(np.full(int(several.sum()), key[0].as_py(), np.int64), 1, _short(keys[several]), ids[several]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -131,10 +143,10 @@ def _shared(buckets: int):
 
     def run(key, table):
         kind = table.column("kind").to_numpy()
-        keys, ids, _, several = _pairs(_read(table, "keys", kind, 0, U64), _read(table, "ids", kind, 0, np.int64))
-        keys = np.concatenate((keys[several], _read(table, "keys", kind, 1, U64)))
+        keys, ids, _, several = _pairs(_long(_read(table, "keys", kind, 0, np.uint8)), _read(table, "ids", kind, 0, np.int64))
+        keys = np.concatenate((keys[several], _long(_read(table, "keys", kind, 1, np.uint8))))
         ids = np.concatenate((ids[several], _read(table, "ids", kind, 1, np.int64)))
-        return pa.Table.from_batches([_deal(ids % buckets, 0, keys, ids)])
+        return pa.Table.from_batches([_deal(ids % buckets, 0, np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]), ids)])
 
     return run
 
@@ -154,7 +166,7 @@ def _cut(buckets: int):
         ids = docs.column("id").to_numpy(zero_copy_only=False)
         data, offs = tk.utf8(docs.column("text"))
         kind = shared.column("kind").to_numpy() if shared.num_rows else np.zeros(0)
-        want_key, want_id = (_read(shared, "keys", kind, 0, U64), _read(shared, "ids", kind, 0, np.int64)) if shared.num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
+        want_key, want_id = (_long(_read(shared, "keys", kind, 0, np.uint8)), _read(shared, "ids", kind, 0, np.int64)) if shared.num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
         empty = pa.table({n: pa.array([], t) for n, t in zip(_NAMES, (pa.int64(), pa.int32(), *[pa.binary()] * 6), strict=True)})
         if not len(want_key) or not len(data):
             return empty
@@ -164,7 +176,7 @@ def _cut(buckets: int):
             o = offs[at : to + 1] - offs[at]
             place, h = anchors(data[offs[at] : offs[to]], o)
             owner = ids[at + np.searchsorted(o, place, side="right") - 1]
-            mark = tk.mix(h + tk.mix(owner.view(U64)))
+            mark = tk.mix((h >> U64(16)) + tk.mix(owner.view(U64)))
             row = np.minimum(np.searchsorted(want, mark), len(want) - 1)
             good = want[row] == mark
             places.append(place[good] + offs[at])
@@ -236,32 +248,53 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
 
 
 def transform(text: np.ndarray, ends: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's suffix order and its Burrows-Wheeler transform (0 before a string's start)."""
+    """A shard's suffix order and its Burrows-Wheeler transform, two symbols deep.
+
+    Before a string's start stands its end, and before that its last symbol.
+    """
     order = suffix_order(text, ends, depth)
-    before = np.concatenate(([0], text[:-1]))
-    before[starts] = 0
-    return order, before[order]
+    place = np.arange(len(text))
+    back = np.where(place == starts_of(ends, starts), ends, place - 1)
+    one = text[back].astype(np.uint16)
+    two = one[back]
+    return order, ((two << np.uint16(8)) | one)[order]
+
+
+def starts_of(ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.repeat(starts, np.diff(np.concatenate((starts, [len(ends)]))))
 
 
 def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' transforms, and the length of the common prefix ahead of each place.
 
-    Both by ``depth`` rounds of refinement; common prefixes are cut off at ``depth``.
+    A shard's transform has, for each suffix in order, the two symbols before it (the string's
+    end stands before its start), the further one in the upper byte; so a round of refinement
+    adds two symbols, and common prefixes are known to even lengths, ``depth`` at most.
     """
     sizes = [len(x) for x in shards]
     total = sum(sizes)
     kind = np.uint8 if len(shards) < 256 else np.uint16
-    z = np.repeat(np.arange(len(shards), dtype=kind), sizes)
-    flat = np.concatenate(shards).astype(np.uint8)
-    zeros = [int((x == 0).sum()) for x in shards]
-    dollars = sum(zeros)
-    head = np.repeat(np.arange(len(shards), dtype=kind), zeros)
+    which = np.arange(len(shards), dtype=kind)
+    z = np.repeat(which, sizes)
+    flat = np.concatenate(shards)
+    # Suffixes that start with a string's end, or a symbol and the end, have a fixed order: that
+    # of the strings, so the shards stand one after the other, and none equals another.
+    ends = [np.bincount(x >> 8, minlength=1)[0] for x in shards]
+    dollars = int(sum(ends))
+    fixed = [(0, np.repeat(which, ends))]
+    codes, where = np.unique(np.sort(flat), return_index=True)
+    for code, at in zip(codes.tolist(), where.tolist(), strict=True):
+        if code > 255 and not code & 255:
+            fixed.append((at, np.repeat(which, [int((x == code).sum()) for x in shards])))
+    lone = np.zeros(total, bool)
+    for at, run in fixed:
+        lone[at : at + len(run)] = True
+        lone[min(at + len(run), total - 1)] = True
     block = np.zeros(total, np.int32)
     prefix = np.full(total, depth, np.int16)
-    symbol = np.empty(total, np.uint8)
+    symbol = np.empty(total, np.uint16)
     known = np.zeros(total, bool)
-    change = np.empty(total, bool)
-    for k in range(depth):
+    for k in range(0, depth, 2):
         if len(shards) == 2:
             second = z.view(bool)
             symbol[~second], symbol[second] = flat[: sizes[0]], flat[sizes[0] :]
@@ -269,21 +302,17 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
             symbol[np.argsort(z, kind="stable")] = flat
         order = np.argsort(symbol, kind="stable")
         s, b = symbol[order], block[order]
+        change = lone.copy()
         change[0] = True
-        np.not_equal(s[1:], s[:-1], out=change[1:])
-        change[1:] |= b[1:] != b[:-1]
-        change[:dollars] = True  # the ends of strings differ from one another
-        if dollars < total:
-            change[dollars] = True
+        change[1:] |= (s[1:] != s[:-1]) | (b[1:] != b[:-1])
         z = z[order]
-        z[:dollars] = head
-        fresh = change & ~known
-        prefix[fresh] = k
+        for at, run in fixed:
+            z[at : at + len(run)] = run
+        prefix[change & ~known] = k
         known |= change
         np.cumsum(change, out=block)
-        if change.all():
+        if dollars == total or change.all():
             break
-    prefix[0] = 0
     return z, prefix
 
 
@@ -324,6 +353,26 @@ def _recode(text: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray
     return out
 
 
+def _share(some, raw, text_at, text_size, count, begin, smallest, cover) -> None:
+    """Lower ``cover`` to the smallest document of each interval of equal strings of some segments."""
+    if len(some) < 2:
+        return
+    lens = text_size[some]
+    flat = np.repeat(text_at[some], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+    place, interval = repeated(raw[flat], lens)
+    first = np.concatenate(([0], np.cumsum(lens + 1)))
+    string = np.searchsorted(first, place, side="right") - 1
+    inner = place - first[string]
+    use = inner < count[some[string]]
+    seg, inner, interval = some[string[use]], inner[use], interval[use]
+    if not len(interval):
+        return
+    low = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, interval, smallest[seg])
+    slot = begin[seg] + inner
+    cover[slot] = np.minimum(cover[slot], low[interval])
+
+
 def _settle(buckets: int):
     """The starts that smaller documents cover, dealt by the documents' buckets."""
 
@@ -344,20 +393,31 @@ def _settle(buckets: int):
             begin = np.concatenate(([0], np.cumsum(count)))
             cover = np.repeat(smallest, count)  # for each string of each segment, its smallest document
             _, group, members = np.unique(h[pick], return_inverse=True, return_counts=True)
-            mixed = np.flatnonzero(members[group] > 1)
-            if len(mixed):
-                lens = size[pick[mixed]]
-                flat = np.repeat(at[pick[mixed]], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-                place, interval = repeated(raw[flat], lens)
-                first = np.concatenate(([0], np.cumsum(lens + 1)))
-                string = np.searchsorted(first, place, side="right") - 1
-                inner = place - first[string]
-                use = inner < count[mixed[string]]
-                seg, inner, interval = mixed[string[use]], inner[use], interval[use]
-                low = np.full(int(interval.max()) + 1, np.iinfo(np.int64).max)
-                np.minimum.at(low, interval, smallest[seg])
-                slot = begin[seg] + inner
-                cover[slot] = np.minimum(cover[slot], low[interval])
+            # A string that two segments share goes REACH / 2 bytes or more beyond the minimiser to
+            # the left or to the right: without a partner on either side there is nothing to share.
+            text_at, text_left, text_size = at[pick], left[pick], size[pick]
+            prefix, half = tk.prefix_hash(raw), REACH // 2
+            middle = text_at + text_left
+            partner = np.zeros(len(pick), bool)
+            for low, high in ((middle - half, middle + GRAM), (middle, middle + GRAM + half)):
+                fits = (low >= text_at) & (high <= text_at + text_size)
+                rows = np.flatnonzero(fits)
+                side = tk.span_hash(prefix, low[rows], high[rows])
+                _, inv, n = np.unique(side, return_inverse=True, return_counts=True)
+                partner[rows] |= n[inv] > 1
+            mixed = np.flatnonzero((members[group] > 1) & partner)
+            mixed = mixed[np.argsort(group[mixed], kind="stable")]
+            # One merge takes whole groups, MERGED symbols or one group.
+            lens = text_size[mixed] + 1
+            last = np.concatenate((group[mixed][1:] != group[mixed][:-1], [True])) if len(mixed) else np.zeros(0, bool)
+            total, at_group = np.cumsum(lens), np.flatnonzero(last)
+            begin_at = 0
+            while begin_at < len(mixed):
+                done = total[begin_at] - lens[begin_at]
+                j = int(np.searchsorted(total[at_group], done + MERGED, side="right"))
+                stop = int(at_group[max(j - 1, int(np.searchsorted(at_group, begin_at)))]) + 1
+                _share(mixed[begin_at:stop], raw, text_at, text_size, count, begin, smallest, cover)
+                begin_at = stop
             # Each segment's place in each document: the starts that a smaller document covers.
             bits = np.zeros(len(h), U64)
             for s in range(REACH + 1):
@@ -394,6 +454,8 @@ def _remove(with_text: bool):
                 step[: len(data) + 1] += np.bincount(at[on] + s, minlength=len(data) + 1)[: len(data) + 1].astype(np.int32)
                 step -= np.bincount(at[on] + s + WIDTH, minlength=len(data) + 1)[: len(data) + 1].astype(np.int32)
         gone = np.cumsum(step[:-1]) > 0
+        if found.num_rows and len(whole := _ids(found, 2)):
+            gone |= np.repeat(np.isin(np.array([-1 if i is None else i for i in ids], dtype=np.int64), whole), np.diff(offs))
         stay = ~gone
         run_start = gone.copy()
         run_start[1:] &= ~gone[:-1]
@@ -422,14 +484,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = rows.where("id is not null and octet_length(text) >= 50")
-    anchored = known.mapInArrow(_collect(buckets), _PACKED)
-    shared = anchored.groupBy("bucket").applyInArrow(_shared(buckets), _PACKED)
+    known = rows.where("id is not null and octet_length(text) >= 50").select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    firsts = known.groupBy("h1", "h2").agg(F.min("id").alias("least"))
+    copies = known.join(firsts, ["h1", "h2"]).where("id > least")
+    copies = copies.select(F.pmod("id", F.lit(buckets).cast("long")).alias("bucket"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("keys"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("ids"))
     placed = rows.withColumn("bucket", F.coalesce(F.pmod("id", F.lit(buckets).cast("long")), F.lit(0).cast("long")))
-    by_doc = placed.groupBy("bucket")
+    by_doc = placed.groupBy("bucket")  # one exchange of the texts serves all three steps
+    anchored = by_doc.cogroup(copies.groupBy("bucket")).applyInArrow(_known_only(_collect(buckets)), _PACKED)
+    shared = anchored.groupBy("bucket").applyInArrow(_shared(buckets), _PACKED)
     segments = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(_known_only(_cut(buckets)), _SEGMENTS)
     found = segments.groupBy("bucket").applyInArrow(_settle(buckets), _PACKED)
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    found = found.unionByName(copies)
     return by_doc.cogroup(found.groupBy("bucket")).applyInArrow(_remove(with_text), out).withColumnRenamed("id", id_col)
 
 
