@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.lineage import settled
 from quillspark.operators.search import check_parameters
 
 
@@ -27,6 +28,7 @@ def traverse(edges: DataFrame, starts: DataFrame, least: int = 1, most: int = 1,
     for depth in range(1, most + 1):
         level = level.join(e, level["vertex"] == e["a"]).where(~F.array_contains("path", F.col("edge")))
         level = level.select("start", F.col("b").alias("vertex"), F.col("edge").alias("last"), F.array_append("path", F.col("edge")).alias("path"))
+        level = settled(level) if depth < most else level
         if depth >= least:
             out.append(level.withColumn("depth", F.lit(depth)))
     rows = out[0]
@@ -39,20 +41,14 @@ def traverse(edges: DataFrame, starts: DataFrame, least: int = 1, most: int = 1,
 def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, most: int, page: str = "url", src: str = "src", dst: str = "dst", status: str = "status") -> DataFrame:
     """(url, depth, status) breadth-first: each page once, at its least depth.
 
-    Links are followed from pages whose status is success only; unknown pages fail.  The
-    visited pages are written after every level where a checkpoint folder is set.
+    Links are followed from pages whose status is success only; unknown pages fail.  Each level
+    is computed once.
     """
-    spark = pages.sparkSession
-    durable = spark.conf.get("spark.checkpoint.dir", None)
-    if durable and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(durable)
     known = pages.select(F.col(page).alias("url"), F.col(status).alias("status"))
     visit = lambda urls, depth: urls.join(known, "url", "left").select("url", F.lit(depth).alias("depth"), F.coalesce("status", F.lit("failed_request")).alias("status"))
     visited = frontier = visit(seeds.select(F.col(seeds.columns[0]).alias("url")).distinct(), 0)
     for depth in range(1, most + 1):
         nxt = frontier.where("status = 'success'").join(links, F.col("url") == F.col(src)).select(F.col(dst).alias("url")).distinct()
-        frontier = visit(nxt.join(visited, "url", "left_anti"), depth)
-        if durable:
-            frontier = frontier.checkpoint()
+        frontier = settled(visit(nxt.join(visited, "url", "left_anti"), depth))
         visited = visited.unionByName(frontier)
     return visited

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,32 +76,37 @@ def issues(tables: DataFrame, threshold: float = 80.0) -> DataFrame:
     return tables.withColumn("issues", found).withColumn("accepted", F.size("issues") == 0)
 
 
-MERGED = "doc_id long, table_id long, merged array<long>, rows int, first_page int, last_page int"
-
-
 def merge_adjacent(tables: DataFrame, doc: str = "doc_id", order: str = "table_id", ratio: float = 0.5) -> DataFrame:
     """Neighbouring tables of a document that continue one another, joined greedily in pairs.
 
     A pair fits when columns are equal, row counts are like (or one is a lone header) and the
-    second follows on the same or the next page; both are passed over after a merge.  The tests
-    are native, on the next table of the document; only the fold over the marks is Python.
+    second follows on the same or the next page; both are passed over after a merge.  In a run of
+    fitting neighbours the greedy rule takes every second one, so the place in the run decides
+    and no fold is needed.
     """
     w = Window.partitionBy(doc).orderBy(order)
     nxt = lambda c: F.lead(c).over(w)
     close = F.abs(F.col("rows") - nxt("rows")) / F.greatest(F.col("rows"), nxt("rows"))
     fits = (F.col("columns") == nxt("columns")) & ((close <= ratio) | (F.col("rows") == 1) | (nxt("rows") == 1)) & (nxt("page") - F.col("page")).between(0, 1)
-    marked = tables.select(F.col(doc).alias("doc_id"), F.col(order).alias("table_id"), "rows", "page", F.coalesce(fits, F.lit(False)).alias("fits"))
-
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        out, i, rows = [], 0, f.sort_values("table_id").to_dict("records")
-        while i < len(rows):
-            step = 2 if rows[i]["fits"] else 1
-            part = rows[i : i + step]
-            out.append((part[0]["doc_id"], part[0]["table_id"], [p["table_id"] for p in part], sum(p["rows"] for p in part), part[0]["page"], part[-1]["page"]))
-            i += step
-        return pd.DataFrame(out, columns=["doc_id", "table_id", "merged", "rows", "first_page", "last_page"])
-
-    return marked.groupBy("doc_id").applyInPandas(fold, MERGED)
+    marked = tables.select(F.col(doc).alias("doc_id"), F.col(order).alias("table_id"), "rows", "page", F.coalesce(fits, F.lit(False)).alias("fits"), F.row_number().over(w).alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("n")
+    broken = F.max(F.when(~F.col("fits"), F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("head", F.col("fits") & ((F.col("n") - F.coalesce(broken, F.lit(0))) % 2 == 1))
+    either = lambda c, other: F.when(F.col("head"), other).otherwise(c)
+    out = marked.select(
+        "doc_id",
+        "table_id",
+        either(F.array("table_id"), F.array(F.col("table_id"), nxt_of("table_id", w))).alias("merged"),
+        either(F.col("rows"), F.col("rows") + nxt_of("rows", w)).alias("rows"),
+        F.col("page").alias("first_page"),
+        either(F.col("page"), nxt_of("page", w)).alias("last_page"),
+        F.coalesce(F.lag("head").over(w), F.lit(False)).alias("taken"),
+    )
+    return out.where("not taken").drop("taken")
+
+
+def nxt_of(column: str, w) -> Column:
+    return F.lead(column).over(w)
 
 
 def surrounding_text(blocks: DataFrame, doc: str, order: str, kind: str, content: str, reach: int = 3) -> DataFrame:

@@ -294,10 +294,16 @@ def best_parameters(spark, d):
     return tb.best_parameters(r).withColumn("mean_quality", F.round("mean_quality", 6))
 
 
-@query()
+@query("""WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS table_id, max(l_quantity)::INTEGER AS rows, l_linenumber AS page, max(l_returnflag) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber),
+f AS (SELECT *, coalesce(c = lead(c) OVER w AND (abs(rows - lead(rows) OVER w) / greatest(rows, lead(rows) OVER w)::DOUBLE <= 0.5 OR rows = 1 OR lead(rows) OVER w = 1) AND lead(page) OVER w - page BETWEEN 0 AND 1, false) AS fits,
+  row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY table_id)),
+h AS (SELECT *, fits AND (n - coalesce(max(CASE WHEN NOT fits THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 2 = 1 AS head FROM f),
+o AS (SELECT doc_id, table_id, CASE WHEN head THEN [table_id, lead(table_id) OVER w] ELSE [table_id] END AS merged, CASE WHEN head THEN rows + lead(rows) OVER w ELSE rows END AS rows,
+  page AS first_page, CASE WHEN head THEN lead(page) OVER w ELSE page END AS last_page, coalesce(lag(head) OVER w, false) AS taken FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n))
+SELECT doc_id, table_id, merged, rows, first_page, last_page FROM o WHERE NOT taken""")
 def merge_tables(spark, d):
-    li = table(spark, d, "lineitem")
-    t = li.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("table_id"), F.col("l_quantity").cast("int").alias("rows"), F.col("l_linenumber").alias("page"), F.array("l_returnflag").alias("columns"))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), "l_linenumber").agg(F.max("l_quantity").cast("int").alias("rows"), F.max("l_returnflag").alias("flag"))
+    t = li.select("doc_id", F.col("l_linenumber").cast("long").alias("table_id"), "rows", F.col("l_linenumber").alias("page"), F.array("flag").alias("columns"))
     return tb.merge_adjacent(t)
 
 
