@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 from urllib.parse import urljoin
+from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -121,3 +122,28 @@ def needs_browser(html: Column) -> Column:
     low = F.lower(html)
     at = F.locate("<body", low)
     return low.rlike("react|vue|angular|svelte") | (F.when(at > 0, F.length(html) - at + 1).otherwise(F.length(html)) < 1500)
+
+
+@arrow_udf("boolean")
+def _robots_allow(url: pd.Series, robots: pd.Series, agent: pd.Series) -> pd.Series:
+    parsed: dict = {}
+
+    def one(u, text, a):
+        if not text:
+            return True
+        if text not in parsed:
+            parsed[text] = RobotFileParser()
+            parsed[text].parse(text.splitlines())
+        return parsed[text].can_fetch(a, u)
+
+    return pd.Series([one(*x) for x in zip(url, robots, agent, strict=True)])
+
+
+def robots_allow(url: Column, robots_text: Column, agent: str = "*") -> Column:
+    """Whether a robots file allows the address; a missing, empty or failed one allows it."""
+    return _robots_allow(url, robots_text, F.lit(agent))
+
+
+def origin(url: Column) -> Column:
+    """Scheme and host, the key of the robots table."""
+    return F.concat(F.lower(_part(url, 1)), F.lit("://"), F.lower(_part(url, 2)))
