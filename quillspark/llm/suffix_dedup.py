@@ -84,17 +84,6 @@ def _deal(where: np.ndarray, kind: int, keys: np.ndarray, ids: np.ndarray) -> pa
     return _packed(where[cut], np.full(len(cut), kind), [keys[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], [ids[i:j].tobytes() for i, j in zip(cut, ends, strict=True)])
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    """6 bytes for each hash."""
-    return (keys >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-
-
-def _long(parts: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(parts) // 6, 8), np.uint8)
-    out[:, :6] = parts.reshape(-1, 6)
-    return out.view(U64).reshape(-1)
-
-
 def _pairs(keys: np.ndarray, ids: np.ndarray):
     """Distinct (key, id) pairs in order, where each key starts, and whether it has several ids."""
     order = np.lexsort((ids, keys))
@@ -125,9 +114,9 @@ def _collect(buckets: int):
             row = at + np.searchsorted(o, place, side="right") - 1
             held.append((h[~skip[row]], ids[row[~skip[row]]]))
         keys, ids, first, several = _pairs(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
-        out = [_deal((keys[first] % U64(buckets)).astype(np.int64), 0, _short(keys[first]), ids[first])]
+        out = [_deal((keys[first] % U64(buckets)).astype(np.int64), 0, tk.short(keys[first]), ids[first])]
         if several.any():  # known to be shared already; any bucket will do
-            out.append(_deal(np.full(int(several.sum()), key[0].as_py(), np.int64), 1, _short(keys[several]), ids[several]))
+            out.append(_deal(np.full(int(several.sum()), key[0].as_py(), np.int64), 1, tk.short(keys[several]), ids[several]))
         return pa.Table.from_batches(out)
 
     return run
@@ -143,10 +132,10 @@ def _shared(buckets: int):
 
     def run(key, table):
         kind = table.column("kind").to_numpy()
-        keys, ids, _, several = _pairs(_long(_read(table, "keys", kind, 0, np.uint8)), _read(table, "ids", kind, 0, np.int64))
-        keys = np.concatenate((keys[several], _long(_read(table, "keys", kind, 1, np.uint8))))
+        keys, ids, _, several = _pairs(tk.unshort(_read(table, "keys", kind, 0, np.uint8)), _read(table, "ids", kind, 0, np.int64))
+        keys = np.concatenate((keys[several], tk.unshort(_read(table, "keys", kind, 1, np.uint8))))
         ids = np.concatenate((ids[several], _read(table, "ids", kind, 1, np.int64)))
-        return pa.Table.from_batches([_deal(ids % buckets, 0, np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]), ids)])
+        return pa.Table.from_batches([_deal(ids % buckets, 0, tk.short(keys << U64(16)), ids)])
 
     return run
 
@@ -166,7 +155,7 @@ def _cut(buckets: int):
         ids = docs.column("id").to_numpy(zero_copy_only=False)
         data, offs = tk.utf8(docs.column("text"))
         kind = shared.column("kind").to_numpy() if shared.num_rows else np.zeros(0)
-        want_key, want_id = (_long(_read(shared, "keys", kind, 0, np.uint8)), _read(shared, "ids", kind, 0, np.int64)) if shared.num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
+        want_key, want_id = (tk.unshort(_read(shared, "keys", kind, 0, np.uint8)), _read(shared, "ids", kind, 0, np.int64)) if shared.num_rows else (np.zeros(0, U64), np.zeros(0, np.int64))
         empty = pa.table({n: pa.array([], t) for n, t in zip(_NAMES, (pa.int64(), pa.int32(), *[pa.binary()] * 6), strict=True)})
         if not len(want_key) or not len(data):
             return empty
@@ -187,10 +176,7 @@ def _cut(buckets: int):
         row = np.searchsorted(offs, place, side="right") - 1
         low, high = np.maximum(place - REACH, offs[row]), np.minimum(place + GRAM + REACH, offs[row + 1])
         left, size = place - low, high - low
-        # The segment's own hash, from its parts, as the prefix sums start anew in each chunk.
-        prefix = np.zeros(len(data) + 1, U64)
-        np.cumsum(tk.BYTE_VALUE[data] * tk.powers(len(data))[0][: len(data)], out=prefix[1:])
-        own = tk.mix(tk.span_hash(prefix, low, high) + h + left.astype(U64) * U64(0x9E3779B97F4A7C15))
+        own = tk.mix(tk.hash_spans(data, low, high) + h + left.astype(U64) * U64(0x9E3779B97F4A7C15))
         order = np.lexsort((place, ids[row], own))
         own, row, low, left, size, h = own[order], row[order], low[order], left[order], size[order], h[order]
         owner, base = ids[row], low - offs[row]
@@ -226,7 +212,7 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(text)
     key = np.zeros(n, U64)
-    for i in range(8):
+    for i in range(min(8, n)):
         symbol = np.zeros(n, U64)
         symbol[: n - i] = text[i:]
         symbol[np.arange(n) + i > ends] = 0
@@ -384,7 +370,7 @@ def _settle(buckets: int):
         left, size, raw = get("left", np.uint8).astype(np.int64), get("size", np.uint8).astype(np.int64), get("bytes", np.uint8)
         if len(h):
             at = np.concatenate(([0], np.cumsum(size)))
-            own = tk.mix(tk.span_hash(tk.prefix_hash(raw), at[:-1], at[1:]) + h + left.astype(U64) * U64(0x9E3779B97F4A7C15))
+            own = tk.mix(tk.hash_spans(raw, at[:-1], at[1:]) + h + left.astype(U64) * U64(0x9E3779B97F4A7C15))
             # Distinct segments with their smallest document.
             _, pick, of = np.unique(own, return_index=True, return_inverse=True)
             smallest = np.full(len(pick), np.iinfo(np.int64).max)
@@ -396,13 +382,13 @@ def _settle(buckets: int):
             # A string that two segments share goes REACH / 2 bytes or more beyond the minimiser to
             # the left or to the right: without a partner on either side there is nothing to share.
             text_at, text_left, text_size = at[pick], left[pick], size[pick]
-            prefix, half = tk.prefix_hash(raw), REACH // 2
-            middle = text_at + text_left
+            half, middle = REACH // 2, text_at + text_left
             partner = np.zeros(len(pick), bool)
             for low, high in ((middle - half, middle + GRAM), (middle, middle + GRAM + half)):
                 fits = (low >= text_at) & (high <= text_at + text_size)
                 rows = np.flatnonzero(fits)
-                side = tk.span_hash(prefix, low[rows], high[rows])
+                rows = rows[np.argsort(low[rows], kind="stable")]
+                side = tk.hash_spans(raw, low[rows], high[rows])
                 _, inv, n = np.unique(side, return_inverse=True, return_counts=True)
                 partner[rows] |= n[inv] > 1
             mixed = np.flatnonzero((members[group] > 1) & partner)
@@ -449,10 +435,13 @@ def _remove(with_text: bool):
             take = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
             at = np.repeat(offs[:-1], hi - lo) + (packed[take] >> U64(27)).astype(np.int64)
             limit = np.repeat(offs[1:], hi - lo)
-            for s in range(REACH + 1):
-                on = ((packed[take] >> U64(s)) & U64(1)).astype(bool) & (at + s + WIDTH <= limit)
-                step[: len(data) + 1] += np.bincount(at[on] + s, minlength=len(data) + 1)[: len(data) + 1].astype(np.int32)
-                step -= np.bincount(at[on] + s + WIDTH, minlength=len(data) + 1)[: len(data) + 1].astype(np.int32)
+            for i in range(0, len(take), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                which, bit = np.nonzero((packed[take[part]][:, None] >> np.arange(REACH + 1, dtype=U64)) & U64(1))
+                starts = at[part][which] + bit
+                starts = starts[starts + WIDTH <= limit[part][which]]
+                np.add.at(step, starts, 1)
+                np.subtract.at(step, starts + WIDTH, 1)
         gone = np.cumsum(step[:-1]) > 0
         if found.num_rows and len(whole := _ids(found, 2)):
             gone |= np.repeat(np.isin(np.array([-1 if i is None else i for i in ids], dtype=np.int64), whole), np.diff(offs))
@@ -482,7 +471,7 @@ def _remove(with_text: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row, and the kept bytes on request."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = rows.where("id is not null and octet_length(text) >= 50").select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
     firsts = known.groupBy("h1", "h2").agg(F.min("id").alias("least"))
@@ -490,13 +479,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = copies.select(F.pmod("id", F.lit(buckets).cast("long")).alias("bucket"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("keys"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("ids"))
     placed = rows.withColumn("bucket", F.coalesce(F.pmod("id", F.lit(buckets).cast("long")), F.lit(0).cast("long")))
     by_doc = placed.groupBy("bucket")  # one exchange of the texts serves all three steps
-    anchored = by_doc.cogroup(copies.groupBy("bucket")).applyInArrow(_known_only(_collect(buckets)), _PACKED)
-    shared = anchored.groupBy("bucket").applyInArrow(_shared(buckets), _PACKED)
-    segments = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(_known_only(_cut(buckets)), _SEGMENTS)
-    found = segments.groupBy("bucket").applyInArrow(_settle(buckets), _PACKED)
+    anchored = by_doc.cogroup(copies.groupBy("bucket")).applyInArrow(_tidy(_known_only(_collect(buckets))), _PACKED)
+    shared = anchored.groupBy("bucket").applyInArrow(_tidy(_shared(buckets)), _PACKED)
+    segments = by_doc.cogroup(shared.groupBy("bucket")).applyInArrow(_tidy(_known_only(_cut(buckets))), _SEGMENTS)
+    found = segments.groupBy("bucket").applyInArrow(_tidy(_settle(buckets)), _PACKED)
     out = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     found = found.unionByName(copies)
-    return by_doc.cogroup(found.groupBy("bucket")).applyInArrow(_remove(with_text), out).withColumnRenamed("id", id_col)
+    return by_doc.cogroup(found.groupBy("bucket")).applyInArrow(_tidy(_remove(with_text)), out).withColumnRenamed("id", id_col)
 
 
 def _known_only(f):
@@ -506,6 +495,22 @@ def _known_only(f):
     return run
 
 
+def _tidy(f):
+    """f, and then freed memory goes back."""
+
+    def one(key, table):
+        out = f(key, table)
+        tk.release()
+        return out
+
+    def two(key, left, right):
+        out = f(key, left, right)
+        tk.release()
+        return out
+
+    return one if f.__code__.co_argcount == 2 else two
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes or more that repeat across documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

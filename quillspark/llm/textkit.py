@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -91,6 +93,18 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts])
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = 1 << 19) -> np.ndarray:
+    """``span_hash`` of short spans in order of their starts, with bounded memory."""
+    out, i = np.zeros(len(starts), U64), 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, low + size)))
+        prefix = prefix_hash(data[low : int(ends[i:j].max())])
+        out[i:j] = span_hash(prefix, starts[i:j] - low, ends[i:j] - low)
+        i = j
+    return out
+
+
 def word_hashes(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all rows (A-Z lower-cased) and the offset of each row's first word."""
     low = LOWER[data]
@@ -129,3 +143,23 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if np.array_equal(up, label):
                 break
             label = up
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of each hash, as 6 bytes."""
+    return np.ascontiguousarray((keys >> U64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def unshort(parts: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(parts) // 6, 8), np.uint8)
+    out[:, :6] = parts.reshape(-1, 6)
+    return out.view(U64).reshape(-1)
+
+
+def release() -> None:
+    """Give freed memory back: workers stay, and other stages share their executors' limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        return
