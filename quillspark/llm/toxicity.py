@@ -45,8 +45,11 @@ class Words:
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         low = tk.LOWER[data]
         starts, ends = tk.spans(~BREAK[low], offs)
-        hashes = tk.span_hash(tk.prefix_hash(low), starts, ends)
         self.first = np.searchsorted(starts, offs)
+        hashes = np.zeros(len(starts), tk.U64)
+        for i, j in tk.chunks(offs):
+            own = slice(self.first[i], self.first[j])
+            hashes[own] = tk.span_hash(tk.prefix_hash(low[offs[i] : offs[j]]), starts[own] - offs[i], ends[own] - offs[i])
         self.hash, at, self.of = np.unique(hashes, return_index=True, return_inverse=True)
         # Trigrams with a mark at both ends, as rows of the character table.
         begin, length = starts[at], ends[at] - starts[at]
@@ -180,12 +183,12 @@ class Net:
 
     def logits(self, words: Words, ids: np.ndarray) -> np.ndarray:
         x, _ = self.inputs(words)
-        return np.concatenate([self.forward(x, ids[i : i + 4096]) for i in range(0, len(ids), 4096)]) if len(ids) else np.zeros(0)
+        return np.concatenate([self.forward(x, ids[i : i + 2048]) for i in range(0, len(ids), 2048)]) if len(ids) else np.zeros(0)
 
     def scores(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """The calibrated highest window score of each text."""
         out = np.zeros(len(offs) - 1)
-        for at, to in tk.chunks(offs, 1 << 20):
+        for at, to in tk.chunks(offs):
             words = Words(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
             ids, text = words.windows()
             if len(ids):
@@ -282,6 +285,7 @@ def with_scores(docs: DataFrame, net: Net | None, text_col: str = "text", name:
         for batch in batches:
             score = net.scores(*tk.utf8(batch.column(place))) if net is not None else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=names)
+        tk.release()
 
     from pyspark.sql import types as T
 
