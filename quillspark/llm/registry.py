@@ -16,8 +16,10 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op2_embedding_near_dedup": vector_dedup.ORACLE,
     "op3_license_scan": licenses.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
     "op6_source_mixing": mixing.ORACLE,
+    "op8_suffix_array_dedup": suffix_dedup.ORACLE,
 }

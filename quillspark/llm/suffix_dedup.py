@@ -514,3 +514,19 @@ def _tidy(f):
 def query(spark, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes or more that repeat across documents."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = """
+WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT doc_id, s, b[s + 1:s + 50] AS w FROM (SELECT doc_id, b, unnest(range(0, n - 49)) AS s FROM bytes)),
+firsts AS (SELECT w, min(doc_id) AS f FROM strings GROUP BY w),
+hits AS (SELECT doc_id, s FROM strings JOIN firsts USING (w) WHERE f < doc_id),
+marked AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER o + 50 THEN 0 ELSE 1 END AS new FROM hits WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+numbered AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS e FROM numbered GROUP BY doc_id, run),
+ends AS (SELECT doc_id, a, e, true AS real FROM runs UNION ALL SELECT doc_id, n, n, false FROM bytes),
+pieces AS (SELECT doc_id, a, e, real, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a, e), 0) AS since FROM ends)
+SELECT p.doc_id, any_value(n)::BIGINT AS n_bytes, coalesce(sum(e - a) FILTER (WHERE real), 0)::BIGINT AS n_removed, count(*) FILTER (WHERE real)::BIGINT AS n_spans,
+       sha256(unhex(string_agg(CASE WHEN a > since THEN hex(b[since + 1:a]) ELSE '' END, '' ORDER BY a, e))) AS kept_sha256
+FROM pieces p JOIN bytes d ON d.doc_id = p.doc_id GROUP BY p.doc_id
+"""
