@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
 from quillspark.llm.components import components
-from quillspark.llm.shared import Table, materialize
+from quillspark.llm.shared import materialize
 
 U64 = np.uint64
 #: Signatures that a map task holds before it sends them on; elements and members of one block.
 HELD, BLOCK_ELEMENTS, BLOCK_MEMBERS = 3_000_000, 700_000, 1024
-KINDS = "kind int, a long, b long, n long, h1 long, h2 long, keys binary, ids binary"
+FOUND = "kind int, a long, b long, n long, h1 long, h2 long"
+KINDS = "bucket long, " + FOUND + ", keys binary, ids binary"
 
 
 class Sizes:
@@ -87,7 +88,10 @@ def _reduce(keys: np.ndarray, ids: np.ndarray):
 
 
 def _sets(k: int, num: int, den: int, buckets: int):
-    """Sets of documents: a row of kind 0 each; kind 1: candidate links; kind 2: signature blocks."""
+    """Sets of documents: a row of kind 0 each; kind 1: candidate links; kind 2: signature blocks.
+
+    Signatures are sent as the upper 48 bits of their hashes; their bucket holds lower ones.
+    """
 
     def table(**cols):
         n = len(next(iter(cols.values())))
@@ -102,13 +106,13 @@ def _sets(k: int, num: int, den: int, buckets: int):
             return
         keys, ids, pairs = _reduce(np.concatenate([x for x, _ in held]), np.concatenate([np.full(len(x), i, np.int64) for x, i in held]))
         if len(pairs):
-            yield table(kind=np.ones(len(pairs), np.int32), a=pairs[:, 0], b=pairs[:, 1])
+            yield table(bucket=pairs[:, 0] % buckets, kind=np.ones(len(pairs), np.int32), a=pairs[:, 0], b=pairs[:, 1])
         b = (keys % U64(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         b, keys, ids = b[order], keys[order], ids[order]
         cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
         ends = [*cut[1:], len(b)]
-        yield table(kind=np.full(len(cut), 2, np.int32), a=b[cut] if len(b) else b, keys=[keys[i:j].tobytes() for i, j in zip(cut, ends, strict=False)], ids=[ids[i:j].tobytes() for i, j in zip(cut, ends, strict=False)])
+        yield table(bucket=b[cut] if len(b) else b, kind=np.full(len(cut), 2, np.int32), keys=[tk.short(keys[i:j]).tobytes() for i, j in zip(cut, ends, strict=False)], ids=[ids[i:j].tobytes() for i, j in zip(cut, ends, strict=False)])
 
     def run(batches):
         sizes, held, total = Sizes(num, den), [], 0
@@ -132,17 +136,24 @@ def _sets(k: int, num: int, den: int, buckets: int):
                         if total > HELD:
                             yield from send(held)
                             held, total = [], 0
-            yield table(kind=np.zeros(len(ids), np.int32), a=ids, n=n, h1=h1, h2=h2)
+            yield table(bucket=number % buckets, kind=np.zeros(len(ids), np.int32), a=ids, n=n, h1=h1, h2=h2)
         yield from send(held)
+        held.clear()
+        tk.release()
 
     return run
 
 
 def _meet(key, table):
-    """Links between the ids that share a signature in one bucket."""
-    keys, ids = (np.concatenate([np.frombuffer(x.as_buffer(), dtype=t) for x in table.column(c)]) for c, t in (("keys", U64), ("ids", np.int64)))
-    pairs = _reduce(keys, ids)[2]
-    return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+    """Links between the ids that share a signature in one bucket; rows of other kinds pass."""
+    kind = table.column("kind").to_numpy()
+    passed = table.filter(pa.array(kind < 2)).select([x.split()[0] for x in FOUND.split(", ")])
+    get = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), dtype=t) for x, k in zip(table.column(c), kind, strict=True) if k == 2)])
+    pairs = _reduce(tk.unshort(get("keys", np.uint8)), get("ids", np.int64))[2]
+    none = pa.nulls(len(pairs), pa.int64())
+    links = pa.table([pa.array(np.ones(len(pairs), np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], schema=passed.schema)
+    tk.release()
+    return pa.concat_tables([passed, links])
 
 
 def _tokens(k: int):
@@ -156,6 +167,7 @@ def _tokens(k: int):
                 words, first = tk.word_hashes(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
                 out += [tk.shingles(words[first[i] : first[i + 1]], k).tobytes() for i in range(to - at)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["id", "blocks", "elements"])
+        tk.release()
 
     return run
 
@@ -223,11 +235,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = Table(rows.mapInArrow(_sets(k, num, den, buckets), KINDS), "sets")
-    sets = made.df.where("kind = 0").select(F.col("a").alias("id"), "n", "h1", "h2")
-
-    met = made.df.where("kind = 2").select(F.col("a").alias("bucket"), "keys", "ids").groupBy("bucket").applyInArrow(_meet, "u long, v long")
-    rough = components(made.df.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(met))
+    made = rows.mapInArrow(_sets(k, num, den, buckets), KINDS).groupBy("bucket").applyInArrow(_meet, FOUND)
+    made = materialize(made, "sets")
+    sets = made.where("kind = 0").select(F.col("a").alias("id"), "n", "h1", "h2")
+    rough = components(made.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     full = sets.where("n > 0 and id is not null")
     rep = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
@@ -247,3 +258,23 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def query(spark, sf_dir: str) -> DataFrame:
     """Three words, a similarity of 0.9 or more, over all documents."""
     return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda j: w[j] || ' ' || w[j + 1] || ' ' || w[j + 2]) END) AS g
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS s FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * s >= 90 * (x.n + y.n - s)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, b.v FROM reach r JOIN both_ways b ON r.other = b.u),
+component AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN component c ON c.node = d.doc_id
+"""

@@ -10,11 +10,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _FALLBACK: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
+_SCOPES: list[list["Table"]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -39,14 +41,26 @@ class Table:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{scratch_dir(self.spark)}/quillspark/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", "snappy").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _MADE.append((self.spark, self.path))
+        if _SCOPES:
+            _SCOPES[-1].append(self)
 
     def drop(self) -> None:
         remove(self.spark, self.path)
 
 
+@contextmanager
+def recording(tables: list[Table]):
+    """Scratch tables made inside are added to a list, so that they can be dropped in time."""
+    _SCOPES.append(tables)
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
