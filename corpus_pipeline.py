@@ -4,11 +4,30 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last r
 columns of ``documents``; ``n_chars`` follows the text where a stage changes it.
 """
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
 from quillspark.llm import line_dedup, mixing, ngram_join, pieces, shared, toxicity
 
 
+_SCRATCH: list = []
+
+
+def stage(f):
+    """A stage that drops the scratch tables of the stage before, whose result is written by now."""
+
+    @wraps(f)
+    def run_stage(spark, docs, sf_dir):
+        while _SCRATCH:
+            _SCRATCH.pop().drop()
+        with shared.recording(_SCRATCH):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@stage
 def drop_toxic(spark, docs, sf_dir):
     """Documents whose toxicity reaches the threshold go; the network learns from the labels table."""
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -16,12 +35,14 @@ def drop_toxic(spark, docs, sf_dir):
     return scored.where(F.col("quill_toxicity") < toxicity.THRESHOLD).drop("quill_toxicity")
 
 
+@stage
 def drop_repeated_lines(spark, docs, sf_dir):
     """Lines that are similar to an earlier one go; every document stays, if only with an empty text."""
     out = line_dedup.line_dedup(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+@stage
 def drop_near_copies(spark, docs, sf_dir):
     """Of each group of near copies (five words, 0.8 or more) the document with the smallest id stays."""
     found = ngram_join.ngram_jaccard_join(docs, k=5, num=80, den=100)
@@ -29,6 +50,7 @@ def drop_near_copies(spark, docs, sf_dir):
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage
 def mix_sources(spark, docs, sf_dir):
     """A document stands in the result as often as the mix takes it: not at all, once or twice."""
     mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("quill_id"), "copies").distinct()
@@ -36,6 +58,7 @@ def mix_sources(spark, docs, sf_dir):
     return taken.withColumn("quill_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
+@stage
 def encode(spark, docs, sf_dir):
     """Piece ids of every text, with the scores of its best segmentations."""
     return pieces.encode(docs)
@@ -56,6 +79,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     """The stages in turn over the documents; each one's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = shared.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for name, f in STAGES[:-1]:
+        docs = shared.materialize(f(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
