@@ -27,7 +27,7 @@ from quillspark.llm import textkit as tk
 
 WINDOW, STRIDE, HIDDEN = 24, 12, 8
 WORD_DIM, CHAR_DIM, CHAR_ROWS, VOCABULARY = 8, 4, 4096, 4096
-TOXIC_ROWS, CLEAN_ROWS, CLEAN_WINDOWS = 1500, 3000, 12_000
+TOXIC_ROWS, CLEAN_ROWS, CLEAN_WINDOWS = 800, 1600, 8_000
 EPOCHS, BATCH, RATE, THRESHOLD = 6, 256, 0.01, 0.7
 #: Words: letters, digits and all bytes beyond ASCII; the rest separates.
 BREAK = np.ones(256, dtype=bool)
@@ -50,7 +50,8 @@ class Words:
         for i, j in tk.chunks(offs):
             own = slice(self.first[i], self.first[j])
             hashes[own] = tk.span_hash(tk.prefix_hash(low[offs[i] : offs[j]]), starts[own] - offs[i], ends[own] - offs[i])
-        self.hash, at, self.of = np.unique(hashes, return_index=True, return_inverse=True)
+        self.hash, at, of = np.unique(hashes, return_index=True, return_inverse=True)
+        self.of = of.astype(np.int32)
         # Trigrams with a mark at both ends, as rows of the character table.
         begin, length = starts[at], ends[at] - starts[at]
         self.tri_first = np.concatenate(([0], np.cumsum(length)))
@@ -77,7 +78,7 @@ class Words:
         pieces = np.where(count == 0, 0, np.maximum(1, -(-(count - (WINDOW - STRIDE)) // STRIDE)))
         text = np.repeat(np.arange(len(count)), pieces)
         inner = np.arange(len(text)) - np.repeat(np.concatenate(([0], np.cumsum(pieces)[:-1])), pieces)
-        place = (self.first[text] + inner * STRIDE)[:, None] + np.arange(WINDOW)[None, :]
+        place = (self.first[text] + inner * STRIDE).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)[None, :]
         inside = place < self.first[text + 1][:, None]
         return np.where(inside, self.of[np.minimum(place, max(0, len(self.of) - 1))] if len(self.of) else -1, -1), text
 
@@ -273,7 +274,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         got = docs.join(F.broadcast(ids), F.col(id_col) == F.col("quill_id"), "left_semi").where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col)).select(F.col(text_col)).collect()
         texts += [r[0] for r in got]
         marks += [mark] * len(got)
-    return train(texts, marks)
+        del got
+    net = train(texts, marks)
+    del texts
+    tk.release()
+    return net
 
 
 def with_scores(docs: DataFrame, net: Net | None, text_col: str = "text", name: str = "score") -> DataFrame:
