@@ -11,7 +11,10 @@ then by place, is removed.  Lines of fewer than ``k`` words are left alone.
    place of each, so thousands of copies become one row per map task.
 3. *Join.*  With n tokens a line enters the index with its first n - ceil(t * n) + 1 tokens.
    Pairs meet on such a token and must pass the length filter and the positional filter: the
-   tokens before and after the common one must still allow the overlap that t asks for.
+   tokens before and after the common one must still allow the overlap that t asks for.  First
+   each line meets only the most copied line of each of its tokens; those that it covers are
+   settled, so a large family of near copies isn't spread to all its pairs.  Lines that are left
+   meet all earlier ones.
 4. *Verification* on the whole token sets, fetched for the candidates only.
 
 Null texts stay null, empty texts empty, and blank lines stay.  Null ids stand after all
@@ -21,9 +24,10 @@ at the same place.  Tokens are 56-bit hashes.
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.fingerprint import let
@@ -36,9 +40,10 @@ _LAST = (1 << 63) - 1
 
 def tokens(line: Column, k: int) -> Column:
     """The hashes of a line's k-word shingles, repeated ones included; none for fewer words."""
-    words = F.filter(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    grams = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (k - 1)), lambda j: F.xxhash64(F.slice(h, j, k)).bitwiseAND(F.lit(_MASK)))
+    words = F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    hashed = F.transform(F.filter(words, lambda w: w != "") if k == 1 else words, lambda w: F.xxhash64(w))
+    gram = lambda h: lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
+    grams = lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - (k - 1)), gram(h))
     return let(hashed, lambda h: F.when(F.size(h) < k, F.array().cast("array<bigint>")).otherwise(grams(h)))
 
 
@@ -46,21 +51,26 @@ def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
-def rarity_classes(rows: DataFrame, k: int) -> bytes:
-    """The class of each hash bucket over all lines, one byte each."""
+def rarity_classes(rows: DataFrame, k: int) -> list[int]:
+    """The class of each hash bucket over all lines."""
     token = _lines(rows).select(F.explode(tokens(F.col("line"), k)).alias("t"))
-    counts = token.groupBy(F.pmod("t", F.lit(BUCKETS)).alias("bucket")).count()
-    out = bytearray(BUCKETS)
+    counts = token.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    out = [0] * BUCKETS
     for bucket, n in counts.collect():  # BUCKETS rows at most
         out[bucket] = min(127, 1 + int(4 * math.log2(n)))
-    return bytes(out)
+    return out
 
 
-def ranked(line: Column, k: int, classes: bytes) -> Column:
+def ranked(line: Column, k: int, classes: list[int]) -> Column:
     """A line's distinct tokens in order of rarity; class and hash packed in one long."""
-    table = F.lit(classes)
-    key = lambda t: F.shiftleft(F.ascii(F.substring(table, F.pmod(t, F.lit(BUCKETS)).cast("int") + 1, 1).cast("string")).cast("long"), HASH_BITS).bitwiseOR(t)
-    return F.sort_array(F.transform(F.array_distinct(tokens(line, k)), key))
+    table = F.from_json(F.lit(json.dumps(classes)), "array<int>")  # a constant of the plan
+    place = lambda t: F.get(table, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    key = lambda t: F.shiftleft(place(t), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit(_MASK)))
+    return F.sort_array(F.array_distinct(F.transform(tokens(line, k), key)))
+
+
+def _side(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -77,27 +87,47 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size("tokens").alias("n"),
         F.slice("tokens", F.lit(1), (F.size("tokens") - need(F.size("tokens")) + 1).cast("int")).alias("prefix"),
     )
-    firsts = materialize(keyed.groupBy("k1", "k2", "n").agg(F.min("place").alias("place"), F.first("prefix").alias("prefix")).select("place", "n", "prefix"), "firsts")
-
-    index = firsts.select(F.col("place.id").alias("id"), F.col("place.at").alias("at"), "n", F.posexplode("prefix").alias("i", "token"))
-    a, b = index.alias("a"), index.alias("b")
-    overlap = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(num) / F.lit(num + den))
-    earlier = (F.col("a.id") < F.col("b.id")) | ((F.col("a.id") == F.col("b.id")) & (F.col("a.at") < F.col("b.at")))
-    lengths = (F.col("a.n") * num <= F.col("b.n") * den) & (F.col("b.n") * num <= F.col("a.n") * den)
-    places = 1 + F.least("a.i", "b.i") + F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) - 1 >= overlap
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & earlier & lengths & places)
-    pairs = materialize(pairs.select(F.col("a.id").alias("a_id"), F.col("a.at").alias("a_at"), F.col("b.id").alias("b_id"), F.col("b.at").alias("b_at")).distinct(), "pairs")
-
-    wanted = pairs.select(F.col("a_id").alias("id"), F.col("a_at").alias("at")).unionAll(pairs.select("b_id", "b_at")).distinct()
-    wanted = wanted.groupBy("id").agg(F.collect_list("at").alias("wanted"))
+    firsts = keyed.groupBy("k1", "k2", "n").agg(F.min("place").alias("place"), F.first("prefix").alias("prefix"), F.count("*").alias("copies"))
+    firsts = materialize(firsts.select("place", "n", "copies", "prefix"), "firsts")
+
+    # Lines that share a prefix token with another line, and the line of that token with most copies.
+    index = firsts.select(F.col("place.id").alias("id"), F.col("place.at").alias("at"), "n", "copies", F.posexplode("prefix").alias("i", "token"))
+    same = Window.partitionBy("token")
+    hub = F.max_by(F.struct("id", "at", "n", "i"), F.struct("copies", (-F.col("at")).alias("at"), "id")).over(same)
+    met = index.withColumns({"met": F.count("*").over(same), "hub": hub}).where("met > 1").drop("met", "copies")
+    met = materialize(met, "met")
+
+    wanted = met.select("id", "at").distinct().groupBy("id").agg(F.collect_list("at").alias("wanted"))
     fetched = rows.join(wanted, "id").select("id", F.explode("wanted").alias("at"), F.split("text", "\n").alias("lines"))
     fetched = materialize(fetched.select("id", "at", ranked(F.get("lines", F.col("at")), k, classes).alias("tokens")).dropDuplicates(["id", "at"]), "fetched")
-    left = fetched.select(F.col("id").alias("a_id"), F.col("at").alias("a_at"), F.col("tokens").alias("ta"))
-    right = fetched.select(F.col("id").alias("b_id"), F.col("at").alias("b_at"), F.col("tokens").alias("tb"))
-    both = pairs.join(left, ["a_id", "a_at"]).join(right, ["b_id", "b_at"])
-    shared = F.size(F.array_intersect("ta", "tb"))
-    similar = both.where(shared * den >= (F.size("ta") + F.size("tb") - shared) * num)
-    covered = similar.select(F.col("b_id").alias("id"), F.col("b_at").alias("at")).distinct()
+
+    earlier = (F.col("a_id") < F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a_at") < F.col("b_at")))
+    lengths = (F.col("a_n") * num <= F.col("b_n") * den) & (F.col("b_n") * num <= F.col("a_n") * den)
+    overlap = F.ceil((F.col("a_n") + F.col("b_n")) * F.lit(num) / F.lit(num + den))
+    places = F.least("a_i", "b_i") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) >= overlap
+    ends = ["a_id", "a_at", "b_id", "b_at"]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of some pairs the later lines of those that are similar."""
+        both = pairs.join(_side(fetched, "a"), ["a_id", "a_at"]).join(_side(fetched, "b"), ["b_id", "b_at"])
+        shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+        similar = both.where(shared * den >= (F.size("a_tokens") + F.size("b_tokens") - shared) * num)
+        return similar.select(F.col("b_id").alias("id"), F.col("b_at").alias("at")).distinct()
+
+    # First every line against the hubs of its tokens: most lines of a large family end here.
+    mine, hubs = F.struct("id", "at", "n", "i"), F.col("hub")
+    first_is_hub = F.struct(F.col("hub.id"), F.col("hub.at")) < F.struct("id", "at")
+    with_hub = met.where("hub.id <> id or hub.at <> at").select(F.when(first_is_hub, hubs).otherwise(mine).alias("a"), F.when(first_is_hub, mine).otherwise(hubs).alias("b"))
+    with_hub = with_hub.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("id", "at", "n", "i")])
+    covered = materialize(verified(with_hub.where(lengths & places).select(*ends).distinct()), "covered")
+
+    # Then the lines that are left against all earlier ones.  All common prefix tokens of a pair
+    # are here, so their number and the last one's places bound the overlap once more.
+    rest = met.drop("hub").join(covered, ["id", "at"], "left_anti")
+    pairs = _side(met.drop("hub"), "a").join(_side(rest, "b"), F.col("a_token") == F.col("b_token")).where(earlier & lengths & places)
+    pairs = pairs.groupBy(*ends, "a_n", "b_n").agg(F.count("*").alias("common"), F.max("a_i").alias("a_i"), F.max("b_i").alias("b_i"))
+    possible = F.col("common") + F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) - 1 >= overlap
+    covered = covered.unionAll(verified(pairs.where(possible).select(*ends))).distinct()
 
     kept = firsts.select("place.id", "place.at").join(covered, ["id", "at"], "left_anti")
     kept = kept.groupBy("id").agg(F.collect_list("at").alias("kept")).select(F.col("id").alias("quill_id"), F.col("kept").alias("quill_kept"))
@@ -107,7 +137,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(F.col(text_col), "\n")
     stays = F.filter(lines, lambda line, i: ~judged(line) | F.coalesce(F.array_contains(F.col("quill_kept"), i), F.lit(False)))
     joined = docs.withColumn("quill_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).join(kept, F.col("quill_key") == F.col("quill_id"), "left")
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
     out = joined.withColumn("quill_lines", F.when(F.col(text_col).isNotNull(), stays))
     n_kept = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("quill_lines"))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))
