@@ -21,6 +21,8 @@ row with a null component.  Rows that share an id count as one node.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +44,7 @@ class Sizes:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.starts = [1]
+        self.starts, self.counts = [1], {}
 
     def of(self, n: int) -> int:
         while self.starts[-1] <= n:
@@ -56,6 +58,24 @@ class Sizes:
         return (self.starts[group + 1] - 1) * (self.den - self.num) // self.num
 
 
+    def fragments(self, group: int) -> int:
+        """So many fragments that more of them than ``differ`` hold elements of a set of this group.
+
+        The mean number of occupied fragments exceeds it by 3 standard deviations; sets with
+        more empty fragments than that are treated by ``signatures``.
+        """
+        if group not in self.counts:
+            d, n = self.differ(group), self.starts[group]
+            k = d + 1
+            while k < 4 * n + 16:
+                empty = math.exp(-n / k)
+                if k * (1 - empty) - 3 * math.sqrt(k * empty * (1 - (1 + n / k) * empty)) >= d + 1:
+                    break
+                k += max(1, k // 50)
+            self.counts[group] = k
+        return self.counts[group]
+
+
 def signatures(h: np.ndarray, sizes: Sizes) -> np.ndarray:
     """One hash for each non-empty segment of a sorted set, for both groups it belongs to."""
     out = []
@@ -65,7 +85,7 @@ def signatures(h: np.ndarray, sizes: Sizes) -> np.ndarray:
     for group in (own - 1, own):
         if group < 0 or (d := sizes.differ(group)) == 0:
             continue
-        k = d + 3
+        k = sizes.fragments(group)
         place = ((top * U64(k)) >> U64(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         value = np.add.reduceat(mixed, first) + (place[first] + k * 131 + group * 1_000_003).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
