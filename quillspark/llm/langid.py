@@ -136,6 +136,7 @@ def _label(model: Model | None):
                 lang = [model.langs[b] if h else "und" for b, h in zip(best, has, strict=True)]
                 share = np.where(has, share, 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(share.astype(np.float64))], names=["id", "held_out", "lang_pred", "score"])
+        tk.release()
 
     return run
 

@@ -324,7 +324,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         encoder = Encoder(v, best)
         for batch in batches:
             data, offs = tk.utf8(batch.column(1))
-            for at, to in tk.chunks(offs, 4 << 20):
+            for at, to in tk.chunks(offs, 2 << 20):
                 rows = encoder.encode(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
                 same = [decode(v, ids.tolist()) == data[offs[i] : offs[i + 1]].tobytes() for i, (ids, _, _) in zip(range(at, to), rows, strict=True)]
                 count = np.array([len(r[0]) for r in rows], dtype=np.int64)
@@ -333,6 +333,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     [batch.column(0).slice(at, to - at), pa.array(count), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.list_(pa.float64())), flat, pa.array(same)],
                     names=["id", "n_pieces", "score", "nbest_scores", "ids", "round_trip"],
                 )
+        del encoder
+        tk.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(run, "id long, n_pieces long, score double, nbest_scores array<double>, ids array<int>, round_trip boolean")
