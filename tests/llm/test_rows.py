@@ -403,7 +403,8 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "source_mixing", "sentencepiece"]
     at, seen = docs, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        nxt = stage(spark, at, str(tmp_path)).cache()
+        stage(spark, at, str(tmp_path)).write.parquet(str(tmp_path / name))  # as the pipeline does
+        nxt = spark.read.parquet(str(tmp_path / name))
         assert nxt.columns == docs.columns
         seen[name] = (at, nxt)
         at = nxt
