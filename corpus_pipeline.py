@@ -37,8 +37,8 @@ def drop_toxic(spark, docs, sf_dir):
 
 @stage
 def drop_repeated_lines(spark, docs, sf_dir):
-    """Lines that are similar to an earlier one go; every document stays, if only with an empty text."""
-    out = line_dedup.line_dedup(docs)
+    """Lines that are similar to an earlier one go, short ones too; every document stays, if only with an empty text."""
+    out = line_dedup.line_dedup(docs, short=True)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

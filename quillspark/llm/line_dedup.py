@@ -2,7 +2,8 @@
 
 A line's tokens are its distinct shingles of ``k`` words (A-Z lower-cased).  A line that has a
 similarity (Jaccard) of at least num / den to any line that stands earlier, by document id and
-then by place, is removed.  Lines of fewer than ``k`` words are left alone.
+then by place, is removed.  Lines of fewer than ``k`` words are left alone, or with ``short``
+have their whole word sequence as their one token; only blank lines have none then.
 
 1. *Rarity.*  Token counts are summed in 65,536 hash buckets, a table of fixed size.  A token's
    order is its bucket's class (quarters of the binary logarithm) and then its hash, so rare
@@ -38,22 +39,25 @@ _MASK = (1 << HASH_BITS) - 1
 _LAST = (1 << 63) - 1
 
 
-def tokens(line: Column, k: int) -> Column:
-    """The hashes of a line's k-word shingles, repeated ones included; none for fewer words."""
+def tokens(line: Column, k: int, short: bool = False) -> Column:
+    """The hashes of a line's k-word shingles, repeated ones included; fewer words make none, or one if short."""
     words = F.split(F.btrim(F.lower(line), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
     hashed = F.transform(F.filter(words, lambda w: w != "") if k == 1 else words, lambda w: F.xxhash64(w))
     gram = lambda h: lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
     grams = lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - (k - 1)), gram(h))
-    return let(hashed, lambda h: F.when(F.size(h) < k, F.array().cast("array<bigint>")).otherwise(grams(h)))
+    none = F.array().cast("array<bigint>")
+    blank = lambda h: F.coalesce(F.get(h, F.lit(0)) == F.xxhash64(F.lit("")), F.lit(True))
+    few = lambda h: F.when(blank(h), none).otherwise(F.array(F.xxhash64(h, F.size(h)))) if short else none
+    return let(hashed, lambda h: F.when(F.size(h) < k, few(h)).otherwise(grams(h)))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
 
 
-def rarity_classes(rows: DataFrame, k: int) -> list[int]:
+def rarity_classes(rows: DataFrame, k: int, short: bool = False) -> list[int]:
     """The class of each hash bucket over all lines."""
-    token = _lines(rows).select(F.explode(tokens(F.col("line"), k)).alias("t"))
+    token = _lines(rows).select(F.explode(tokens(F.col("line"), k, short)).alias("t"))
     counts = token.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
     out = [0] * BUCKETS
     for bucket, n in counts.collect():  # BUCKETS rows at most
@@ -61,25 +65,25 @@ def rarity_classes(rows: DataFrame, k: int) -> list[int]:
     return out
 
 
-def ranked(line: Column, k: int, classes: list[int]) -> Column:
+def ranked(line: Column, k: int, classes: list[int], short: bool = False) -> Column:
     """A line's distinct tokens in order of rarity; class and hash packed in one long."""
     table = F.from_json(F.lit(json.dumps(classes)), "array<int>")  # a constant of the plan
     place = lambda t: F.get(table, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
     key = lambda t: F.shiftleft(place(t), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit(_MASK)))
-    return F.sort_array(F.array_distinct(F.transform(tokens(line, k), key)))
+    return F.sort_array(F.array_distinct(F.transform(tokens(line, k, short), key)))
 
 
 def _side(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
     """The documents' rows and columns with later similar lines removed, and n_lines, n_removed added."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    classes = rarity_classes(rows, k)
+    classes = rarity_classes(rows, k, short)
 
     need = lambda n: F.floor((n * num + (den - 1)) / den)  # noqa: E731  the least overlap with any partner
-    sets = _lines(rows).select("id", "at", ranked(F.col("line"), k, classes).alias("tokens")).where("size(tokens) > 0")
+    sets = _lines(rows).select("id", "at", ranked(F.col("line"), k, classes, short).alias("tokens")).where("size(tokens) > 0")
     keyed = sets.select(
         F.struct("id", "at").alias("place"),
         F.xxhash64("tokens").alias("k1"),
@@ -99,7 +103,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     wanted = met.select("id", "at").distinct().groupBy("id").agg(F.collect_list("at").alias("wanted"))
     fetched = rows.join(wanted, "id").select("id", F.explode("wanted").alias("at"), F.split("text", "\n").alias("lines"))
-    fetched = materialize(fetched.select("id", "at", ranked(F.get("lines", F.col("at")), k, classes).alias("tokens")).dropDuplicates(["id", "at"]), "fetched")
+    fetched = materialize(fetched.select("id", "at", ranked(F.get("lines", F.col("at")), k, classes, short).alias("tokens")).dropDuplicates(["id", "at"]), "fetched")
 
     earlier = (F.col("a_id") < F.col("b_id")) | ((F.col("a_id") == F.col("b_id")) & (F.col("a_at") < F.col("b_at")))
     lengths = (F.col("a_n") * num <= F.col("b_n") * den) & (F.col("b_n") * num <= F.col("a_n") * den)
@@ -133,7 +137,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = kept.groupBy("id").agg(F.collect_list("at").alias("kept")).select(F.col("id").alias("quill_id"), F.col("kept").alias("quill_kept"))
     # Only lines with a token set are judged; whether a line has one follows from its words alone.
     word = r"[^\x20\x09-\x0D]+"
-    judged = lambda line: F.regexp_count(line, F.lit(word)) >= k
+    judged = lambda line: F.regexp_count(line, F.lit(word)) >= (1 if short else k)
     lines = F.split(F.col(text_col), "\n")
     stays = F.filter(lines, lambda line, i: ~judged(line) | F.coalesce(F.array_contains(F.col("quill_kept"), i), F.lit(False)))
     joined = docs.withColumn("quill_key", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).join(kept, F.col("quill_key") == F.col("quill_id"), "left")
@@ -155,6 +159,12 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
+def query_all_lines(spark, sf_dir: str) -> DataFrame:
+    """The same with lines of fewer than five words judged too."""
+    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), short=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln
@@ -177,3 +187,7 @@ SELECT l.doc_id, count(*)::BIGINT AS n_lines, count(g.ln)::BIGINT AS n_removed,
 FROM lines l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.ln = l.ln
 GROUP BY l.doc_id
 """
+
+_GRAMS = "unnest(list_transform(range(1, len(w) - 3), lambda j: array_to_string(list_slice(w, j, j + 4), ' '))) AS g\n  FROM words WHERE len(w) >= 5)"
+_ALL_GRAMS = "unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda j: array_to_string(list_slice(w, j, j + 4), ' ')) ELSE [array_to_string(w, ' ')] END) AS g\n  FROM words WHERE len(w) >= 1)"
+ORACLE_ALL_LINES = ORACLE.replace(_GRAMS, _ALL_GRAMS)

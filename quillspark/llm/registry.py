@@ -7,6 +7,7 @@ QUERIES = {
     "op2_embedding_near_dedup": vector_dedup.query,
     "op3_license_scan": licenses.query,
     "op4_line_dedup": line_dedup.query,
+    "op4_line_dedup_all_lines": line_dedup.query_all_lines,
     "op5_toxicity": toxicity.query,
     "op6_source_mixing": mixing.query,
     "op7_sentencepiece": pieces.query,
@@ -20,6 +21,7 @@ ORACLES: dict[str, str] = {
     "op2_embedding_near_dedup": vector_dedup.ORACLE,
     "op3_license_scan": licenses.ORACLE,
     "op4_line_dedup": line_dedup.ORACLE,
+    "op4_line_dedup_all_lines": line_dedup.ORACLE_ALL_LINES,
     "op6_source_mixing": mixing.ORACLE,
     "op8_suffix_array_dedup": suffix_dedup.ORACLE,
 }
