@@ -243,7 +243,7 @@ def sentence_packing(spark, d):
 
 @query()
 def section_split(spark, d):
-    text = F.concat(F.lit("intro\n**1 First**\n"), F.substring("text", 1, 80), F.lit("\n**1.1 Part**\nx\n**2 Second**\n"), F.lit("y"))
+    text = F.concat(F.lit("intro\n**1 First**\n"), F.col("text"), F.lit("\n**1.1 Part**\nx\n**2 Second**\n"), F.lit("y"))
     return ch.sections(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id")
 
 
