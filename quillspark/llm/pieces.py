@@ -12,7 +12,8 @@ words (spaces, then other bytes; this is tested when a vocabulary is loaded).  T
   position and piece length, in numpy;
 * a word's second-best score is the best path through any edge off its best path;
 * a text's n best segmentations change its best one in the n - 1 words with the smallest loss
-  only; the search runs for these, and their losses are merged.
+  only; the search runs for these, and their losses are merged.  Each segmentation is given as
+  its changes to the best one: places and the new ids there.
 
 Characters that no piece covers become byte pieces with the score of an unknown character (the
 lowest score less 10).  A space stands before the text, as the vocabulary expects; decoding
@@ -219,13 +220,17 @@ def best_of(v: Vocabulary, data: np.ndarray, first: np.ndarray):
     return best, best - second, flat.astype(np.int32), np.searchsorted(owner, np.arange(n + 1))
 
 
+def _ids(v: Vocabulary, word: bytes, edges: list[tuple[int, int, int]]) -> list[int]:
+    flat = []
+    for start, end, i in edges:
+        flat += [i] if i >= 0 else v.byte_ids[np.frombuffer(word[start:end], np.uint8)].tolist()
+    return flat
+
+
 def _long(v: Vocabulary, word: bytes):
     """``best_of`` for one long word, by the scalar search."""
     found = n_best(v, word, 2)
-    flat = []
-    for start, end, i in found[0][1]:
-        flat += [i] if i >= 0 else v.byte_ids[np.frombuffer(word[start:end], np.uint8)].tolist()
-    return found[0][0], found[0][0] - (found[1][0] if len(found) > 1 else -np.inf), flat
+    return found[0][0], found[0][0] - (found[1][0] if len(found) > 1 else -np.inf), _ids(v, word, found[0][1])
 
 
 class Encoder:
@@ -234,24 +239,38 @@ class Encoder:
     def __init__(self, v: Vocabulary, best: int = BEST):
         self.v, self.best, self.kept = v, best, {}
 
-    def losses(self, word: bytes) -> list[float]:
-        """What the word's 2nd to n-th best segmentations lose against its best, by the A* search."""
+    def losses(self, word: bytes, best: np.ndarray) -> list[tuple[float, bytes]]:
+        """Loss and ids of the word's 2nd to n-th best segmentations, by the A* search; ``best`` are the best one's ids."""
         if word not in self.kept:
             if len(self.kept) >= KEPT:
                 self.kept.clear()
             found = n_best(self.v, word, self.best)
-            self.kept[word] = [found[0][0] - s for s, _ in found[1:]]
+            made = [(found[0][0] - score, np.array(_ids(self.v, word, edges), np.int32).tobytes()) for score, edges in found]
+            # With ties the search may find the best one later, or not among so many.
+            at = next((i for i, (_, x) in enumerate(made) if x == best.tobytes()), len(made) - 1)
+            self.kept[word] = made[:at] + made[at + 1 :]
         return self.kept[word]
 
-    def merge(self, words: list[bytes]) -> list[float]:
-        """The n smallest sums of losses, taking one segmentation of each word; the first is 0."""
-        sums = [0.0]
-        for word in words:
-            sums = heapq.nsmallest(self.best, [a + b for a in sums for b in (0.0, *self.losses(word))])
+    def merge(self, words: list[tuple[bytes, np.ndarray]]) -> list[tuple[float, tuple[tuple[int, bytes], ...]]]:
+        """The n smallest sums of losses, taking one segmentation of each word, with the changed words' places in the list and ids.
+
+        The first is 0 and changes nothing.
+        """
+        sums = [(0.0, ())]
+        for i, (word, best) in enumerate(words):
+            own = [(loss, ((i, x),)) for loss, x in self.losses(word, best)]
+            sums = heapq.nsmallest(self.best, [(a + b, c + d) for a, c in sums for b, d in ((0.0, ()), *own)], key=lambda x: x[0])
         return sums
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, float, list[float]]]:
         """For each text: ids, the best score, and the scores of the n best segmentations."""
+        return [r[:3] for r in self.segmentations(data, offs)]
+
+    def segmentations(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, float, list[float], list[list[tuple[int, int, bytes]]]]]:
+        """What ``encode`` returns, and for each of the n best segmentations its changes to the best ids.
+
+        A change is (at, n, ids): ids (int32) stand for the n best ones from ``at`` on; in order of ``at``.
+        """
         n = len(offs) - 1
         # A space before each text that isn't empty.
         size = np.diff(offs)
@@ -261,7 +280,7 @@ class Encoder:
         row = np.repeat(np.arange(n), size)
         text[np.arange(len(data)) - offs[row] + new_offs[row] + lead[row]] = data
         if not len(text):
-            return [(np.zeros(0, np.int32), 0.0, [0.0]) for _ in range(n)]
+            return [(np.zeros(0, np.int32), 0.0, [0.0], [[]]) for _ in range(n)]
         space = text == 0x20
         head = space.copy()
         head[1:] &= ~space[:-1]
@@ -296,16 +315,19 @@ class Encoder:
         for i in range(n):
             lo, hi = word_first[i], word_first[i + 1]
             if lo == hi:
-                out.append((np.zeros(0, np.int32), 0.0, [0.0]))
+                out.append((np.zeros(0, np.int32), 0.0, [0.0], [[]]))
                 continue
             mine = of[lo:hi]
             c = count[mine]
-            flat = pool[np.repeat(pool_first[mine] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())]
+            place = np.cumsum(c) - c
+            flat = pool[np.repeat(pool_first[mine] - place, c) + np.arange(c.sum())]
             need = min(self.best - 1, len(mine))
-            near = np.argpartition(loss[mine], need - 1)[:need]
-            words = [text[starts[at[w]] : ends[at[w]]].tobytes() for w in mine[near].tolist() if np.isfinite(loss[w])]
+            near = np.sort(np.argpartition(loss[mine], need - 1)[:need]) if need else []
+            near = [(w, mine[w]) for w in near if np.isfinite(loss[mine[w]])]
+            found = self.merge([(text[starts[at[g]] : ends[at[g]]].tobytes(), ids[g]) for _, g in near])
             total = float(best[mine].sum())
-            out.append((flat, total, [total - x for x in self.merge(words)]))
+            where = [(int(place[w]), int(c[w])) for w, _ in near]
+            out.append((flat, total, [total - x for x, _ in found], [[(*where[k], x) for k, x in changes] for _, changes in found]))
         return out
 
 
@@ -315,8 +337,27 @@ def decode(v: Vocabulary, ids) -> bytes:
     return made[1:] if made[:1] == b" " else made
 
 
+CHANGES = "array<array<struct<at: int, n: int, ids: array<int>>>>"
+
+
+def _lists(counts: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values)
+
+
+def _changes(rows: list[list[list[tuple[int, int, bytes]]]]) -> pa.ListArray:
+    """The changes of some texts' segmentations as an Arrow array of the type CHANGES."""
+    ranks = [x for r in rows for x in r]
+    flat = [x for r in ranks for x in r]
+    ids = _lists([len(x[2]) // 4 for x in flat], pa.array(np.frombuffer(b"".join(x[2] for x in flat), np.int32)))
+    parts = [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), ids]
+    return _lists([len(r) for r in rows], _lists([len(r) for r in ranks], pa.StructArray.from_arrays(parts, ["at", "n", "ids"])))
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, best: int = BEST) -> DataFrame:
-    """(id, n_pieces, score, nbest_scores, ids, round_trip) for every row; the model is read on the driver."""
+    """(id, n_pieces, score, nbest_scores, ids, round_trip, nbest_changes) for every row; the model is read on the driver.
+
+    nbest_changes goes with nbest_scores; ``segmentations`` makes rows of ids of it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # of the vocabulary's fixed size
 
     def run(batches):
@@ -325,22 +366,30 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             data, offs = tk.utf8(batch.column(1))
             for at, to in tk.chunks(offs, 2 << 20):
-                rows = encoder.encode(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
-                same = [decode(v, ids.tolist()) == data[offs[i] : offs[i + 1]].tobytes() for i, (ids, _, _) in zip(range(at, to), rows, strict=True)]
+                rows = encoder.segmentations(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
+                same = [decode(v, ids.tolist()) == data[offs[i] : offs[i + 1]].tobytes() for i, (ids, *_) in zip(range(at, to), rows, strict=True)]
                 count = np.array([len(r[0]) for r in rows], dtype=np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32)), pa.array(np.concatenate([r[0] for r in rows])))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, to - at), pa.array(count), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.list_(pa.float64())), flat, pa.array(same)],
-                    names=["id", "n_pieces", "score", "nbest_scores", "ids", "round_trip"],
+                    [batch.column(0).slice(at, to - at), pa.array(count), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.list_(pa.float64())), flat, pa.array(same), _changes([r[3] for r in rows])],
+                    names=["id", "n_pieces", "score", "nbest_scores", "ids", "round_trip", "nbest_changes"],
                 )
         del encoder
         tk.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(run, "id long, n_pieces long, score double, nbest_scores array<double>, ids array<int>, round_trip boolean")
+    out = rows.mapInArrow(run, f"id long, n_pieces long, score double, nbest_scores array<double>, ids array<int>, round_trip boolean, nbest_changes {CHANGES}")
     return out.withColumnRenamed("id", id_col)
 
 
+def segmentations(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, rank, score, ids) of each of the n best segmentations, from rows that ``encode`` made; rank 0 is the best."""
+    rows = encoded.select(id_col, "ids", F.posexplode(F.arrays_zip("nbest_scores", "nbest_changes")).alias("rank", "r"))
+    cut = lambda acc, x: F.concat(F.slice(acc, F.lit(1), x["at"]), x["ids"], F.slice(acc, x["at"] + x["n"] + 1, F.size(acc)))
+    made = F.aggregate(F.reverse("r.nbest_changes"), F.col("ids"), cut)  # from the last place on, so that earlier ones stay right
+    return rows.select(id_col, "rank", F.col("r.nbest_scores").alias("score"), made.alias("ids"))
+
+
 def decode_rows(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """(id, text) from rows of piece ids."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
@@ -354,5 +403,5 @@ def decode_rows(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """The four best segmentations' scores and the best one's pieces, of all documents."""
+    """The four best segmentations of all documents: scores, the best one's pieces, and the others' changes to it."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))

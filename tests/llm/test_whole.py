@@ -4,8 +4,12 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
 
-from quillspark.llm import line_dedup
+from quillspark.llm import line_dedup, pieces, textkit as tk
+from tests.llm.test_rows import MODEL, every_path, small_vocabulary
 
 
 def test_short_lines_are_judged(spark, tmp_path):
@@ -31,3 +35,45 @@ def test_short_lines_are_judged(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert line_dedup.ORACLE_ALL_LINES != line_dedup.ORACLE
     assert sorted(map(tuple, got)) == sorted(con.sql(line_dedup.ORACLE_ALL_LINES).fetchall())
+
+
+def applied(ids, changes):
+    out = list(ids)
+    for at, n, new in reversed(changes):
+        out[at : at + n] = np.frombuffer(new, np.int32).tolist()
+    return out
+
+
+@pytest.mark.parametrize("long", [pieces.LONG, 1])
+def test_all_segmentations_of_texts(monkeypatch, long):
+    monkeypatch.setattr(pieces, "LONG", long)
+    v, rng = small_vocabulary(), random.Random(7)
+    texts = ["ab ba", "bab  ab a", "ab ab ab", "é x", "", " ", "xé ab", "a"] + ["".join(rng.choice("ab éx") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    data, offs = tk.utf8(pa.array(texts))
+    for text, (ids, score, scores, changes) in zip(texts, pieces.Encoder(v, 6).segmentations(data, offs), strict=True):
+        made = [tuple(applied(ids, x)) for x in changes]
+        assert made[0] == tuple(ids) and len(set(made)) == len(made) == len(scores)
+        assert all(pieces.decode(v, x) == text.encode() for x in made)
+        if text:
+            assert np.allclose(scores, every_path(v, b" " + text.encode())[:6])
+        # Bytes stand for an uncovered character, which has one score.
+        assert all(np.isclose(s, sum(v.score[i] for i in x if i >= 256) + v.unknown * text.count("x")) for s, x in zip(scores, made, strict=True))
+
+
+def test_one_segmentation_only():
+    v = small_vocabulary()
+    data, offs = tk.utf8(pa.array(["ab ba"]))
+    (ids, score, scores, changes), *_ = pieces.Encoder(v, 1).segmentations(data, offs)
+    assert scores == [score] and changes == [[]]
+
+
+@pytest.mark.skipif(not MODEL.exists(), reason="no vocabulary file")
+def test_each_segmentation_decodes_to_its_text(spark):
+    texts = ["Hello  World\nfoo\tbar é", "", None, "▁mark▁ <0x0A> ", "猫と犬 🐈", "x" * 500, " ", "the same same same word"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pieces.encode(rows).cache()
+    found = pieces.segmentations(out).cache()
+    assert found.count() == sum(len(r.nbest_scores) for r in out.collect()) > 3 * 5
+    assert found.select("doc_id", "ids").distinct().count() == found.count()
+    back = pieces.decode_rows(found.selectExpr("10 * doc_id + rank as doc_id", "ids")).collect()
+    assert all(r.text == (texts[r.doc_id // 10] or "") for r in back)
