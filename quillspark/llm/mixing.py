@@ -51,6 +51,16 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     return s.select("source", "source_size", F.when(F.col("lam").isNull() | (F.col("cap") / F.col("weight") <= F.col("lam")), F.col("cap").cast("double")).otherwise(F.col("lam") * F.col("weight")).alias("target"))
 
 
+def boundary(sized: DataFrame, found: DataFrame, level: int) -> DataFrame:
+    """(source, size, bucket) of the documents in their source's boundary bucket, before anything is summed."""
+    shift = BITS * (LEVELS - 1 - level)
+    here = sized.select("source", "size", F.shiftright("h", shift + BITS).alias("upper"), F.shiftright("h", shift).alias("bucket"))
+    if level:  # the first level has one bucket, of all documents
+        at = found.select(F.col("source").alias("of"), "prefix")
+        here = here.join(at, F.col("source").eqNullSafe(F.col("of")) & (F.col("upper") == F.col("prefix")), "left_semi")
+    return here.drop("upper")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """(id, size, source_size, target, taken, copies) for every document.
 
@@ -74,12 +84,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # The prefix of the hash up to which all is taken, and what is left of the budget there.
     found = t.select("source", F.lit(0).cast("long").alias("prefix"), F.col("rest").alias("left"))
     for level in range(LEVELS):
-        shift = BITS * (LEVELS - 1 - level)
-        here = sized.select("source", "size", F.shiftright("h", shift + BITS).alias("upper"), F.shiftright("h", shift).alias("bucket"))
-        sums = here.groupBy("source", "upper", "bucket").agg(F.sum("size").alias("size"))
-        inside = sums.join(found, sums["source"].eqNullSafe(found["source"]) & (sums["upper"] == found["prefix"])).select(
-            sums["source"], sums["bucket"], sums["size"], found["left"]
-        )
+        sums = boundary(sized, found, level).groupBy("source", "bucket").agg(F.sum("size").alias("size"))
+        at = found.select(F.col("source").alias("of"), "left")
+        inside = sums.join(at, F.col("source").eqNullSafe(F.col("of"))).drop("of")
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # 4096 rows a source at most
         run = inside.withColumn("sum", F.sum("size").over(upto))
         if level < LEVELS - 1:

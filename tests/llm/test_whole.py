@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import line_dedup, pieces, textkit as tk
+from quillspark.llm import line_dedup, mixing, pieces, textkit as tk
 from tests.llm.test_rows import MODEL, every_path, small_vocabulary
 
 
@@ -77,3 +77,12 @@ def test_each_segmentation_decodes_to_its_text(spark):
     assert found.select("doc_id", "ids").distinct().count() == found.count()
     back = pieces.decode_rows(found.selectExpr("10 * doc_id + rank as doc_id", "ids")).collect()
     assert all(r.text == (texts[r.doc_id // 10] or "") for r in back)
+
+
+def test_only_the_boundary_bucket_is_summed_again(spark):
+    rows = [(s, i + 1, i << 22) for s in ("a", None) for i in range(64)]
+    sized = spark.createDataFrame(rows, "source string, size long, h long")
+    found = spark.createDataFrame([("a", 3, 1), (None, 0, 1)], "source string, prefix long, left long")
+    assert mixing.boundary(sized, found, 0).count() == len(rows)
+    want = sorted(((s, n, h >> 12) for s, n, h in rows if h >> 24 == (3 if s else 0)), key=str)
+    assert sorted(map(tuple, mixing.boundary(sized, found, 1).collect()), key=str) == want and len(want) == 8
