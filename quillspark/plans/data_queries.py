@@ -361,6 +361,13 @@ def document_frequencies(spark, d):
     return rows.groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
 
 
+@query("""WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term FROM documents)
+SELECT term, count(*) AS df FROM t GROUP BY term""")
+def all_document_frequencies(spark, d):
+    rows = table(spark, d, "documents").select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
+
+
 @query("""SELECT conv_id, list_sort(list_distinct(list(role))) AS roles, count(*) AS n_turns FROM conversations GROUP BY conv_id""")
 def distinct_sets(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.count("*").alias("n_turns"))

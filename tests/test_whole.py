@@ -10,3 +10,9 @@ def test_section_split_reads_whole_texts(spark, tmp_path):
     assert got[1, "1"].content == texts[1] and got[2, "1"].content == "short"
     assert got[3, "1"].content == ("a\n" * 90).strip("\n") and got[3, "1.5"].content == "inside"
     assert all(got[i, "1.1"].content == "x" and got[i, "2"].content == "y" for i in texts)
+
+
+def test_rare_terms_have_a_frequency(spark, tmp_path):
+    spark.createDataFrame([(1, "one two two"), (2, "Two three")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["all_document_frequencies"](spark, str(tmp_path)).collect()
+    assert {r.term: r.df for r in got} == {"one": 1, "two": 2, "three": 1}
