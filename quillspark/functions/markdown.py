@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 
@@ -173,6 +174,26 @@ def rst_blocks(text: str | None, most: int = 50 * 1024) -> list[dict]:
     return out
 
 
+def notebook_blocks(text: str | None) -> list[dict]:
+    """A notebook's cells that aren't blank, one block each, by line of all cells' sources; other texts are one block."""
+    try:
+        book = json.loads(text or "")
+        cells = [(str(c["cell_type"]), c["source"] if isinstance(c["source"], str) else "".join(c["source"])) for c in book["cells"]]
+        about = book.get("metadata") or {}
+        language = (about.get("language_info") or {}).get("name") or (about.get("kernelspec") or {}).get("language") or "python"
+    except (ValueError, KeyError, TypeError, AttributeError):
+        whole = {"type": "text", "content": text, "language": None, "block_type": "file", "start_line": 1, "end_line": (text or "").count("\n") + 1}
+        return [whole] if (text or "").strip() else []
+    out, line = [], 1
+    for kind, source in cells:
+        last = line + source.count("\n")
+        if source.strip():
+            code = kind == "code"
+            out.append({"type": "code" if code else "text", "content": source, "language": language if code else None, "block_type": "cell", "start_line": line, "end_line": last})
+        line = last + 1
+    return out
+
+
 def sections(text: str | None) -> list[dict]:
     """Parts that start with a line **N.N Title**, with paths; the whole text where there is none."""
     text, out, tree = text or "", [], Hierarchy()
