@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import line_dedup, mixing, pieces, textkit as tk
+from quillspark.llm import licenses, line_dedup, mixing, pieces, textkit as tk
 from tests.llm.test_rows import MODEL, every_path, small_vocabulary
 
 
@@ -86,3 +86,8 @@ def test_only_the_boundary_bucket_is_summed_again(spark):
     assert mixing.boundary(sized, found, 0).count() == len(rows)
     want = sorted(((s, n, h >> 12) for s, n, h in rows if h >> 24 == (3 if s else 0)), key=str)
     assert sorted(map(tuple, mixing.boundary(sized, found, 1).collect()), key=str) == want and len(want) == 8
+
+
+def test_the_unlicense_matches_by_its_name(spark):
+    rows = spark.createDataFrame([(1, "This is The Unlicense."), (2, "the unlicense license")], "doc_id long, text string")
+    assert {r.doc_id: (r.labels, r.score) for r in licenses.scan(rows).collect()} == {1: ("unlicense", 0.8), 2: ("unlicense", 0.8)}
