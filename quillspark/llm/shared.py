@@ -8,6 +8,7 @@ it survives the loss of executors, as the shared store keeps its files.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -65,6 +66,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return Table(df, name).df
 
 
+def free(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer refers to, so that Spark's cleaner removes old shuffle files.
+
+    The cleaner follows the driver's garbage collection, which a small plan hardly triggers.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _MADE:
