@@ -1,398 +1,170 @@
-"""Line dedup by an exact set-similarity join.
+"""Line dedup by an exact set-similarity join, in DataFrame expressions only.
 
 A line's tokens are its distinct shingles of ``k`` lower-cased words.  A line that has a
 similarity (Jaccard) of at least num / den to any line that stands earlier is removed.  Lines of
 fewer than ``k`` words are left alone, or with ``short`` have their whole word sequence as their
 one token; only blank lines have none then.
 
-1. *Rarity.*  Token counts over all lines are summed in 65,536 hash buckets, a table of fixed
-   size.  A token's order is its bucket's class (quarters of the binary logarithm) and then its
-   hash, so rare tokens come first and every line uses the same total order.
-2. *Exact copies.*  Lines with equal tokens meet under a 128-bit sum of their tokens' hashes;
-   map tasks settle their own copies, so a line is sent once from each.
-3. *Candidates.*  With n tokens a line enters the index with its first n - ceil(t * n) + 1
-   tokens.  Lines meet on such a token and must pass the length filter, the positional filter
-   (the tokens before and after the common one must still allow the overlap that t asks for)
-   and a parity filter: bits that differ between two lines' 64 parities of token hashes can't
-   outnumber the tokens in which they differ.
-4. *Verification* on the whole token sets, fetched for candidates only.  A round tries, for each
-   line not removed yet and each of its index tokens, the next earlier lines that pass: one,
-   then two, four and so on until none is left.  A family of near copies mostly ends in the
-   first round, against its first line; no pair is dropped, and none listed before it's needed.
-
-"Earlier" is the order of (id, hash of the whole text, place of the line).  Null ids come after all others.
-Rows that share id and text are one document: none of their lines is later than its own
-repetition.  Null texts stay null, empty texts empty, blank lines stay; an empty table gives an
-empty result.  Columns of the input stay, but for ``n_lines`` and ``n_removed``, which are replaced.
-
-The tokens are made in numpy: in DataFrame expressions alone the operator took 926 CPU seconds a
-GB of a budget of 400 (README).
+1. *Rarity.*  Token counts are summed in 65,536 hash buckets, a table of fixed size.  A token's
+   order is its bucket's class (quarters of the binary logarithm) and then its hash, so rare
+   tokens come first and every line uses the same total order.
+2. *Exact copies.*  Lines with equal tokens meet under two independent 64-bit hashes of them;
+   partial aggregates keep the first place of each, so thousands of copies become one row per
+   map task.
+3. *Join.*  With n tokens a line enters the index with its first n - ceil(t * n) + 1 tokens, and
+   tokens that stand in one line only leave it.  Two lines meet on such a token and must pass the
+   length filter and the positional filter: at the first token that they share, the tokens from
+   there on must still allow the overlap that t asks for.  As what tells two lines apart is rare
+   and comes first, lines that differ too much are mostly told from the places alone.  First each
+   line meets only the earliest line of each of its tokens; lines that it covers are settled, so
+   a family of near copies isn't spread to all its pairs.  Lines that are left meet all earlier
+   ones.
+4. *Verification* on the whole token sets, fetched for lines of the index only.
+
+"Earlier" is the order of (id, hash of the whole text, place of the line).  Null ids come after
+all others.  Rows that share id and text are one document: none of their lines is later than its
+own repetition.  Null texts stay null, empty texts empty, blank lines stay; an empty table gives
+an empty result.  Columns of the input stay, but for ``n_lines`` and ``n_removed``, which are
+replaced.  Tokens are 56-bit hashes.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm import textkit as tk
+from quillspark.llm.fingerprint import let
 from quillspark.llm.shared import free, materialize
 
-U64 = np.uint64
-BUCKETS, HASH_BITS, CLASS_BITS, GROUP_BITS = 1 << 16, 44, 7, 13
+BUCKETS, HASH_BITS = 1 << 16, 56
+_MASK = (1 << HASH_BITS) - 1
 _LAST = (1 << 63) - 1
-#: Index entries that a map task holds before it sends them, and those of one bucket on average.
-HELD, BUCKET_ENTRIES, LEAST_BUCKETS = 1_000_000, 250_000, 256
 PLACE = ["id", "th", "at"]
-#: Packed columns of index entries and of copies.
-ENTRY = {"tok": U64, "id": np.int64, "th": np.int64, "at": np.int32, "n": np.int32, "i": np.int32, "sketch": U64, "tag": np.uint32}
-COPY = {"k1": U64, "k2": U64, "id": np.int64, "th": np.int64, "at": np.int32}
-BLOCKS = "bucket int, kind int, " + ", ".join(f"{c} binary" for c in dict.fromkeys([*COPY, *ENTRY]))
-FOUND = "kind int, bucket int, a_id long, a_th long, a_at int, b_id long, b_th long, b_at int, " + ", ".join(f"{c} binary" for c in ENTRY)
-REMOVED, PAIR, MET = 0, 1, 2
-
-
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
-
-
-def _table(schema: str, n: int, /, **cols) -> pa.RecordBatch:
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(cols[c], type=types[t]) if c in cols else pa.nulls(n, types[t]) for c, t in fields], names=[c for c, _ in fields])
-
-
-def _pack(a: np.ndarray) -> bytes:
-    """Byte planes: planes that hardly vary cost nothing once they are compressed."""
-    return np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes()
-
-
-def _unpack(parts, dtype) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    got = [np.ascontiguousarray(np.frombuffer(p.as_buffer(), np.uint8).reshape(width, -1).T).view(dtype).reshape(-1) for p in parts]
-    return np.concatenate([np.zeros(0, dtype), *got])
-
-
-def line_tokens(data: np.ndarray, offs: np.ndarray, k: int, short: bool):
-    """(row, place) of every line, and (line, hash, second hash) of every shingle in order of lines."""
-    breaks = np.flatnonzero(data == 10)
-    count = 1 + np.diff(np.searchsorted(breaks, offs))
-    bounds = np.append(np.sort(np.concatenate((offs[:-1], breaks + 1))), len(data))
-    row = np.repeat(np.arange(len(count)), count)
-    at = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    words, first = tk.word_hashes(data, bounds)
-    size = np.diff(first)
-    owner = np.repeat(np.arange(len(row)), size)
-
-    def combined(starts, length):
-        one, two = np.zeros(len(starts), U64), np.zeros(len(starts), U64)
-        for j in range(length):
-            w = words[starts + j]
-            one, two = one * U64(0xD6E8FEB86659FD93) + w, two * U64(0xA0761D6478BD642F) + w
-        return tk.mix(one + U64(length)), tk.mix(two + U64(length))
-
-    whole = np.flatnonzero(owner[: max(0, len(words) - k + 1)] == owner[k - 1 :]) if len(words) >= k else np.zeros(0, np.int64)
-    parts = [(owner[whole], *combined(whole, k))]
-    for c in range(1, k) if short else ():
-        few = np.flatnonzero(size == c)
-        parts.append((few, *combined(first[few], c)))
-    line, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if len(line) > len(whole):
-        order = np.argsort(line, kind="stable")
-        line, one, two = line[order], one[order], two[order]
-    return row, at, line, one, two
-
-
-def ranked(line: np.ndarray, token: np.ndarray, classes: np.ndarray):
-    """Lines with tokens, the start of each and its distinct tokens in order of rarity."""
-    rank = (classes[(token >> U64(48)).astype(np.int64)].astype(U64) << U64(HASH_BITS)) | (token & U64((1 << HASH_BITS) - 1))
-    lines, tokens, at = [], [], 0
-    while at < len(line):
-        to = int(np.searchsorted(line, line[at] + (1 << GROUP_BITS)))
-        low = line[at]
-        packed = np.sort(((line[at:to] - low).astype(U64) << U64(HASH_BITS + CLASS_BITS)) | rank[at:to])
-        packed = packed[np.concatenate(([True], packed[1:] != packed[:-1]))]
-        lines.append((packed >> U64(HASH_BITS + CLASS_BITS)).astype(np.int64) + low)
-        tokens.append(packed & U64((1 << (HASH_BITS + CLASS_BITS)) - 1))
-        at = to
-    line, tokens = np.concatenate([np.zeros(0, np.int64), *lines]), np.concatenate([np.zeros(0, U64), *tokens])
-    start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
-    return line[start], start, tokens
-
-
-def rarity_classes(rows: DataFrame, k: int, short: bool = False) -> tuple[np.ndarray, int]:
-    """The class of each hash bucket over all lines, and the number of all tokens."""
-
-    def count(batches):
-        out = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            data, offs = tk.utf8(batch.column(0))
-            for at, to in tk.chunks(offs):
-                _, _, _, token, _ = line_tokens(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at], k, short)
-                out += np.bincount((token >> U64(48)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(out)
-        yield _table("bucket int, n long", len(some), bucket=some.astype(np.int32), n=out[some])
-        tk.release()
-
-    sums = rows.select("lowered").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    classes, total = np.zeros(BUCKETS, np.uint8), 0
-    for bucket, n in sums.collect():  # BUCKETS rows at most
-        classes[bucket] = min((1 << CLASS_BITS) - 1, 1 + int(4 * math.log2(n)))
-        total += n
-    return classes, total
-
-
-def _index(k: int, short: bool, num: int, den: int, classes: np.ndarray, buckets: int):
-    """Copies found here, and blocks of index entries and of the keys of lines, dealt by bucket."""
-
-    def blocks(kind, where, cols):
-        order = np.argsort(where, kind="stable")
-        where = where[order]
-        cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else []
-        ends = [*cut[1:], len(where)]
-        cols = {c: a[order] for c, a in cols.items()}
-        out = {c: [_pack(a[i:j]) for i, j in zip(cut, ends, strict=True)] for c, a in cols.items()}
-        yield _table(BLOCKS, len(cut), bucket=where[cut].astype(np.int32) if len(where) else [], kind=np.full(len(cut), kind, np.int32), **out)
-
-    def send(lines, entries):
-        line = {c: np.concatenate([x[c] for x in lines]) for c in lines[0]}
-        entry = {c: np.concatenate([x[c] for x in entries]) for c in entries[0]}
-        order = np.lexsort((line["at"], line["th"], line["id"], line["k2"], line["k1"]))
-        s = {c: a[order] for c, a in line.items()}
-        first = np.ones(len(order), bool)
-        first[1:] = (s["k1"][1:] != s["k1"][:-1]) | (s["k2"][1:] != s["k2"][:-1])
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        copy = ~first & np.logical_or.reduce([s[c] != s[c][lead] for c in PLACE])
-        if copy.any():
-            where = (tk.mix(s["id"][copy].view(U64)) % U64(buckets)).astype(np.int64)
-            yield from blocks(REMOVED, where, {c: s[c][copy].astype(COPY[c]) for c in PLACE})
-        yield from blocks(PAIR, (s["k1"][first] % U64(buckets)).astype(np.int64), {c: s[c][first].astype(t) for c, t in COPY.items()})
-        leads = np.zeros(len(order), bool)
-        leads[order[first]] = True
-        sent = leads[entry["line"]]
-        owner, tok = entry["line"][sent], entry["tok"][sent]
-        cols = {c: line[c][owner].astype(t) for c, t in ENTRY.items() if c in line}
-        cols |= {"tok": tok, "i": entry["i"][sent].astype(np.int32), "tag": (line["k1"][owner] >> U64(32)).astype(np.uint32)}
-        yield from blocks(MET, (tk.mix(tok) % U64(buckets)).astype(np.int64), cols)
-
-    def run(batches):
-        lines, entries, held, known = [], [], 0, 0
-        for batch in batches:
-            ids, hashes = (batch.column(c).to_numpy() for c in (0, 1))
-            data, offs = tk.utf8(batch.column(2))
-            for lo, hi in tk.chunks(offs):
-                row, at, line, one, two = line_tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k, short)
-                if not len(line):
-                    continue
-                first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-                k1, k2 = np.add.reduceat(tk.mix(one), first), np.add.reduceat(tk.mix(two), first)
-                some, start, tok = ranked(line, one, classes)
-                n = np.diff(np.append(start, len(tok)))
-                sketch = np.bitwise_xor.reduceat(U64(1) << (tk.mix(tok) & U64(63)), start)
-                owner = np.repeat(np.arange(len(some)), n)
-                i = np.arange(len(tok)) - start[owner]
-                prefix = i < (n - (n * num + den - 1) // den + 1)[owner]
-                lines.append({"k1": k1, "k2": k2, "id": ids[lo:hi][row[some]], "th": hashes[lo:hi][row[some]], "at": at[some], "n": n, "sketch": sketch})
-                entries.append({"line": owner[prefix] + known, "i": i[prefix], "tok": tok[prefix]})
-                known, held = known + len(some), held + int(prefix.sum())
-                if held > HELD:
-                    yield from send(lines, entries)
-                    lines, entries, held, known = [], [], 0, 0
-        if lines:
-            yield from send(lines, entries)
-        lines, entries = [], []
-        tk.release()
-
-    return run
-
-
-def candidates(e: dict[str, np.ndarray], num: int, den: int, skip: int, take: int, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (a, b) among entries in order of (tok, place): for each asked b its passing earlier a's number skip to skip + take."""
-    tok, n, i, sketch = e["tok"], e["n"].astype(np.int64), e["i"].astype(np.int64), e["sketch"]
-    first = np.concatenate(([True], tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, bool)
-    start = np.flatnonzero(first)[np.cumsum(first) - 1] if len(tok) else np.zeros(0, np.int64)
-    b = np.flatnonzero(~first if asked is None else ~first & asked)
-    a, passed = start[b], np.zeros(len(b), np.int64)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    while len(b):
-        both = n[a] + n[b]
-        overlap = (both * num + num + den - 1) // (num + den)
-        ok = (n[a] * num <= n[b] * den) & (n[b] * num <= n[a] * den)
-        ok &= np.minimum(i[a], i[b]) + np.minimum(n[a] - i[a], n[b] - i[b]) >= overlap
-        ok &= np.bitwise_count(sketch[a] ^ sketch[b]).astype(np.int64) <= both - 2 * overlap
-        new = ok & (passed >= skip)
-        if new.any():
-            out.append((a[new], b[new]))
-        passed += ok
-        a = a + 1
-        stay = (a < b) & (passed < skip + take)
-        a, b, passed = a[stay], b[stay], passed[stay]
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-
-
-def _pairs(bucket: int, e: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """The distinct pairs of lines of some pairs of entries."""
-    ends = np.unique(np.stack([e[c][x].astype(np.int64) for x in (a, b) for c in PLACE], 1), axis=0)
-    cols = {f"{s}_{c}": ends[:, j * 3 + m].astype(np.int32 if c == "at" else np.int64) for j, s in enumerate("ab") for m, c in enumerate(PLACE)}
-    return _table(FOUND, len(ends), kind=np.full(len(ends), PAIR, np.int32), bucket=np.full(len(ends), bucket, np.int32), **cols)
-
-
-def _meet(num: int, den: int):
-    """Of one bucket: later copies, the entries of tokens that several lines share, and first candidates."""
-
-    def run(key, table):
-        bucket, kinds = key[0].as_py(), table.column("kind").to_numpy()
-        get = lambda kind, types: {c: _unpack([p for p, x in zip(table.column(c), kinds, strict=True) if x == kind], t) for c, t in types.items()}
-        out = []
-
-        def removed(s):
-            out.append(_table(FOUND, len(s["id"]), kind=np.full(len(s["id"]), REMOVED, np.int32), b_id=s["id"], b_th=s["th"], b_at=s["at"]))
-
-        removed(get(REMOVED, {c: COPY[c] for c in PLACE}))
-        s = get(PAIR, COPY)
-        order = np.lexsort((s["at"], s["th"], s["id"], s["k2"], s["k1"]))
-        s = {c: a[order] for c, a in s.items()}
-        first = np.ones(len(order), bool)
-        first[1:] = (s["k1"][1:] != s["k1"][:-1]) | (s["k2"][1:] != s["k2"][:-1])
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        later = ~first & np.logical_or.reduce([s[c] != s[c][lead] for c in PLACE])
-        removed({c: a[later] for c, a in s.items()})
-
-        e = get(MET, ENTRY)
-        e = _shared(e, np.argsort(e["tok"], kind="stable"))
-        order = np.lexsort((e["at"], e["th"], e["id"], e["sketch"], e["tag"], e["tok"]))
-        e = {c: a[order] for c, a in e.items()}
-        one = np.ones(len(order), bool)  # of a line's copies the first
-        one[1:] = np.logical_or.reduce([e[c][1:] != e[c][:-1] for c in ("tok", "tag", "sketch", "n")]) if len(order) else one[1:]
-        e = {c: a[one] for c, a in e.items()}
-        e = _shared(e, np.lexsort((e["at"], e["th"], e["id"], e["tok"])))
-        a, b = candidates(e, num, den, 0, 1)
-        if len(a):
-            out.append(_pairs(bucket, e, a, b))
-            used = np.zeros(len(e["tok"]), bool)  # tokens without a first candidate have no further ones
-            used[np.isin(e["tok"], e["tok"][b])] = True
-            out.append(_table(FOUND, 1, kind=[MET], bucket=[bucket], **{c: [_pack(x[used])] for c, x in e.items()}))
-        tk.release()
-        return pa.Table.from_batches(out)
-
-    return run
-
-
-def _shared(e: dict[str, np.ndarray], order: np.ndarray) -> dict[str, np.ndarray]:
-    """Entries in this order, without tokens that stand but once."""
-    t = e["tok"][order]
-    same = np.zeros(len(t) + 1, bool)
-    same[1:-1] = t[1:] == t[:-1]
-    order = order[same[1:] | same[:-1]]
-    return {c: a[order] for c, a in e.items()}
-
-
-def _further(num: int, den: int, skip: int, take: int):
-    """The next candidates of a bucket's lines that are still asked for."""
-
-    def run(key, met, asked):
-        bucket = key[0].as_py()
-        e = {c: _unpack(met.column(c), t) for c, t in ENTRY.items()}
-        places = np.stack([np.concatenate((e[c].astype(np.int64), asked.column(f"b_{c}").to_numpy().astype(np.int64))) for c in PLACE], 1)
-        _, which = np.unique(places, axis=0, return_inverse=True)
-        which = which.reshape(-1)
-        wanted = np.isin(which[: len(e["tok"])], which[len(e["tok"]) :])
-        a, b = candidates(e, num, den, skip, take, wanted)
-        tk.release()
-        return pa.Table.from_batches([_pairs(bucket, e, a, b)])
-
-    return run
-
-
-def _fetch(k: int, short: bool):
-    """The distinct 64-bit tokens of the wanted lines of each text."""
-
-    def run(batches):
-        for batch in batches:
-            data, offs = tk.utf8(batch.column(2))
-            lists = batch.column(3)
-            first, wanted = lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy()
-            for lo, hi in tk.chunks(offs):
-                row, at, line, one, _ = line_tokens(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], k, short)
-                top = np.searchsorted(row, np.arange(hi - lo))
-                owner = np.repeat(np.arange(hi - lo), np.diff(first[lo : hi + 1]))
-                lines = np.sort(top[owner] + wanted[first[lo] : first[hi]])
-                begin, end = np.searchsorted(line, lines), np.searchsorted(line, lines, side="right")
-                sets = [np.unique(one[i:j]).view(np.int64) for i, j in zip(begin, end, strict=True)]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-                places = [batch.column(0).take(pa.array(row[lines] + lo)), batch.column(1).take(pa.array(row[lines] + lo)), pa.array(at[lines].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*places, tokens], names=[*PLACE, "tokens"])
-        tk.release()
-
-    return run
+_SPACES = " \t\n\x0b\x0c\r"
+
+
+def _words(line: Column) -> Column:
+    """The words of a line; one empty string where it has none.  Single blanks are split the fast way."""
+    one = F.btrim(line, F.lit(_SPACES))
+    plain = ~F.contains(one, F.lit("  "))
+    for c in _SPACES[1:]:
+        plain = plain & ~F.contains(one, F.lit(c))
+    return F.when(plain, F.split(one, " ")).otherwise(F.split(one, r"[\x20\x09-\x0D]+"))
+
+
+def tokens(line: Column, k: int, short: bool = False) -> Column:
+    """The hashes of a lower-cased line's k-word shingles, repeated ones included; fewer words make none, or one if short."""
+    hashed = F.transform(_words(line), lambda w: F.xxhash64(w))
+    gram = lambda h: lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
+    grams = lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - (k - 1)), gram(h))
+    none = F.array().cast("array<bigint>")
+    blank = lambda h: F.get(h, F.lit(0)) == F.xxhash64(F.lit(""))
+    few = lambda h: F.when(blank(h), none).otherwise(F.array(F.xxhash64(h, F.size(h)))) if short else none
+    return let(hashed, lambda h: F.when((F.size(h) < k) | blank(h), few(h)).otherwise(grams(h)))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "th", F.posexplode(F.split("lowered", "\n")).alias("at", "line"))
+
+
+def rarity_classes(rows: DataFrame, k: int, short: bool = False) -> list[int]:
+    """The class of each hash bucket over all lines."""
+    token = _lines(rows).select(F.explode(tokens(F.col("line"), k, short)).alias("t"))
+    counts = token.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    out = [0] * BUCKETS
+    for bucket, n in counts.collect():  # BUCKETS rows at most
+        out[bucket] = min(127, 1 + int(4 * math.log2(n)))
+    return out
+
+
+def ranked(line: Column, k: int, classes: list[int], short: bool = False) -> Column:
+    """A line's distinct tokens in order of rarity; class and hash packed in one long."""
+    table = F.from_json(F.lit(json.dumps([c << HASH_BITS for c in classes])), "array<bigint>")  # a constant of the plan
+    key = lambda t: F.get(table, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(F.lit(_MASK)))
+    return F.sort_array(F.array_distinct(F.transform(tokens(line, k, short), key)))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
     """The documents' rows and columns with later similar lines removed, and n_lines, n_removed added."""
-    text = F.col(text_col).cast("string")
+    spark, text = docs.sparkSession, F.col(text_col).cast("string")
     key = {"id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "th": F.xxhash64(F.lit(1), text)}
     rows = docs.select(*[c.alias(n) for n, c in key.items()], F.lower(text).alias("lowered"))
-    classes, total = rarity_classes(rows, k, short)
-    buckets = max(LEAST_BUCKETS, -(-total * (den - num) // (den * BUCKET_ENTRIES)))
-    blocks = rows.mapInArrow(_index(k, short, num, den, classes, buckets), BLOCKS)
-    found = materialize(blocks.groupBy("bucket").applyInArrow(_meet(num, den), FOUND), "found")
-    free(docs.sparkSession)
-
-    ends = {s: [f"{s}_{c}" for c in PLACE] for s in "ab"}
-    place = lambda df, s: df.select(*[F.col(f"{s}_{c}").alias(c) for c in PLACE])
-    tokens = None
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    classes = rarity_classes(rows, k, short)
+
+    need = lambda n: F.floor((n * num + (den - 1)) / den)  # noqa: E731  the least overlap with any partner
+    sets = _lines(rows).select(*PLACE, ranked(F.col("line"), k, classes, short).alias("tokens")).where("size(tokens) > 0")
+    keyed = sets.select(
+        F.struct(*PLACE).alias("place"),
+        F.xxhash64(F.lit(1), "tokens").alias("k1"),
+        F.xxhash64(F.lit(2), "tokens").alias("k2"),
+        F.size("tokens").alias("n"),
+        F.slice("tokens", F.lit(1), (F.size("tokens") - need(F.size("tokens")) + 1).cast("int")).alias("prefix"),
+    )
+    firsts = keyed.groupBy("k1", "k2", "n").agg(F.min("place").alias("place"), F.first("prefix").alias("prefix"))
+    firsts = materialize(firsts.select(F.monotonically_increasing_id().alias("line"), "place.*", "n", "prefix"), "firsts")
+
+    # Tokens that stand in two lines or more, by partial aggregates, and the index of these.
+    index = firsts.select("line", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), F.posexplode("prefix").alias("i", "token"))
+    index = index.select("token", "line", F.col("n").bitwiseOR(F.col("i").cast("long")).alias("ni"))
+    several = index.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1").select("token")
+    met = materialize(index.join(several, "token"), "met")
+    free(spark)
+
+    wanted = firsts.select("line", *PLACE).join(met.select("line").distinct(), "line")
+    wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "line")).alias("wanted"))  # the lines of one text
+    fetched = rows.join(wanted, ["id", "th"]).select("id", "th", F.explode("wanted").alias("w"), F.split("lowered", "\n").alias("lines"))
+    fetched = fetched.select(F.col("w.line").alias("line"), "id", "th", F.col("w.at").alias("at"), ranked(F.get("lines", F.col("w.at")), k, classes, short).alias("tokens"))
+    fetched = materialize(fetched.dropDuplicates(["line"]), "fetched")
+    free(spark)
+
+    own = met.join(fetched.select("line", *PLACE), "line")
+    own = own.select("token", F.struct(*PLACE, "line", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("i")).alias("b"))
+    place = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in PLACE])
+    both = F.col("a.n") + F.col("b.n")
+    overlap = F.ceil(both * F.lit(num) / F.lit(num + den))
+    lengths = (F.col("a.n") * num <= F.col("b.n") * den) & (F.col("b.n") * num <= F.col("a.n") * den)
+    places = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= overlap
+    near = (place("a") < place("b")) & lengths & places
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Of some pairs the later lines of those that are similar."""
-        nonlocal tokens
-        pairs = pairs.select(*ends["a"], *ends["b"]).distinct()
-        new = place(pairs, "a").unionAll(place(pairs, "b")).distinct()
-        if tokens is not None:
-            new = new.join(tokens.select(*PLACE), PLACE, "left_anti")
-        wanted = new.groupBy("id", "th").agg(F.collect_list("at").alias("wanted"))
-        sets = rows.join(wanted, ["id", "th"]).select("id", "th", "lowered", "wanted")
-        sets = materialize(sets.mapInArrow(_fetch(k, short), "id long, th long, at int, tokens array<long>"), "tokens")
-        tokens = sets if tokens is None else tokens.unionAll(sets)
-        both = pairs
+        out = pairs.select(F.col("a.line").alias("a"), F.col("b.line").alias("b")).distinct()
         for s in "ab":
-            both = both.join(tokens.select(*[F.col(c).alias(f"{s}_{c}") for c in PLACE], F.col("tokens").alias(f"{s}_tokens")), ends[s])
+            out = out.join(fetched.select(F.col("line").alias(s), F.col("tokens").alias(f"{s}_tokens")), s)
         shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-        similar = both.where(shared * den >= (F.size("a_tokens") + F.size("b_tokens") - shared) * num)
-        out = materialize(place(similar, "b").distinct(), "similar")
-        free(docs.sparkSession)
-        return out
-
-    met = found.where(F.col("kind") == MET).select("bucket", *ENTRY)
-    pairs, skip, take = found.where(F.col("kind") == PAIR), 0, 1
-    removed = place(found.where(F.col("kind") == REMOVED), "b")
-    while not pairs.isEmpty():
-        similar = verified(pairs)
-        removed = removed.unionAll(similar)
-        asked = pairs.select("bucket", *ends["b"]).join(similar.select(*[F.col(c).alias(f"b_{c}") for c in PLACE]), ends["b"], "left_anti").withColumnRenamed("bucket", "asked")
-        skip, take = skip + take, 2 * take
-        more = met.groupBy("bucket").cogroup(asked.groupBy("asked")).applyInArrow(_further(num, den, skip, take), FOUND)
-        pairs = materialize(more.select("bucket", *ends["a"], *ends["b"]), "further")
-
-    gone = removed.groupBy("id", "th").agg(F.collect_set("at").alias("quill_gone")).withColumnsRenamed({"id": "quill_id", "th": "quill_th"})
-    keyed = docs.withColumns({"quill_key": key["id"], "quill_hash": key["th"]})
-    joined = keyed.join(gone, (F.col("quill_key") == F.col("quill_id")) & (F.col("quill_hash") == F.col("quill_th")), "left")
-    lines = F.split(text, "\n")
-    stays = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("quill_gone"))
-    left = F.transform(stays, lambda i: F.get(F.col("quill_lines"), i))
-    joined = joined.withColumn("quill_lines", F.when(F.col("quill_gone").isNotNull(), lines))
-    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"))) + 1)
+        similar = out.where(shared * den >= (F.size("a_tokens") + F.size("b_tokens") - shared) * num)
+        return materialize(similar.select(F.col("b").alias("line")).distinct(), name)
+
+    # First every line against the earliest of each of its tokens: most of a large family ends here.
+    hubs = own.groupBy("token").agg(F.min("b").alias("a"))
+    covered = verified(own.join(hubs, "token").where(near), "covered")
+
+    # Then the lines that are left against all earlier ones.
+    rest = own.join(covered, F.col("b.line") == F.col("line"), "left_anti")
+    pairs = rest.join(own.withColumnRenamed("b", "a"), "token").where(near)
+    covered = covered.unionAll(verified(pairs, "covered")).distinct()
+
+    kept = firsts.select("line", *PLACE).join(covered, "line", "left_anti")
+    kept = kept.groupBy("id", "th").agg(F.collect_list("at").alias("quill_kept")).withColumnsRenamed({"id": "quill_id", "th": "quill_th"})
+    # Only lines with a token set are judged; whether a line has one follows from its words alone.
+    judged = lambda line: F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= (1 if short else k)
+    joined = docs.withColumns({"quill_key": key["id"], "quill_hash": key["th"]})
+    joined = joined.join(kept, (F.col("quill_key") == F.col("quill_id")) & (F.col("quill_hash") == F.col("quill_th")), "left")
+    joined = joined.withColumn("quill_lines", F.split(text, "\n"))
+    at = F.sequence(F.lit(0), F.size("quill_lines") - 1)
+    other = F.array_except(at, F.coalesce(F.col("quill_kept"), F.array().cast("array<int>")))
+    joined = joined.withColumn("quill_gone", F.filter(other, lambda i: judged(F.get(F.col("quill_lines"), i))))
+    left = F.transform(F.array_except(at, F.col("quill_gone")), lambda i: F.get(F.col("quill_lines"), i))
     extra = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
+    number = lambda c: F.when(text.isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
     return joined.select(
         *[F.col(c) for c in extra],
-        F.when(F.col("quill_gone").isNull(), text).otherwise(F.array_join(left, "\n")).alias(text_col),
-        n_lines.cast("long").alias("n_lines"),
-        F.coalesce(F.size("quill_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.size("quill_gone") > 0, F.array_join(left, "\n")).otherwise(text).alias(text_col),
+        number("quill_lines").alias("n_lines"),
+        number("quill_gone").alias("n_removed"),
     )
 
 
