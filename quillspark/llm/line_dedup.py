@@ -43,16 +43,11 @@ BUCKETS, HASH_BITS = 1 << 16, 56
 _MASK = (1 << HASH_BITS) - 1
 _LAST = (1 << 63) - 1
 PLACE = ["id", "th", "at"]
-_SPACES = " \t\n\x0b\x0c\r"
 
 
 def _words(line: Column) -> Column:
-    """The words of a line; one empty string where it has none.  Single blanks are split the fast way."""
-    one = F.btrim(line, F.lit(_SPACES))
-    plain = ~F.contains(one, F.lit("  "))
-    for c in _SPACES[1:]:
-        plain = plain & ~F.contains(one, F.lit(c))
-    return F.when(plain, F.split(one, " ")).otherwise(F.split(one, r"[\x20\x09-\x0D]+"))
+    """The words of a line; one empty string where it has none."""
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
 
 
 def tokens(line: Column, k: int, short: bool = False) -> Column:
@@ -82,8 +77,9 @@ def rarity_classes(rows: DataFrame, k: int, short: bool = False) -> list[int]:
 
 def ranked(line: Column, k: int, classes: list[int], short: bool = False) -> Column:
     """A line's distinct tokens in order of rarity; class and hash packed in one long."""
-    table = F.from_json(F.lit(json.dumps([c << HASH_BITS for c in classes])), "array<bigint>")  # a constant of the plan
-    key = lambda t: F.get(table, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(t.bitwiseAND(F.lit(_MASK)))
+    table = F.from_json(F.lit(json.dumps(classes)), "array<int>")  # a constant of the plan
+    place = lambda t: F.get(table, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    key = lambda t: F.shiftleft(place(t), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit(_MASK)))
     return F.sort_array(F.array_distinct(F.transform(tokens(line, k, short), key)))
 
 
@@ -115,9 +111,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     wanted = firsts.select("line", *PLACE).join(met.select("line").distinct(), "line")
     wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "line")).alias("wanted"))  # the lines of one text
-    fetched = rows.join(wanted, ["id", "th"]).select("id", "th", F.explode("wanted").alias("w"), F.split("lowered", "\n").alias("lines"))
+    fetched = rows.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", F.explode("wanted").alias("w"), F.split("lowered", "\n").alias("lines"))
     fetched = fetched.select(F.col("w.line").alias("line"), "id", "th", F.col("w.at").alias("at"), ranked(F.get("lines", F.col("w.at")), k, classes, short).alias("tokens"))
-    fetched = materialize(fetched.dropDuplicates(["line"]), "fetched")
+    fetched = materialize(fetched, "fetched")
     free(spark)
 
     own = met.join(fetched.select("line", *PLACE), "line")
