@@ -1,22 +1,28 @@
 """N-gram Jaccard join by vertical partitioning of the global n-gram order.
 
-The global order is the order of the n-grams' 64-bit hashes.  It is cut into K equal
-fragments; a document's set becomes K segments.
+The global order is the order of the n-grams' 64-bit hashes; cut into fragments, a document's
+set becomes segments.
 
 1. *Candidates.*  Sets of sizes n1 <= n2 with similarity t or more differ in at most
    d = n1 * (1 - t) / t elements, so with K > d fragments at least one segment is the same in
    both.  K depends on the size class; a set takes part in its own class and the one below, as
-   partners are at most one class apart.  Equal segments are found by one shuffle of packed
-   (signature, id) blocks.  Each map task first reduces a signature to one id and links the
-   rest to it, so a huge group of copies sends one row per map task.
-2. *Families.*  Connected components of these candidate links hold every true link.  They are
-   processed one by one, split into bounded blocks by size class and salt where large.
-3. *Counting.*  In each block the fragments of the order are taken in turn: the partial
-   overlaps of all pairs are counted per fragment by a matrix product and summed per pair;
-   the sum decides.  A block returns a spanning forest of its links, never all pairs.
-
-Null or blank texts have the empty set and link with nothing.  Rows with a null id keep their
-row with a null component.  Rows that share an id count as one node.
+   partners are at most one class apart.  Sets with an equal segment are a group; copies of one
+   set are one member, and map tasks send each of their sets once.
+2. *Rounds.*  In the first, each member of a group meets the group's first one.  Then groups
+   whose members aren't all connected yet are compared across their components: a member meets
+   the first one, then two, four and so on that it may be similar to in another component, until
+   none is left.  So a family of copies costs one pair a member; all pairs are never listed.
+3. *Parity filter.*  Of every set there are about n parity bits, by its elements' hashes.  Bits
+   in which two sets differ can't outnumber the elements in which they differ, so pairs with too
+   many are dropped.
+4. *Counting.*  The elements of the sets that are left are dealt by fragment of the order; for
+   every pair the partial overlaps are counted in each fragment apart and summed per pair.  The
+   sum, in exact integers, decides.
+
+Links make components; a component is named by its smallest id.  Null or blank texts have the
+empty set and link with nothing.  Rows with a null id keep their row with a null component; they
+join nothing.  Rows that share an id are one node, linked by any of their texts.  An empty table
+gives an empty result.  Only id and text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -30,13 +36,22 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
 from quillspark.llm.components import components
-from quillspark.llm.shared import materialize
+from quillspark.llm.shared import free, materialize
 
 U64 = np.uint64
-#: Signatures that a map task holds before it sends them on; elements and members of one block.
-HELD, BLOCK_ELEMENTS, BLOCK_MEMBERS = 3_000_000, 700_000, 1024
-FOUND = "kind int, a long, b long, n long, h1 long, h2 long"
-KINDS = "bucket long, " + FOUND + ", keys binary, ids binary"
+#: Signatures that a map task holds before it sends them on; bytes of text of a bucket of them; members of a block.
+HELD, BUCKET_BYTES, BLOCK = 3_000_000, 24_000_000, 4096
+#: Fragments of the order in which overlaps are counted, as the number of leading hash bits.
+FRAGMENT_BITS = 3
+FOUND = "kind int, a long, b long, n long, h1 long, h2 long, sketch binary"
+KINDS = "bucket int, " + FOUND + ", keys binary, ids binary"
+SET, PAIR, GROUP = 0, 1, 2
+
+
+def _table(schema: str, n: int, /, **cols) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], type=types[t]) if c in cols else pa.nulls(n, types[t]) for c, t in fields], names=[c for c, _ in fields])
 
 
 class Sizes:
@@ -96,43 +111,45 @@ def signatures(h: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
-def _reduce(keys: np.ndarray, ids: np.ndarray):
-    """One id for each key, and edges from it to the key's other ids."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-    lead = ids[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else ids
-    pairs = np.unique(np.stack((lead[~first], ids[~first]), 1), axis=0)
-    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-    return keys[first], ids[first], pairs
+def sketch(h: np.ndarray) -> np.ndarray:
+    """The parities of a set's elements in as many bits as the power of two that isn't less than its size."""
+    bits = max(64, 1 << int(len(h) - 1).bit_length()) if len(h) else 64
+    place = (tk.mix(h + U64(3)) & U64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(U64)
+
+
+def fold(s: np.ndarray, words: int) -> np.ndarray:
+    """The sketch (or rows of sketches) in fewer words, as if it had been made so."""
+    while s.shape[-1] > words:
+        half = s.shape[-1] // 2
+        s = s[..., :half] ^ s[..., half:]
+    return s
+
+
+def most_apart(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The most elements that stand in one of two linked sets only; less than 0 where sizes alone forbid a link."""
+    apart = n + m - 2 * (((n + m) * num + num + den - 1) // (num + den))
+    return np.where((n * den >= m * num) & (m * den >= n * num), apart, -1)
 
 
 def _sets(k: int, num: int, den: int, buckets: int):
-    """Sets of documents: a row of kind 0 each; kind 1: candidate links; kind 2: signature blocks.
+    """Sets of documents: a row of kind SET each; kind GROUP: signature blocks.
 
     Signatures are sent as the upper 48 bits of their hashes; their bucket holds lower ones.
     """
 
-    def table(**cols):
-        n = len(next(iter(cols.values())))
-        types = {"kind": pa.int32(), "keys": pa.binary(), "ids": pa.binary()}
-        return pa.RecordBatch.from_arrays(
-            [pa.array(cols[c], type=types.get(c, pa.int64())) if c in cols else pa.nulls(n, types.get(c, pa.int64())) for c in (x.split()[0] for x in KINDS.split(", "))],
-            names=[x.split()[0] for x in KINDS.split(", ")],
-        )
-
     def send(held):
-        if not held:
-            return
-        keys, ids, pairs = _reduce(np.concatenate([x for x, _ in held]), np.concatenate([np.full(len(x), i, np.int64) for x, i in held]))
-        if len(pairs):
-            yield table(bucket=pairs[:, 0] % buckets, kind=np.ones(len(pairs), np.int32), a=pairs[:, 0], b=pairs[:, 1])
+        order = np.lexsort([np.array([x[c] for x in held], np.int64) for c in (0, 1, 2)])
+        sets = [held[i] for i in order]  # of equal sets the smallest id's
+        sets = [x for i, x in enumerate(sets) if not i or x[1:3] != sets[i - 1][1:3]]
+        keys, ids = np.concatenate([x[3] for x in sets]), np.concatenate([np.full(len(x[3]), x[0], np.int64) for x in sets])
         b = (keys % U64(buckets)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         b, keys, ids = b[order], keys[order], ids[order]
-        cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
+        cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
         ends = [*cut[1:], len(b)]
-        yield table(bucket=b[cut] if len(b) else b, kind=np.full(len(cut), 2, np.int32), keys=[tk.short(keys[i:j]).tobytes() for i, j in zip(cut, ends, strict=False)], ids=[ids[i:j].tobytes() for i, j in zip(cut, ends, strict=False)])
+        packed = {"keys": [tk.short(keys[i:j]).tobytes() for i, j in zip(cut, ends, strict=True)], "ids": [ids[i:j].tobytes() for i, j in zip(cut, ends, strict=True)]}
+        yield _table(KINDS, len(cut), bucket=b[cut].astype(np.int32), kind=np.full(len(cut), GROUP, np.int32), **packed)
 
     def run(batches):
         sizes, held, total = Sizes(num, den), [], 0
@@ -140,6 +157,7 @@ def _sets(k: int, num: int, den: int, buckets: int):
             ids = batch.column(0)
             data, offs = tk.utf8(batch.column(1))
             n, h1, h2 = (np.zeros(len(ids), np.int64) for _ in range(3))
+            sketches = [b""] * len(ids)
             number = ids.fill_null(0).to_numpy(zero_copy_only=False)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             for at, to in tk.chunks(offs):
@@ -150,14 +168,17 @@ def _sets(k: int, num: int, den: int, buckets: int):
                     if not len(s) or not known[i]:
                         continue
                     h1[i], h2[i] = (np.add.reduce(tk.mix(s + U64(c))).view(np.int64) for c in (1, 2))
+                    sketches[i] = sketch(s).tobytes()
                     if len(keys := signatures(s, sizes)):
-                        held.append((keys, number[i]))
+                        held.append((number[i], h1[i], h2[i], keys))
                         total += len(keys)
                         if total > HELD:
                             yield from send(held)
                             held, total = [], 0
-            yield table(bucket=number % buckets, kind=np.zeros(len(ids), np.int32), a=ids, n=n, h1=h1, h2=h2)
-        yield from send(held)
+            bucket = (tk.mix(number.astype(np.int64).view(U64)) % U64(buckets)).astype(np.int32)
+            yield _table(KINDS, len(ids), bucket=bucket, kind=np.full(len(ids), SET, np.int32), a=ids, n=n, h1=h1, h2=h2, sketch=sketches)
+        if held:
+            yield from send(held)
         held.clear()
         tk.release()
 
@@ -165,85 +186,170 @@ def _sets(k: int, num: int, den: int, buckets: int):
 
 
 def _meet(key, table):
-    """Links between the ids that share a signature in one bucket; rows of other kinds pass."""
+    """Of one bucket: each group's first member with the others, and the groups of three and more, equal ones once."""
     kind = table.column("kind").to_numpy()
-    passed = table.filter(pa.array(kind < 2)).select([x.split()[0] for x in FOUND.split(", ")])
-    get = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), dtype=t) for x, k in zip(table.column(c), kind, strict=True) if k == 2)])
-    pairs = _reduce(tk.unshort(get("keys", np.uint8)), get("ids", np.int64))[2]
-    none = pa.nulls(len(pairs), pa.int64())
-    links = pa.table([pa.array(np.ones(len(pairs), np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], schema=passed.schema)
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    passed = table.filter(pa.array(kind == SET)).select(names)
+    get = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(x.as_buffer(), dtype=t) for x, k in zip(table.column(c), kind, strict=True) if k == GROUP)])
+    keys, ids = tk.unshort(get("keys", np.uint8)), get("ids", np.int64)
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    keys, ids = keys[new], ids[new]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(keys)))
+    if len(first):
+        named = np.stack([np.add.reduceat(tk.mix(ids.view(U64) + U64(c)), first) for c in (1, 2)], 1)
+        once = np.zeros(len(first), bool)
+        once[np.unique(named, axis=0, return_index=True)[1]] = True
+        once &= size > 1
+        group = np.repeat(np.arange(len(first)), size)
+        kept = once[group]
+        lead = ids[first][group]
+        pairs = np.unique(np.stack((lead[kept], ids[kept]), 1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        wide = kept & (size > 2)[group]
+        code = (named[:, 0] ^ tk.mix(named[:, 1]))[group].view(np.int64)  # by the members, so that equal groups are one
+        passed = pa.concat_tables([
+            passed,
+            pa.Table.from_batches([_table(FOUND, len(pairs), kind=np.full(len(pairs), PAIR, np.int32), a=pairs[:, 0], b=pairs[:, 1])]),
+            pa.Table.from_batches([_table(FOUND, int(wide.sum()), kind=np.full(int(wide.sum()), GROUP, np.int32), a=ids[wide], h1=code[wide])]),
+        ])
     tk.release()
-    return pa.concat_tables([passed, links])
+    return passed
 
 
-def _tokens(k: int):
-    """(family keys, id, elements): the sets of the documents in question, as bytes."""
+def _possible(num: int, den: int):
+    """Of pairs with sizes and sketches those that may be linked."""
 
     def run(batches):
         for batch in batches:
-            data, offs = tk.utf8(batch.column(1))
-            out = []
-            for at, to in tk.chunks(offs):
-                words, first = tk.word_hashes(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
-                out += [tk.shingles(words[first[i] : first[i + 1]], k).tobytes() for i in range(to - at)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["id", "blocks", "elements"])
-        tk.release()
+            n, m = (batch.column(c).to_numpy() for c in ("an", "bn"))
+            apart = most_apart(n, m, num, den)
+            ok = apart >= 0
+            for i in np.flatnonzero(ok):
+                x, y = (np.frombuffer(batch.column(c)[int(i)].as_buffer(), U64) for c in ("ask", "bsk"))
+                words = min(len(x), len(y))
+                ok[i] = int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()) <= apart[i]
+            yield batch.select(["a", "ah", "an", "b", "bh", "bn"]).filter(pa.array(ok))
 
     return run
 
 
-def links_of(sets: list[np.ndarray], num: int, den: int, width: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs i < j with den * |intersection| >= num * |union|, by overlaps summed over fragments."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    element = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size)
-    order = np.argsort(element, kind="stable")
-    element, owner = element[order], owner[order]
-    new = np.concatenate(([True], element[1:] != element[:-1]))
-    rank = np.cumsum(new) - 1
-    shared = np.bincount(rank) > 1
-    keep = shared[rank]
-    column, owner = (np.cumsum(shared) - 1)[rank[keep]], owner[keep]
-    overlap = np.zeros((m, m), dtype=np.float32)
-    for low in range(0, int(shared.sum()), width):  # a fragment of the order at a time
-        i, j = np.searchsorted(column, (low, low + width))
-        part = np.zeros((m, min(width, int(shared.sum()) - low)), dtype=np.float32)
-        part[owner[i:j], column[i:j] - low] = 1
-        overlap += part @ part.T
-    overlap = overlap.astype(np.int64)
-    linked = np.triu(den * overlap >= num * (size[:, None] + size[None, :] - overlap), 1)
-    return np.nonzero(linked)
-
-
-def _verify(num: int, den: int):
+def _across(num: int, den: int, take: int):
+    """Of one block of a group: for each outer member the first few that it may be linked with in each other component."""
+
     def run(key, table):
-        ids = table.column("id").to_numpy()
-        i, j = links_of([np.frombuffer(x.as_buffer(), dtype=U64) for x in table.column("elements")], num, den)
-        nodes, roots = tk.forest(ids[i], ids[j])
-        return pa.table({"u": roots[nodes != roots], "v": nodes[nodes != roots]})
+        ids, comp, n, side = (table.column(c).to_numpy() for c in ("id", "component", "n", "side"))
+        sketches = [np.frombuffer(x.as_buffer(), U64) for x in table.column("sketch")]
+        width = np.array([len(x) for x in sketches])
+        inner = np.flatnonzero(side == 0)
+        inner = inner[np.argsort(ids[inner], kind="stable")]
+        rows = {w: inner[np.isin(width[inner], (w, 2 * w))] for w in np.unique(np.concatenate((width, width // 2)))}
+        folded = {w: np.stack([fold(sketches[i], w) for i in x]) for w, x in rows.items() if w and len(x)}
+        out, more = [], False
+        for y in np.flatnonzero(side == 1):
+            for w, only in ((int(width[y]), False), (int(width[y]) // 2, True)):
+                if w not in folded:
+                    continue
+                x = rows[w]
+                apart = most_apart(n[x], np.full(len(x), n[y]), num, den)
+                ok = (comp[x] != comp[y]) & (apart >= 0)
+                if only:
+                    ok &= width[x] == w
+                x, apart, at = x[ok], apart[ok], np.flatnonzero(ok)
+                x = x[np.bitwise_count(folded[w][at] ^ fold(sketches[y], w)).sum(axis=1) <= apart]
+                order = np.argsort(comp[x], kind="stable")
+                x = x[order]
+                new = np.concatenate(([True], comp[x][1:] != comp[x][:-1])) if len(x) else np.zeros(0, bool)
+                place = np.arange(len(x)) - (np.flatnonzero(new)[np.cumsum(new) - 1] if len(x) else 0)
+                more |= bool((place >= take).any())
+                out += [(min(ids[i], ids[y]), max(ids[i], ids[y])) for i in x[place < take]]
+        pairs = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "more": pa.array([more] * len(pairs), pa.bool_())})
+
+    return run
+
+
+def _segments(k: int):
+    """(id, h1, fragment, elements): the sets of the documents in question, dealt by leading bits of the hashes."""
+
+    def run(batches):
+        for batch in batches:
+            data, offs = tk.utf8(batch.column(1))
+            for at, to in tk.chunks(offs):
+                words, first = tk.word_hashes(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
+                owner, key, fragment, ends, parts = [], [], [], [0], []
+                for i in range(to - at):
+                    s = tk.shingles(words[first[i] : first[i + 1]], k)
+                    h1 = int(np.add.reduce(tk.mix(s + U64(1))).view(np.int64)) if len(s) else 0
+                    place = (s >> U64(64 - FRAGMENT_BITS)).astype(np.int64)
+                    cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(s) else []
+                    owner += [i + at] * len(cut)
+                    key += [h1] * len(cut)
+                    fragment += place[cut].tolist() if len(s) else []
+                    ends += [ends[-1] + x for x in ([*cut[1:], len(s)] if len(s) else [])]
+                    parts.append(s.view(np.int64))
+                elements = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(key, pa.int64()), pa.array(fragment, pa.int32()), elements], names=["id", "h1", "fragment", "elements"])
+        tk.release()
 
     return run
 
 
-def _blocks(family: DataFrame, num: int, den: int) -> DataFrame:
-    """The keys of the blocks each member goes to: one where the family is small, else by class and salt."""
-    whole = family.groupBy("component").agg(F.sum("n").alias("elements"), F.count("*").alias("members")).where("members > 1")
-    whole = whole.select("component", F.expr(f"elements <= {2 * BLOCK_ELEMENTS} and members <= {2 * BLOCK_MEMBERS}").alias("small"))
-    family = family.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)) + 1e-9).cast("int"))
-    parts = family.groupBy("component", "class").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_ELEMENTS), F.ceil(F.count("*") / BLOCK_MEMBERS)).cast("int").alias("salts"))
-    near = parts
-    for step, name in ((1, "above"), (-1, "below")):
-        near = near.join(parts.select("component", (F.col("class") - step).alias("class"), F.col("salts").alias(name)), ["component", "class"], "left")
-    key = lambda c, i, d, j: F.concat_ws("/", F.col("component"), c, i, d, j)
-    own, c = F.pmod(F.hash("id"), F.col("salts")), F.col("class")
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    many = F.concat(
-        F.transform(upto("salts"), lambda j: key(c, F.least(own, j), c, F.greatest(own, j))),
-        F.when(F.col("above").isNotNull(), F.transform(upto("above"), lambda j: key(c, own, c + 1, j))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("below").isNotNull(), F.transform(upto("below"), lambda j: key(c - 1, j, c, own))).otherwise(F.array().cast("array<string>")),
-    )
-    return family.join(whole, "component").join(near, ["component", "class"]).select("id", F.when(F.col("small"), F.array(F.col("component").cast("string"))).otherwise(many).alias("blocks"))
+class Join:
+    """The state of one join: the distinct sets, their segments as far as they were needed, and the links found."""
+
+    def __init__(self, rows: DataFrame, named: DataFrame, k: int, num: int, den: int):
+        self.rows, self.named, self.k, self.num, self.den = rows, named, k, num, den
+        self.segments = self.tested = None
+
+    def _with_segments(self, near: DataFrame) -> DataFrame:
+        new = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct()
+        if self.segments is not None:
+            new = new.join(self.segments.select("id").distinct(), "id", "left_anti")
+        made = self.rows.join(new, "id").select("id", "text").mapInArrow(_segments(self.k), "id long, h1 long, fragment int, elements array<long>")
+        made = materialize(made, "segments")
+        self.segments = made if self.segments is None else self.segments.unionAll(made)
+        return self.segments
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of some pairs those that are linked: sketches first, then overlaps counted by fragment and summed."""
+        pairs = pairs.select("a", "b").distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        self.tested = pairs if self.tested is None else self.tested.unionAll(pairs)
+        near = pairs
+        for s in "ab":
+            side = self.named.select(F.col("id").alias(s), F.col("h1").alias(f"{s}h"), F.col("n").alias(f"{s}n"), F.col("sketch").alias(f"{s}sk"))
+            near = near.join(side, s)
+        near = materialize(near.mapInArrow(_possible(self.num, self.den), "a long, ah long, an long, b long, bh long, bn long"), "near")
+        segments, both = self._with_segments(near), near
+        for s, on in (("a", ["a", "ah"]), ("b", ["b", "bh", "fragment"])):
+            both = both.join(segments.select(F.col("id").alias(s), F.col("h1").alias(f"{s}h"), "fragment", F.col("elements").alias(f"{s}e")), on)
+        counted = both.select("a", "ah", "an", "b", "bh", "bn", "fragment", F.size(F.array_intersect("ae", "be")).cast("long").alias("s"))
+        pair = ["a", "ah", "an", "b", "bh", "bn"]
+        partial = counted.groupBy(*pair, "fragment").agg(F.max("s").alias("s"))  # equal rows have equal segments
+        summed = partial.groupBy(*pair).agg(F.sum("s").alias("s"))
+        found = summed.where(F.col("s") * self.den >= (F.col("an") + F.col("bn") - F.col("s")) * self.num)
+        return materialize(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+
+def _blocks(groups: DataFrame, named: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members of groups that lie in several components: outer ones (not of the smallest) against all, in bounded blocks."""
+    member = groups.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = member.groupBy("code").agg(F.min("component").alias("main"), F.max("component").alias("last"), F.count("*").alias("m")).where("main < last").drop("last")
+    member = materialize(member.join(several, "code"), "members")
+    outer = member.where("component <> main").groupBy("code").agg(F.count("*").alias("u"))
+    member = member.join(outer, "code").join(named.select("id", "n", "sketch"), "id")
+    salts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.hash("id"), salts(c))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), salts(c) - 1))
+    cols = ["code", "id", "component", "n", "sketch"]
+    inner = member.select(*cols, upto("u").alias("i"), own("m").alias("j"), F.lit(0).alias("side"))
+    return inner.unionAll(member.where("component <> main").select(*cols, own("u").alias("i"), upto("m").alias("j"), F.lit(1).alias("side")))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -253,26 +359,53 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     arithmetic.  The component is named by its smallest id.
     """
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     made = rows.mapInArrow(_sets(k, num, den, buckets), KINDS).groupBy("bucket").applyInArrow(_meet, FOUND)
     made = materialize(made, "sets")
-    sets = made.where("kind = 0").select(F.col("a").alias("id"), "n", "h1", "h2")
-    rough = components(made.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
-
+    free(spark)
+    sets = made.where(F.col("kind") == SET).select(F.col("a").alias("id"), "n", "h1", "h2")
     full = sets.where("n > 0 and id is not null")
-    rep = full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    family = rough.withColumnRenamed("node", "id").join(rep.select(F.col("rep").alias("id"), "n"), "id")
-    blocks = materialize(_blocks(family, num, den), "blocks")
-    tokens = rows.join(blocks, "id").select("id", "text", "blocks").mapInArrow(_tokens(k), "id long, blocks array<string>, elements binary")
-    keyed = tokens.select("id", "elements", F.explode("blocks").alias("block"))
-    linked = components(keyed.groupBy("block").applyInArrow(_verify(num, den), "u long, v long"))
-
-    named = rep.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("h1"), F.col("h2"), F.col("n"), F.coalesce("component", "rep").alias("component_id")
-    )
-    out = sets.join(named, ["h1", "h2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    rep = materialize(full.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "rep")
+    of = materialize(full.join(rep, ["h1", "h2", "n"]).select("id", "rep").distinct(), "of")
+    named = made.where((F.col("kind") == SET) & (F.col("n") > 0) & F.col("a").isNotNull()).select(F.col("a").alias("id"), "n", "h1", "h2", "sketch")
+    named = named.join(rep.select(F.col("rep").alias("id"), "h1", "h2", "n"), ["id", "h1", "h2", "n"]).dropDuplicates(["id", "h1", "h2", "n"])
+
+    def of_sets(df: DataFrame, *cols: str) -> DataFrame:
+        """Ids replaced by the smallest ids of their sets."""
+        for c in cols:
+            df = df.join(of.select(F.col("id").alias(c), F.col("rep").alias(f"{c}_rep")), c).drop(c).withColumnRenamed(f"{c}_rep", c)
+        return df
+
+    join = Join(rows, named, k, num, den)
+    pairs = of_sets(made.where(F.col("kind") == PAIR).select("a", "b"), "a", "b").where("a <> b")
+    links = join.links(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    # Texts of one id are one node.
+    shared = of.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u < v").select("id", "u")
+    links = links.unionAll(of.join(shared, "id").where("rep > u").select("u", F.col("rep").alias("v")))
+    linked = components(links)
+    free(spark)
+    groups = made.where(F.col("kind") == GROUP).select(F.col("h1").alias("code"), F.col("a").alias("id"))
+    groups = materialize(of_sets(groups, "id").distinct(), "groups")
+    take = 1
+    while True:
+        blocks = _blocks(groups, named, linked)
+        found = materialize(blocks.groupBy("code", "i", "j").applyInArrow(_across(num, den, take), "a long, b long, more boolean"), "across")
+        if found.isEmpty():
+            break
+        more = found.where("more").limit(1).count()
+        new = join.links(found)
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            linked = components(links)
+        elif not more:
+            break
+        take *= 2
+
+    component = rep.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
+    out = sets.join(component, ["h1", "h2", "n"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -65,9 +65,8 @@ def test_ngram_join(spark, k, num):
 
 
 def test_ngram_join_in_many_blocks(spark, monkeypatch):
-    """Families over the bounds of a block are split by class and salt and lose no link."""
-    monkeypatch.setattr(nj, "BLOCK_MEMBERS", 3)
-    monkeypatch.setattr(nj, "BLOCK_ELEMENTS", 100)
+    """Groups over the bounds of a block are split and lose no link."""
+    monkeypatch.setattr(nj, "BLOCK", 3)
     rng = random.Random(2)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -90,6 +89,26 @@ def test_ngram_join_edges(spark):
     assert got == sorted([(None, 1, None), (1, 1, 1), (1, 1, 1), (2, 1, 1)], key=str)
 
 
+def test_ngram_join_rows_that_share_an_id(spark):
+    """An id with two texts joins the components of both."""
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(4, a), (4, b), (2, a), (7, b), (9, "x"), (4, a), (8, "x y"), (8, "x  Y")]
+    got = nj.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(2, 2), (4, 2), (4, 2), (4, 2), (7, 2), (8, 8), (8, 8), (9, 9)]
+
+
+@given(st.lists(st.integers(0, 2**63), min_size=1, max_size=90, unique=True), st.lists(st.integers(0, 2**63), min_size=1, max_size=90, unique=True), st.integers(0, 80))
+@settings(max_examples=100, deadline=None)
+def test_parities_differ_in_no_more_bits_than_elements(a, b, both):
+    a, b = (np.unique(np.array(x, dtype=np.uint64)) for x in (a, b + a[:both]))
+    x, y = nj.sketch(a), nj.sketch(b)
+    words = min(len(x), len(y))
+    assert int(np.bitwise_count(nj.fold(x, words) ^ nj.fold(y, words)).sum()) <= len(np.setxor1d(a, b))
+    shared, apart = len(np.intersect1d(a, b)), nj.most_apart(np.array([len(a)]), np.array([len(b)]), 80, 100)[0]
+    if 100 * shared >= 80 * (len(a) + len(b) - shared):
+        assert len(np.setxor1d(a, b)) <= apart
+
+
 @given(st.lists(st.integers(0, 2**63), min_size=10, max_size=80, unique=True), st.integers(0, 7), st.randoms())
 @settings(max_examples=80, deadline=None)
 def test_linked_sets_share_a_signature(items, edits, rng):
