@@ -61,21 +61,20 @@ def boundary(sized: DataFrame, found: DataFrame, level: int) -> DataFrame:
     return here.drop("upper")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """(id, size, source_size, target, taken, copies) for every document.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        id_hash(F.col(id_col)).alias("h"),
+    )
+
 
-    A source takes each document floor(target / source_size) times, and once more those whose
-    hash is under its threshold; the threshold is the one that comes nearest to the rest.
+def thresholds(sized: DataFrame, **how) -> DataFrame:
+    """(source, source_size, target, whole, cut): a source takes each document ``whole`` times, and once more under ``cut``.
+
+    The threshold is the one that comes nearest to the rest.
     """
-    sized = materialize(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).cast("string").alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            id_hash(F.col(id_col)).alias("h"),
-        ),
-        "sized",
-    )
     t = targets(sized, **how)
     whole = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("long")
     t = t.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -98,13 +97,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             found = run.groupBy("source").agg(stop.alias("x")).where("x is not null").select("source", F.col("x.bucket").alias("bucket"), F.col("x.nearer").alias("nearer"))
         found = materialize(found, "level")
     cut = F.when(F.col("bucket").isNull(), F.lit(1 << (BITS * LEVELS))).otherwise(F.col("bucket") + F.col("nearer").cast("long"))
-    t = t.join(found, t["source"].eqNullSafe(found["source"]), "left").select(t["source"], "source_size", "target", "whole", F.when(F.col("rest") > 0, cut).otherwise(F.lit(0)).alias("cut"))
+    return t.join(found, t["source"].eqNullSafe(found["source"]), "left").select(t["source"], "source_size", "target", "whole", F.when(F.col("rest") > 0, cut).otherwise(F.lit(0)).alias("cut"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """(id, size, source_size, target, taken, copies) for every document."""
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "sized")
+    t = thresholds(sized, **how)
     once = (F.col("h") < F.col("cut")).cast("long")
     return sized.join(t, sized["source"].eqNullSafe(t["source"])).select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("whole") + once)).alias("taken"), (F.col("whole") + once).alias("copies")
     )
 
 
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """Each row as often as the mix takes it, with the columns it has; the number of copies is found on the row itself."""
+    sized = materialize(_sized(docs, id_col, text_col, source_col), "sized")
+    t = thresholds(sized, **how).select(F.col("source").alias("quill_source"), "whole", "cut")
+    t = materialize(t.withColumnsRenamed({"whole": "quill_whole", "cut": "quill_cut"}), "cuts")
+    rows = docs.join(t, F.col(source_col).cast("string").eqNullSafe(F.col("quill_source")))
+    copies = (F.col("quill_whole") + (id_hash(F.col(id_col)) < F.col("quill_cut")).cast("long")).cast("int")
+    return rows.withColumn("quill_copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """All documents, weights 5, 2, 1 repeating, 150 % of all words, no source over 2 times its own."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")

@@ -414,7 +414,8 @@ def test_pipeline(spark, tmp_path):
     assert len(gone & bad) >= 0.9 * len(bad) and len(gone - bad) <= 3
     before, after = seen["line_dedup"]
     texts = {r.doc_id: r.text for r in after.collect()}
-    assert set(texts) == {r.doc_id for r in before.collect()} and texts[1001] == "" and texts[1002] is None
+    # Of document 1001 nothing is left, so it goes.
+    assert set(texts) == {r.doc_id for r in before.collect()} - {1001} and texts[1002] is None
     assert all(r.n_chars == len(r.text) for r in after.collect() if r.text is not None)
     before, after = seen["ngram_jaccard_join"]
     assert after.count() <= before.count() and after.count() == after.select("doc_id").distinct().count()

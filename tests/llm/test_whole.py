@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -91,3 +92,17 @@ def test_only_the_boundary_bucket_is_summed_again(spark):
 def test_the_unlicense_matches_by_its_name(spark):
     rows = spark.createDataFrame([(1, "This is The Unlicense."), (2, "the unlicense license")], "doc_id long, text string")
     assert {r.doc_id: (r.labels, r.score) for r in licenses.scan(rows).collect()} == {1: ("unlicense", 0.8), 2: ("unlicense", 0.8)}
+
+
+def test_a_mix_repeats_rows_not_ids(spark):
+    """An id in two sources is taken from each as often as that source says; other columns stay, even if named alike."""
+    rows = [(1, "x " * 9, "a", 1), (1, "x " * 9, "b", 2), (2, None, None, 3), (None, "y", "b", 4)] + [(i, "x y z", "a" if i % 2 else "b", i) for i in range(10, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int")
+    want = Counter({(r.doc_id, r.size, r.source_size): 0 for r in mixing.mix(df).collect()})
+    for r in mixing.mix(df).collect():
+        want[r.doc_id, r.size, r.source_size] += r.copies
+    sizes = {s: sum(len((t or "").split()) for _, t, x, _ in rows if x == s) for s in ("a", "b", None)}
+    got = mixing.repeated(df)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, len((r.text or "").split()), sizes[r.source]) for r in got.collect()) == Counter({k: n for k, n in want.items() if n})
+    assert mixing.repeated(df.limit(0)).count() == 0
