@@ -37,9 +37,10 @@ def drop_toxic(spark, docs, sf_dir):
 
 @stage
 def drop_repeated_lines(spark, docs, sf_dir):
-    """Lines that are similar to an earlier one go, short ones too; every document stays, if only with an empty text."""
+    """Lines that are similar to an earlier one go, short ones too, and with them documents of which nothing is left."""
     out = line_dedup.line_dedup(docs, short=True)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 @stage
@@ -53,9 +54,7 @@ def drop_near_copies(spark, docs, sf_dir):
 @stage
 def mix_sources(spark, docs, sf_dir):
     """A document stands in the result as often as the mix takes it: not at all, once or twice."""
-    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("quill_id"), "copies").distinct()
-    taken = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("quill_id")))
-    return taken.withColumn("quill_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 @stage
