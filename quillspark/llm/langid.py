@@ -7,7 +7,9 @@ regression for each language, one against the rest, is fitted in it.  As a text'
 is its presence row times the landmarks' presence, the landmarks, their inverse root and the
 regressions fold into one matrix; a batch of texts is scored by one matrix product.
 
-Fitted on at most ``PER_LANG`` documents of each language, those with the lowest id hashes.
+Fitted on at most ``PER_LANG`` documents of each language, those with the lowest id hashes; of
+rows that share id and language on one, and on no text of more than ``ROW_BYTES``, so that the
+driver holds a bounded sample.
 Texts that are null or hold no letter get ``und`` with score 0; so does every text where
 nothing could be learned.  Whole texts are used, of any length.
 """
@@ -20,9 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
+from quillspark.llm.shared import bound_batches
 
 COLUMNS, ORDERS = 1 << 16, (2, 3, 4)
-PER_LANG, LANDMARKS, RIDGE, SHARPNESS = 400, 160, 1e-3, 8.0
+PER_LANG, ROW_BYTES, LANDMARKS, EACH, RIDGE, SHARPNESS = 400, 1 << 18, 160, 8, 1e-3, 8.0
 #: Texts of one matrix product.
 ROWS = 64
 _ODD = {2: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA77), 4: np.uint32(0xC2B2AE3D)}
@@ -79,7 +82,7 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Landmarks are taken from all languages in turn."""
+    """Landmarks are taken from all languages in turn, so that each has ``EACH`` of them or more."""
     if not texts:
         return None
     names = sorted(set(langs))
@@ -88,7 +91,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     place = np.zeros(len(label), np.int64)
     for c in range(len(names)):
         place[label == c] = np.arange((label == c).sum())
-    marks = np.lexsort((label, place))[:landmarks]
+    marks = np.lexsort((label, place))[: max(landmarks, EACH * len(names))]
     basis = np.concatenate([presence(data[offs[i] : offs[i + 1]], np.array([0, offs[i + 1] - offs[i]])) for i in marks])
     basis /= np.sqrt(np.maximum(basis.sum(1), 1))[:, None]
     values, vectors = np.linalg.eigh((basis @ basis.T).astype(np.float64))
@@ -107,13 +110,15 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, pe
     """At most ``per_lang`` learnable (text, lang) rows of each language, by the lowest id hashes."""
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
     # Ahead of the ranking, a threshold on the hash leaves a few times per_lang rows of a language.
-    counts = rows.groupBy("lang").count()
+    counts = rows.groupBy("lang").count()  # a row for each language
     share = F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.col("count"))
-    near = rows.join(counts, "lang").where((F.col("h") / F.lit(2.0**64)) + 0.5 <= share)
+    near = rows.join(F.broadcast(counts), "lang").where((F.col("h") / F.lit(2.0**64)) + 0.5 <= share)
     order = Window.partitionBy("lang").orderBy("h", "id")
     ids = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select(F.col("id").alias("quill_id")).distinct()
     found = docs.join(F.broadcast(ids), F.col(id_col) == F.col("quill_id"), "left_semi")
-    return found.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null").orderBy(F.xxhash64(id_col)).collect()
+    found = found.where(F.col(lang_col).isNotNull() & (F.octet_length(F.col(text_col)) <= ROW_BYTES))
+    one = found.groupBy(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).agg(F.min(F.col(text_col)).alias("text"))
+    return one.orderBy(F.xxhash64("id"), "lang").select("text", "lang").collect()
 
 
 def held_out(id_col: str):
@@ -143,6 +148,7 @@ def _label(model: Model | None):
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score) for every row; rows held out or without id aren't learned from."""
+    bound_batches(docs.sparkSession)
     learn = ~held_out(id_col) & F.col(id_col).isNotNull()
     got = sample(docs, id_col, text_col, lang_col, learn)
     model = fit([r["text"] for r in got], [r["lang"] for r in got])

@@ -10,7 +10,7 @@ set becomes segments.
    set are one member, and map tasks send each of their sets once.
 2. *Rounds.*  In the first, each member of a group meets the group's first one.  Then groups
    whose members aren't all connected yet are compared across their components: a member meets
-   the first one, then two, four and so on that it may be similar to in another component, until
+   the first one, then four, sixteen and so on that it may be similar to in another component, until
    none is left.  So a family of copies costs one pair a member; all pairs are never listed.
 3. *Parity filter.*  Of every set there are about n parity bits, by its elements' hashes.  Bits
    in which two sets differ can't outnumber the elements in which they differ, so pairs with too
@@ -36,16 +36,18 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
 from quillspark.llm.components import components
-from quillspark.llm.shared import free, materialize
+from quillspark.llm.shared import bound_batches, free, materialize
 
 U64 = np.uint64
 #: Signatures that a map task holds before it sends them on; bytes of text of a bucket of them; members of a block.
-HELD, BUCKET_BYTES, BLOCK = 3_000_000, 24_000_000, 4096
+HELD, BUCKET_BYTES, BLOCK = 1_000_000, 24_000_000, 4096
 #: Fragments of the order in which overlaps are counted, as the number of leading hash bits.
 FRAGMENT_BITS = 3
 FOUND = "kind int, a long, b long, n long, h1 long, h2 long, sketch binary"
 KINDS = "bucket int, " + FOUND + ", keys binary, ids binary"
 SET, PAIR, GROUP = 0, 1, 2
+#: Orders in which a set is cut until enough segments are occupied.
+TURNS = 12
 
 
 def _table(schema: str, n: int, /, **cols) -> pa.RecordBatch:
@@ -74,17 +76,17 @@ class Sizes:
 
 
     def fragments(self, group: int) -> int:
-        """So many fragments that more of them than ``differ`` hold elements of a set of this group.
+        """So many fragments that more of them than ``differ`` hold elements of most sets of this group.
 
-        The mean number of occupied fragments exceeds it by 3 standard deviations; sets with
-        more empty fragments than that are treated by ``signatures``.
+        The mean number of occupied fragments exceeds it by a standard deviation; more fragments
+        would make segments of single elements, which sets share without being alike.
         """
         if group not in self.counts:
             d, n = self.differ(group), self.starts[group]
             k = d + 1
             while k < 4 * n + 16:
                 empty = math.exp(-n / k)
-                if k * (1 - empty) - 3 * math.sqrt(k * empty * (1 - (1 + n / k) * empty)) >= d + 1:
+                if k * (1 - empty) - math.sqrt(k * empty * (1 - (1 + n / k) * empty)) >= d + 1:
                     break
                 k += max(1, k // 50)
             self.counts[group] = k
@@ -92,22 +94,34 @@ class Sizes:
 
 
 def signatures(h: np.ndarray, sizes: Sizes) -> np.ndarray:
-    """One hash for each non-empty segment of a sorted set, for both groups it belongs to."""
+    """One hash for each non-empty segment of a sorted set, for both groups it belongs to.
+
+    A set of which no more than d segments are occupied could agree with a partner in empty ones
+    alone.  It is cut again, in another order; so is its partner, unless that has more than d
+    occupied segments, of which one is then equal in both.
+    """
     out = []
     own = sizes.of(len(h))
     mixed = tk.mix(h)
-    top = h >> U64(32)
     for group in (own - 1, own):
         if group < 0 or (d := sizes.differ(group)) == 0:
             continue
         k = sizes.fragments(group)
-        place = ((top * U64(k)) >> U64(32)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        value = np.add.reduceat(mixed, first) + (place[first] + k * 131 + group * 1_000_003).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
-        out.append(tk.mix(value))
-        if len(first) <= d:  # so many empty segments that a pair may agree in these alone
-            empty = np.setdiff1d(np.arange(k), place[first])
-            out.append(tk.mix((empty + k * 131 + group * 1_000_003).astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
+        for turn in range(TURNS):
+            order, values = h, mixed
+            if turn:
+                order = tk.mix(h + U64(turn))
+                by = np.argsort(order)
+                order, values = order[by], mixed[by]
+            place = (((order >> U64(32)) * U64(k)) >> U64(32)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            name = U64(k * 131 + group * 1_000_003 + turn * 1_000_000_007)
+            out.append(tk.mix(np.add.reduceat(values, first) + (place[first].astype(U64) + name) * U64(0xC2B2AE3D27D4EB4F)))
+            if len(first) > d:
+                break
+        else:  # hardly ever: empty segments count as well
+            empty = np.setdiff1d(np.arange(k), place[first]).astype(U64)
+            out.append(tk.mix((empty + name) * U64(0xC2B2AE3D27D4EB4F)))
     return np.concatenate(out) if out else np.zeros(0, U64)
 
 
@@ -267,7 +281,7 @@ def _across(num: int, den: int, take: int):
                 more |= bool((place >= take).any())
                 out += [(min(ids[i], ids[y]), max(ids[i], ids[y])) for i in x[place < take]]
         pairs = np.unique(np.array(out, np.int64).reshape(-1, 2), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "more": pa.array([more] * len(pairs), pa.bool_())})
+        return pa.table({"code": pa.array([key[0].as_py()] * len(pairs), pa.int64()), "a": pairs[:, 0], "b": pairs[:, 1], "more": pa.array([more] * len(pairs), pa.bool_())})
 
     return run
 
@@ -340,8 +354,9 @@ class Join:
 def _blocks(groups: DataFrame, named: DataFrame, linked: DataFrame) -> DataFrame:
     """Members of groups that lie in several components: outer ones (not of the smallest) against all, in bounded blocks."""
     member = groups.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    member = materialize(member, "members")
     several = member.groupBy("code").agg(F.min("component").alias("main"), F.max("component").alias("last"), F.count("*").alias("m")).where("main < last").drop("last")
-    member = materialize(member.join(several, "code"), "members")
+    member = member.join(several, "code")
     outer = member.where("component <> main").groupBy("code").agg(F.count("*").alias("u"))
     member = member.join(outer, "code").join(named.select("id", "n", "sketch"), "id")
     salts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -349,7 +364,8 @@ def _blocks(groups: DataFrame, named: DataFrame, linked: DataFrame) -> DataFrame
     upto = lambda c: F.explode(F.sequence(F.lit(0), salts(c) - 1))
     cols = ["code", "id", "component", "n", "sketch"]
     inner = member.select(*cols, upto("u").alias("i"), own("m").alias("j"), F.lit(0).alias("side"))
-    return inner.unionAll(member.where("component <> main").select(*cols, own("u").alias("i"), upto("m").alias("j"), F.lit(1).alias("side")))
+    outer = member.where("component <> main").select(*cols, own("u").alias("i"), upto("m").alias("j"), F.lit(1).alias("side"))
+    return inner.unionAll(outer)
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -359,6 +375,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     arithmetic.  The component is named by its smallest id.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
@@ -391,17 +408,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     take = 1
     while True:
         blocks = _blocks(groups, named, linked)
-        found = materialize(blocks.groupBy("code", "i", "j").applyInArrow(_across(num, den, take), "a long, b long, more boolean"), "across")
+        found = materialize(blocks.groupBy("code", "i", "j").applyInArrow(_across(num, den, take), "code long, a long, b long, more boolean"), "across")
         if found.isEmpty():
             break
-        more = found.where("more").limit(1).count()
         new = join.links(found)
-        if not new.isEmpty():
+        # A group of which nothing was left out has had all its pairs across components tested.
+        again = found.where("more").select("code").distinct()
+        if again.isEmpty():
             links = links.unionAll(new)
             linked = components(links)
-        elif not more:
             break
-        take *= 2
+        if not new.isEmpty():
+            links = links.unionAll(new)
+            linked = components(links)
+        groups = materialize(groups.join(again, "code", "left_semi"), "groups")
+        take *= 4
 
     component = rep.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(component, ["h1", "h2", "n"], "left")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
+from quillspark.llm.shared import bound_batches
 
 MODEL, BEST = "/opt/tokenizers/piece_bpe_32k.model", 4
 #: Bytes of distinct words in one computation, the length from which a word is done alone, and
@@ -358,6 +359,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     nbest_changes goes with nbest_scores; ``segmentations`` makes rows of ids of it.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # of the vocabulary's fixed size
 
     def run(batches):
@@ -365,7 +367,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         encoder = Encoder(v, best)
         for batch in batches:
             data, offs = tk.utf8(batch.column(1))
-            for at, to in tk.chunks(offs, 2 << 20):
+            for at, to in tk.chunks(offs, 1_000_000):
                 rows = encoder.segmentations(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
                 same = [decode(v, ids.tolist()) == data[offs[i] : offs[i + 1]].tobytes() for i, (ids, *_) in zip(range(at, to), rows, strict=True)]
                 count = np.array([len(r[0]) for r in rows], dtype=np.int64)

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
+from quillspark.llm.shared import bound_batches
 
 U64 = np.uint64
 WIDTH, GRAM = 50, 24
@@ -471,6 +472,7 @@ def _remove(with_text: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row, and the kept bytes on request."""
     spark = docs.sparkSession
+    bound_batches(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = rows.where("id is not null and octet_length(text) >= 50").select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))

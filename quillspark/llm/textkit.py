@@ -24,7 +24,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if "p" not in _TABLES or len(_TABLES["p"]) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = 1 << max(16, int(n - 1).bit_length())
         for key, base in (("p", _BASE), ("i", _BASE_INV)):
             out = np.ones(size, dtype=U64)
             done, step = 1, base
@@ -158,6 +158,7 @@ def unshort(parts: np.ndarray) -> np.ndarray:
 
 def release() -> None:
     """Give freed memory back: workers stay, and other stages share their executors' limit."""
+    _TABLES.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -11,7 +11,8 @@ The label stands for a whole text, so training is by instance selection: all win
 texts are negatives, and of a toxic text the window that scores highest so far is the positive.
 
 Learned from at most ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` clean labelled rows, those with
-the lowest id hashes, and never from held-out ones.  Labels, language, source and id are no
+the lowest id hashes, and never from held-out ones; of rows that share an id from one, and from
+no text of more than ``ROW_BYTES``, so that the driver holds a bounded sample.  Labels, language, source and id are no
 inputs.  Null and wordless texts score 0, and so does everything where nothing was learned.
 Whole texts of any length are scored.
 """
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import textkit as tk
+from quillspark.llm.shared import bound_batches
 
 WINDOW, STRIDE, HIDDEN = 24, 12, 8
 WORD_DIM, CHAR_DIM, CHAR_ROWS, VOCABULARY = 8, 4, 4096, 4096
-TOXIC_ROWS, CLEAN_ROWS, CLEAN_WINDOWS = 800, 1600, 8_000
-EPOCHS, BATCH, RATE, THRESHOLD = 6, 256, 0.01, 0.7
+TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 800, 1600, 1 << 18
+EPOCHS, BATCH, RATE, THRESHOLD = 2, 256, 0.01, 0.7
 #: Words: letters, digits and all bytes beyond ASCII; the rest separates.
 BREAK = np.ones(256, dtype=bool)
 for _lo, _hi in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -199,8 +201,11 @@ class Net:
         return out
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Net | None:
-    """A fitted network; None where the sample doesn't hold both labels."""
+def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seeded: bool = True) -> Net | None:
+    """A fitted network; None where the sample doesn't hold both labels.
+
+    ``seeded``: a word's first component starts at half its log odds, else at 0.
+    """
     y = np.array(toxic, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return None
@@ -212,16 +217,13 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS) -> Net | Non
     odds *= (pos + neg) / (pos + neg + 4.0)  # words seen a few times only say little
     best = np.argsort(-np.abs(odds) - 1e-9 * (pos + neg), kind="stable")[:VOCABULARY]
     best = np.sort(best[(pos + neg)[best] >= 3])
-    net = Net(words.hash[best], (odds[best] / 2).astype(np.float32))
+    net = Net(words.hash[best], (odds[best] / 2 * seeded).astype(np.float32))
 
     ids, text = words.windows()
     if not len(ids):
         return None
     clean = np.flatnonzero(y[text] == 0)
     guess = np.concatenate((np.where(pos + neg >= 3, np.maximum(odds, 0), 0), [0]))[ids].sum(axis=1)
-    if len(clean) > CLEAN_WINDOWS:  # half the most suspicious ones, half any
-        hard = clean[np.argsort(-guess[clean], kind="stable")[: CLEAN_WINDOWS // 2]]
-        clean = np.union1d(hard, rng.choice(clean, CLEAN_WINDOWS // 2, replace=False))
     bad = np.flatnonzero(y[text] == 1)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     turn = 0
@@ -271,7 +273,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts, marks = [], []
     for mark, rows in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
         ids = known.where(F.col("quill_y") == mark).orderBy("h", "quill_id").limit(rows).select("quill_id").distinct()
-        got = docs.join(F.broadcast(ids), F.col(id_col) == F.col("quill_id"), "left_semi").where(F.col(text_col).isNotNull()).orderBy(F.xxhash64(id_col)).select(F.col(text_col)).collect()
+        found = docs.join(F.broadcast(ids), F.col(id_col) == F.col("quill_id"), "left_semi").where(F.octet_length(F.col(text_col)) <= ROW_BYTES)
+        one = found.groupBy(F.col(id_col).alias("quill_id")).agg(F.min(F.col(text_col)).alias("quill_text"))
+        got = one.orderBy(F.xxhash64("quill_id")).select("quill_text").collect()  # so many rows at most
         texts += [r[0] for r in got]
         marks += [mark] * len(got)
         del got
@@ -282,9 +286,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def with_scores(docs: DataFrame, net: Net | None, text_col: str = "text", name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of each row's text."""
-    place = docs.columns.index(text_col)
-    names = [*docs.columns, name]
+    """All columns of ``docs`` and the score of each row's text; a column that has the score's name is replaced."""
+    bound_batches(docs.sparkSession)
+    kept = [c for c in docs.columns if c != name]
+    docs = docs.select(*kept)
+    place, names = kept.index(text_col), [*kept, name]
 
     def run(batches):
         for batch in batches:

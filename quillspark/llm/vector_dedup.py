@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.shared import materialize
+from quillspark.llm.shared import bound_batches, materialize
 
 TRAIN_ROWS, LISTS, CODEWORDS, SUBSPACES, ROUNDS = 4096, 64, 64, 8, 8
 BLOCK, SLICE = 2048, 4096
@@ -159,6 +159,7 @@ def _compare(quantisers, cosine: float):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row; links are cosines of at least ``cosine``."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e"), F.col(label_col).alias("label"))
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
     sound = F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
