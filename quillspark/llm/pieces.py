@@ -367,7 +367,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         encoder = Encoder(v, best)
         for batch in batches:
             data, offs = tk.utf8(batch.column(1))
-            for at, to in tk.chunks(offs, 1_000_000):
+            for at, to in tk.chunks(offs, 2_000_000):
                 rows = encoder.segmentations(data[offs[at] : offs[to]], offs[at : to + 1] - offs[at])
                 same = [decode(v, ids.tolist()) == data[offs[i] : offs[i + 1]].tobytes() for i, (ids, *_) in zip(range(at, to), rows, strict=True)]
                 count = np.array([len(r[0]) for r in rows], dtype=np.int64)

@@ -30,7 +30,7 @@ from quillspark.llm.shared import bound_batches
 WINDOW, STRIDE, HIDDEN = 24, 12, 8
 WORD_DIM, CHAR_DIM, CHAR_ROWS, VOCABULARY = 8, 4, 4096, 4096
 TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 800, 1600, 1 << 18
-EPOCHS, BATCH, RATE, THRESHOLD = 2, 256, 0.01, 0.7
+EPOCHS, STEPS, BATCH, RATE, THRESHOLD = 2, 60, 256, 0.01, 0.7
 #: Words: letters, digits and all bytes beyond ASCII; the rest separates.
 BREAK = np.ones(256, dtype=bool)
 for _lo, _hi in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -227,8 +227,10 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seeded: bool
     bad = np.flatnonzero(y[text] == 1)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     turn = 0
-    for epoch in range(epochs):
-        if epoch:
+    epoch = 0
+    while epoch < epochs or turn < STEPS:  # so many passes at least, and on little data so many steps
+        epoch += 1
+        if epoch > 1:
             guess = np.zeros(len(ids))
             guess[bad] = net.logits(words, ids[bad])
         order = bad[np.lexsort((-guess[bad], text[bad]))]

@@ -297,6 +297,39 @@ def test_kernel_folds_into_one_matrix():
     assert [model.langs[b] for b in best] == langs and (share > 0.5).all()
 
 
+def test_kernel_ridge_by_brute_force():
+    """With every text a landmark the scores are those of kernel ridge regression, solved in its dual form."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdeABC é.") for _ in range(rng.randint(3, 40))) for _ in range(24)]
+    langs = [rng.choice(["x", "y", "z"]) for _ in texts]
+    new = ["abc de", "é", "", "ABCabc abc", "dd.dd"]
+
+    def columns(t):
+        b = bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode())
+        return {(int.from_bytes(b[i : i + n], "little") * int(langid._ODD[n]) & 0xFFFFFFFF) >> 16 for n in langid.ORDERS for i in range(len(b) - n + 1)}
+
+    def kernel(a, b):
+        a, b = columns(a), columns(b)
+        return len(a & b) / max(1, len(a)) ** 0.5 / max(1, len(b)) ** 0.5
+
+    model = langid.fit(texts, langs, landmarks=len(texts))
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    mid = lambda rows: rows - rows.mean(1, keepdims=True) - k.mean(0)[None, :] + k.mean()
+    names = sorted(set(langs))
+    y = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    dual = np.linalg.solve(mid(k) + langid.RIDGE * len(texts) * np.eye(len(texts)), y - y.mean(0))
+    want = y.mean(0) + mid(np.array([[kernel(a, b) for b in texts] for a in texts + new])) @ dual
+    got = model.scores(langid.presence(*tk.utf8(pa.array(texts + new))))
+    assert model.langs == names and np.allclose(got, want, atol=2e-3)
+
+
+def test_every_language_has_landmarks():
+    texts, langs = [f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 4 for i in range(60)], [f"l{i:02}" for i in range(60)]
+    model = langid.fit(texts, langs, landmarks=10)
+    best, _ = model.predict(*tk.utf8(pa.array(texts)))
+    assert [model.langs[b] for b in best] == langs
+
+
 # Toxicity
 
 
@@ -326,6 +359,52 @@ def test_toxicity(spark):
     assert got[9000] == got[9001] == got[9002] == 0.0 and all(0 <= s <= 1 for s in got.values())
 
 
+def test_network_scores_by_brute_force():
+    """A text's score, word by word in plain Python: windows, both directions, attention, calibration."""
+    rng = np.random.default_rng(4)
+    texts = ["Aa bb. cc", " ".join(rng.choice(["aa", "bb", "cc", "dd-ee", "ünd"], 55)), "", "?!", "zz"]
+    net = toxicity.Net(np.unique(toxicity.Words(*tk.utf8(pa.array(["aa bb cc dd"]))).hash), np.array([0.5, -0.3, 0.2, 0.9], np.float32))
+    net.p["char"] = rng.standard_normal(net.p["char"].shape).astype(np.float32)
+    net.slope, net.shift = 1.3, -0.2
+    p, size, sig = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+
+    def vector(word):
+        own = int(toxicity.Words(*tk.utf8(pa.array([word]))).hash[0])
+        row = list(net.vocabulary).index(own) + 1 if own in set(map(int, net.vocabulary)) else 0
+        b = [1, *word.encode(), 2]
+        rows = [((b[i - 1] << 16 | b[i] << 8 | b[i + 1]) * 0x9E3779B1 & 0xFFFFFFFF) >> 20 for i in range(1, len(b) - 1)]
+        return np.concatenate((p["word"][row], np.mean([p["char"][r % toxicity.CHAR_ROWS] for r in rows], axis=0)))
+
+    def side(vectors, s):
+        h, out = np.zeros(size), []
+        for x in vectors if s == "f" else vectors[::-1]:
+            g, m = x @ p[f"W{s}"] + p[f"c{s}"], h @ p[f"U{s}"]
+            z, r = sig(g[:size] + m[:size]), sig(g[size : 2 * size] + m[size : 2 * size])
+            n = np.tanh(g[2 * size :] + r * m[2 * size :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out if s == "f" else out[::-1]
+
+    def score(text):
+        words = re.findall("[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        logits, at = [], 0
+        while words and (not at or at + toxicity.WINDOW - toxicity.STRIDE < len(words)):
+            x = [vector(w) for w in words[at : at + toxicity.WINDOW]]
+            h = [np.concatenate(y) for y in zip(side(x, "f"), side(x, "b"), strict=True)]
+            e = np.array([np.tanh(y @ p["A"] + p["a"]) @ p["v"] for y in h])
+            w = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            logits.append(sum(a * y for a, y in zip(w, h, strict=True)) @ p["o"] + p["b"][0])
+            at += toxicity.STRIDE
+        return sig(net.slope * max(logits) + net.shift) if logits else 0.0
+
+    assert np.allclose(net.scores(*tk.utf8(pa.array(texts))), [score(t) for t in texts], atol=1e-4)
+
+
+def test_a_score_column_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "abc", "old"), (1, None, "old")], "doc_id long, text string, score string")
+    assert [tuple(r) for r in toxicity.with_scores(docs, None).collect()] == [(1, "abc", 0.0), (1, None, 0.0)]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc")], "doc_id long, text string")
     assert toxicity.fit(docs, spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) is None
