@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators import graph, pages as pg, search, store
+from quillspark.operators.lineage import settled
 from quillspark.sources import index
 
 LESSON = "_key string, problem string, solution string, context string, example string, tags array<string>, severity string, role string, task string, phase string, timestamp timestamp, embedding array<float>"
@@ -40,7 +41,7 @@ class DownloadRequest:
 
 
 class Workspace:
-    """State as DataFrames; each change gives the next state and keeps nothing else."""
+    """State as DataFrames; each change gives the next state, settled, so that plans stay short and times and keys stay put."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -52,21 +53,31 @@ class Workspace:
     def _set(self, job: str, status: str, **more) -> None:
         row = {"download_id": job, "status": status, "message": None, "start_time": None, "end_time": None, "error_details": None} | more
         change = self.spark.createDataFrame([tuple(row[c] for c in self.jobs.columns)], STATUS)
-        change = change.withColumn("start_time" if status == "running" else "end_time", F.current_timestamp()) if status != "pending" else change
-        self.jobs = store.upsert(self.jobs, change, "download_id")
+        if status == "running":
+            change = change.withColumn("start_time", store.now())
+        elif status != "pending":
+            began = self.status(job).select("start_time").first()
+            change = change.withColumns({"start_time": F.lit(began and began[0]).cast("timestamp"), "end_time": store.now()})
+        self.jobs = settled(store.upsert(self.jobs, change, "download_id"))
 
     def status(self, job: str) -> DataFrame:
         return store.get(self.jobs, "download_id", job)
 
     def download(self, request: DownloadRequest, fetched: DataFrame) -> None:
-        """Take a fetched set (page_id, url, html) in; a running job is refused."""
+        """Take a fetched set (page_id, url, html) in; a running job is refused, one that breaks off is failed."""
         now = self.status(request.download_id).select("status").first()
         if now is not None and now[0] == "running":
             raise RuntimeError(f"{request.download_id} is running")
         self._set(request.download_id, "pending")
         self._set(request.download_id, "running")
-        rows = fetched.select("page_id", "url", "html").withColumn("download_id", F.lit(request.download_id))
-        self.pages = self.pages.where(F.col("download_id") != request.download_id).unionByName(rows)
+        try:
+            rows = fetched.select("page_id", "url", "html").withColumn("download_id", F.lit(request.download_id))
+            pages = settled(self.pages.where(F.col("download_id") != request.download_id).unionByName(rows))
+            pages.count()  # where rows are only kept, they are read here
+        except Exception as e:
+            self._set(request.download_id, "failed", message="the fetched rows can't be read", error_details=str(e)[:1000])
+            raise
+        self.pages = pages
         self._set(request.download_id, "completed")
 
     def index(self, job: str) -> DataFrame:
@@ -86,24 +97,24 @@ class Workspace:
     # Knowledge base
 
     def add_lesson(self, rows: DataFrame) -> None:
-        self.lessons = store.insert(self.lessons, rows)
+        self.lessons = settled(store.insert(self.lessons, rows))
 
     def get_lesson(self, key: str) -> DataFrame:
         return store.get(self.lessons, "_key", key)
 
     def update_lesson(self, changes: DataFrame) -> None:
-        self.lessons = store.update(self.lessons, changes, "_key")
+        self.lessons = settled(store.update(self.lessons, changes, "_key"))
 
     def delete_lesson(self, keys: DataFrame) -> None:
         """Lessons go with all their relationships; unknown keys change nothing."""
-        self.edges = store.cascade(self.edges, keys, "_key")
-        self.lessons = store.delete(self.lessons, keys, "_key")
+        self.edges = settled(store.cascade(self.edges, keys, "_key"))
+        self.lessons = settled(store.delete(self.lessons, keys, "_key"))
 
     def add_relationship(self, rows: DataFrame) -> None:
-        self.edges = store.insert_edges(self.edges, rows)
+        self.edges = settled(store.insert_edges(self.edges, rows))
 
     def delete_relationship(self, keys: DataFrame) -> None:
-        self.edges = store.delete(self.edges, keys, "_key")
+        self.edges = settled(store.delete(self.edges, keys, "_key"))
 
     def traverse(self, start: str, least: int = 1, most: int = 1, direction: str = "OUTBOUND") -> DataFrame:
         starts = self.spark.createDataFrame([(start,)], "start string")

@@ -12,19 +12,28 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.arrow import arrow_udf
 
-#: File suffixes that are kept and those that can be searched.
-KEPT_SUFFIXES = [".html", ".htm", ".md", ".rst", ".txt", ".json", ".xml"]
-LOCAL_SUFFIXES = [".local", ".internal", ".localhost", ".lan", ".home.arpa"]
+#: Suffixes that a stored file keeps, those that can be searched, and local names.
+KEPT_SUFFIXES = [
+    ".html", ".htm", ".txt", ".js", ".css", ".json", ".xml", ".md", ".rst", ".pdf", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".ico",
+    ".woff", ".woff2", ".ttf", ".otf", ".eot", ".yaml", ".yml",
+]
+SEARCHED_SUFFIXES = [".html", ".htm", ".md", ".rst", ".txt", ".json", ".xml"]
+LOCAL_SUFFIXES = [".localhost", ".local", ".internal", ".test", ".example", ".invalid", ".lan", ".home.arpa"]
+MOST_PATH, MOST_NAME = 400, 100
 
 
 def _part(url: Column, group: int) -> Column:
     return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#;]*)", group)
 
 
+def _full(url: Column) -> Column:
+    t = F.trim(url)
+    return F.when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t).otherwise(F.concat(F.lit("http://"), t))
+
+
 def canonical(url: Column) -> Column:
     """Scheme and host in lower case, no default port, path decoded, no query, fragment or last slash."""
-    t = F.trim(url)
-    full = F.when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t).otherwise(F.concat(F.lit("http://"), t))
+    full = _full(url)
     scheme, host, path = F.lower(_part(full, 1)), F.lower(_part(full, 2)), _part(full, 3)
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
@@ -37,23 +46,30 @@ def download_id(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.regexp_replace(F.lower(_part(url, 2)), ":[0-9]+$", "")
+    """The host in lower case, without user, port and final dots."""
+    return F.regexp_replace(F.regexp_replace(F.lower(_part(url, 2)), "^.*@|:[0-9]*$", ""), "[.]+$", "")
 
 
-def local_path(url: Column) -> Column:
-    """host/<readable name, 100 characters at most>-<8 hex digits><suffix>."""
+def local_path(url: Column, base: str = "") -> Column:
+    """host/<readable name, 100 characters at most>-<8 hex digits><suffix of the address, or .html>.
+
+    Where that exceeds 400 characters, the base included, the name is ``url``; null if it still does.
+    """
     c = canonical(url)
-    suffix = F.lower(F.regexp_extract(c, r"(\.[A-Za-z0-9]+)$", 1))
+    suffix = F.lower(F.regexp_extract(_part(_full(url), 3), r"[^/.][^/]*(\.[^./]*)$", 1))
     suffix = F.when(suffix.isin(KEPT_SUFFIXES), suffix).otherwise(F.lit(".html"))
-    name = F.substring(F.regexp_replace(F.regexp_replace(c, "^[a-z]+://", ""), r"[^A-Za-z0-9_-]+", "_"), 1, 100)
-    return F.concat(host_of(c), F.lit("/"), name, F.lit("-"), F.substring(F.sha2(c, 256), 1, 8), suffix)
+    name = F.substring(F.regexp_replace(F.regexp_replace(c, "^[a-z]+://", ""), r"[^A-Za-z0-9_-]+", "_"), 1, MOST_NAME)
+    path = lambda n: F.concat(host_of(c), F.lit("/"), n, F.lit("-"), F.substring(F.sha2(c, 256), 1, 8), suffix)
+    room = MOST_PATH - len(base and base.rstrip("/") + "/")
+    fits = lambda n: F.length(path(n)) <= room
+    return F.when(fits(name), path(name)).when(fits(F.lit("url")), path(F.lit("url")))
 
 
 def safe_name(text: Column) -> Column:
     return F.regexp_replace(text, r"[^A-Za-z0-9_\-]+", "_")
 
 
-def has_suffix(path: Column, suffixes=tuple(KEPT_SUFFIXES)) -> Column:
+def has_suffix(path: Column, suffixes=tuple(SEARCHED_SUFFIXES)) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(list(suffixes))
 
 
@@ -86,18 +102,26 @@ def _private_address(host: pd.Series) -> pd.Series:
         try:
             ip = ipaddress.ip_address((h or "").strip("[]"))
         except ValueError:
-            return False
+            return True
         return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified
 
     return pd.Series([one(h) for h in host])
 
 
 def unsafe(url: Column, allowed=()) -> Column:
-    """No host, a local name or a private literal address; names aren't resolved here."""
+    """No host, a local name or a private literal address; names aren't resolved here.
+
+    A host that resolvers may read as an address in another form is refused: numbers that aren't
+    four plain decimals (one integer, octal, hexadecimal), digits or dots beyond ASCII, blanks,
+    backslashes and escapes.
+    """
     host = host_of(url)
     local = (host == "") | (host == "localhost") | host.rlike("(" + "|".join(s.replace(".", r"\.") for s in LOCAL_SUFFIXES) + ")$")
-    literal = host.rlike(r"^[0-9.]+$|^\[.*\]$|:")
-    test = F.when(literal, _private_address(host)).otherwise(F.lit(False))
+    odd = host.rlike(r"[\s\\%。．｡]|[\p{Nd}&&[^0-9]]")
+    plain = host.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$")
+    number = host.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$")
+    literal = plain | host.rlike(r"[:\[\]]")
+    test = F.when(literal, _private_address(host)).otherwise(number | odd)
     return F.when(host.isin(list(allowed)), F.lit(False)).otherwise(F.coalesce(local | test, F.lit(True)))
 
 

@@ -166,8 +166,10 @@ def substring_search(docs: DataFrame, query: str, key: str = "doc_id", text_col:
 
 
 def fuzzy_tags(docs: DataFrame, keywords, key: str = "doc_id", tags_col: str = "tags", least: float = 97.0, limit: int = 10) -> DataFrame:
-    """Documents that share a tag with the keywords, by how many keywords are like some tag."""
+    """Documents that share a tag with the keywords, by how many keywords are like some tag; blank keywords find nothing."""
     words = tx.clean_keywords(keywords)
+    if not words:
+        return _page(docs.select(key, F.lit(0).alias("matches")).where(F.lit(False)), [F.col(key)], limit, 0)
     rows = docs.where(F.arrays_overlap(tags_col, F.array(*[F.lit(w) for w in words])))
     n = reduce(lambda a, b: a + b, [(fuzzy.ratio_udf(w)(F.col(tags_col)) >= least).cast("int") for w in words])
     return _page(rows.select(key, n.alias("matches")).where("matches > 0"), [F.col("matches").desc(), F.col(key)], limit, 0)
@@ -177,8 +179,11 @@ def fuzzy_text(docs: DataFrame, keywords, fields, key: str = "doc_id", mode: str
     """LIKE first, natively; then the best partial ratio of each keyword in any field.
 
     A keyword scores its ratio where that is ``least`` or more; the sum ranks the documents.
+    Blank keywords find nothing.
     """
     words = tx.clean_keywords(keywords)
+    if not words:
+        return _page(docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False)), [F.col(key)], limit, 0)
     join = (lambda a, b: a & b) if mode == "AND" else (lambda a, b: a | b)
     rows = docs.where(reduce(join, [tx.like_any([F.col(f) for f in fields], w) for w in words]))
     best = lambda w: F.greatest(*[fuzzy.partial_udf(w, least)(F.col(f)) for f in fields], F.lit(0.0))

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.lineage import settled
+
 BASE_EDGE_FIELDS = ("_key", "_from", "_to", "rationale", "type", "timestamp")
 IMMUTABLE = ("_key", "_id", "_rev")
 
 
+def now() -> Column:
+    """The time of the change as a constant; a time taken in the plan would move on every read."""
+    return F.lit(datetime.now(timezone.utc))
+
+
 def get(table: DataFrame, key: str, value) -> DataFrame:
     return table.where(F.col(key) == value)
 
@@ -31,15 +40,19 @@ def update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def insert(table: DataFrame, rows: DataFrame, required=("problem", "solution"), key: str = "_key", time_col: str = "timestamp") -> DataFrame:
-    """Append rows that have all required fields; a missing key or time is made."""
+    """Append rows that have all required fields; a missing key or time is made, once, and then stays.
+
+    Made keys are random, so rows are settled before they are appended.
+    """
     test = [(F.coalesce(F.trim(F.col(r)), F.lit("")) != "") for r in required]
     good = rows.where(test[0] if len(test) == 1 else test[0] & test[1] if len(test) == 2 else F.expr(" and ".join(f"coalesce(trim(`{r}`), '') <> ''" for r in required)))
     made = {}
     if key in rows.columns:
         made[key] = F.coalesce(F.col(key).cast("string"), F.expr("uuid()"))
     if time_col in rows.columns:
-        made[time_col] = F.coalesce(F.col(time_col), F.current_timestamp())
-    return table.unionByName(good.withColumns(made), allowMissingColumns=True)
+        made[time_col] = F.coalesce(F.col(time_col), now())
+    rows = good.withColumns(made)
+    return table.unionByName(settled(rows) if key in made else rows, allowMissingColumns=True)
 
 
 def merge_attributes(old: Column, new: Column) -> Column:
@@ -56,7 +69,7 @@ def merge(table: DataFrame, changes: DataFrame, key: str, attrs: str = "attrs",
     joined = table.join(c, key, "left")
     out = joined.withColumn(attrs, F.when(F.col("_changes").isNull(), F.col(attrs)).otherwise(merge_attributes(F.col(attrs), F.col("_changes"))))
     if time_col:
-        out = out.withColumn(time_col, F.when(F.col("_changes").isNull(), F.col(time_col)).otherwise(F.current_timestamp()))
+        out = out.withColumn(time_col, F.when(F.col("_changes").isNull(), F.col(time_col)).otherwise(now()))
     return out.select(*table.columns)
 
 

@@ -21,8 +21,14 @@ _CANON = """canon AS (
 addr AS (
   SELECT page_id, url, html, host, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END AS canonical_url
   FROM (SELECT *, CASE WHEN scheme = 'http' THEN regexp_replace(host0, ':80$', '') WHEN scheme = 'https' THEN regexp_replace(host0, ':443$', '') ELSE host0 END AS host, rtrim(path0, '/') AS path FROM canon))"""
-_PATH = """regexp_replace(host, ':[0-9]+$', '') || '/' || substr(regexp_replace(regexp_replace(canonical_url, '^[a-z]+://', ''), '[^A-Za-z0-9_-]+', '_', 'g'), 1, 100) || '-' || substr(sha256(canonical_url), 1, 8)
-  || CASE WHEN lower(regexp_extract(canonical_url, '(\\.[A-Za-z0-9]+)$', 1)) IN ('.html', '.htm', '.md', '.rst', '.txt', '.json', '.xml') THEN lower(regexp_extract(canonical_url, '(\\.[A-Za-z0-9]+)$', 1)) ELSE '.html' END"""
+# A file's place, without regular expressions for the suffix: the last piece after a dot of the last piece after a slash.
+_LAST = "list_last(string_split(regexp_replace(split_part(split_part(split_part(url, '#', 1), '?', 1), ';', 1), '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*', ''), '/'))"
+_DOTTED = f"CASE WHEN ltrim({_LAST}, '.') LIKE '%.%' THEN '.' || lower(list_last(string_split({_LAST}, '.'))) END"
+_SUFFIX = f"""CASE WHEN {_DOTTED} IN ('.html', '.htm', '.txt', '.js', '.css', '.json', '.xml', '.md', '.rst', '.pdf', '.png', '.jpg', '.jpeg', '.gif', '.svg', '.webp', '.ico', '.woff', '.woff2', '.ttf', '.otf', '.eot', '.yaml', '.yml')
+  THEN {_DOTTED} ELSE '.html' END"""
+_HOST = "rtrim(regexp_replace(list_last(string_split(host, '@')), ':[0-9]*$', ''), '.')"
+_NAME = "substr(regexp_replace(regexp_replace(canonical_url, '^[a-z]+://', ''), '[^A-Za-z0-9_-]+', '_', 'g'), 1, 100)"
+_PATH = f"{_HOST} || '/' || {_NAME} || '-' || substr(sha256(canonical_url), 1, 8) || {_SUFFIX}"
 
 
 @query(f"WITH {_CANON} SELECT page_id, canonical_url, md5(canonical_url) AS download_id, {_PATH} AS local_path, md5(html) AS content_md5, sha256(html) AS content_sha256 FROM addr")
@@ -31,13 +37,23 @@ def canonical_addresses(spark, d):
     return table(spark, d, "pages").select("page_id", urls.canonical(u).alias("canonical_url"), urls.download_id(u).alias("download_id"), urls.local_path(u).alias("local_path"), F.md5("html").alias("content_md5"), F.sha2("html", 256).alias("content_sha256"))
 
 
-@query(f"""WITH {_CANON}, h AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':[0-9]+$', '') AS host FROM pages)
-SELECT page_id, CASE WHEN host = '' OR host = 'localhost' OR regexp_matches(host, '\\.(local|internal|localhost|lan)$') THEN 'failed_ssrf'
-  WHEN host <> (SELECT min(host) FROM h WHERE host <> '') THEN 'skipped_domain' WHEN contains(url, '?') THEN 'failed_robotstxt' ELSE 'admitted' END AS status FROM h""")
+# Every page's address, and the same path at hosts that must be refused or admitted.
+_HOSTS = ["", "x@127.0.0.1", "u:p@localhost", "localhost.", "2130706433", "0x7f.1", "127.1", "10.0.0.8:8080", "[::1]", "wiki.internal", "8.8.8.8", "me@8.8.8.8:80"]
+
+
+@query(f"""WITH forms AS (SELECT unnest({_HOSTS!r}) AS form),
+h AS (SELECT page_id, form, url, CASE WHEN form = '' THEN lower(split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1)) ELSE form END AS netloc FROM pages, forms),
+n AS (SELECT *, rtrim(regexp_replace(list_last(string_split(netloc, '@')), ':[0-9]*$', ''), '.') AS host FROM h),
+o AS (SELECT *, string_split(host, '.') AS labels FROM n)
+SELECT page_id, form, CASE WHEN host = '' OR list_last(labels) IN ('localhost', 'local', 'internal', 'test', 'example', 'invalid', 'lan') OR host LIKE '%home.arpa' OR host = '[::1]'
+    OR (list_last(labels) SIMILAR TO '0x[0-9a-f]*|[0-9]+' AND (len(labels) <> 4 OR labels[1] IN ('0', '10', '127'))) THEN 'failed_ssrf'
+  WHEN host <> (SELECT min(host) FROM n WHERE form = '' AND host <> '') THEN 'skipped_domain' WHEN contains(url, '?') THEN 'failed_robotstxt' ELSE 'admitted' END AS status FROM o""")
 def link_admission(spark, d):
     pages = table(spark, d, "pages")
     start = pages.select(urls.host_of(F.col("url")).alias("h")).where("h <> ''").agg(F.min("h")).first()[0]
-    return pages.select("page_id", urls.admission(F.col("url"), start, ~F.contains("url", F.lit("?")), F.lit(True)).alias("status"))
+    forms = pages.select("page_id", "url", F.explode(F.array(*[F.lit(h) for h in _HOSTS])).alias("form"))
+    url = F.when(F.col("form") == "", F.col("url")).otherwise(F.concat(F.lit("http://"), F.col("form"), F.lit("/")))
+    return forms.select("page_id", "form", urls.admission(url, start, ~F.contains("url", F.lit("?")), F.lit(True)).alias("status"))
 
 
 @query(f"""WITH {_CANON}, r AS (SELECT *, contains(url, '.net') AS failed FROM addr)

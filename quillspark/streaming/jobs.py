@@ -9,7 +9,10 @@ TRANSITIONS = {("", "pending"), ("pending", "running"), ("running", "completed")
 
 
 def first_visits(stream: DataFrame, key: str, time_col: str, late: str = "1 hour") -> DataFrame:
-    """Each key once inside the watermark; the state is bounded by it."""
+    """Each key once inside the watermark, which bounds the state; a key that comes again later than that passes again.
+
+    Where a key must never return, ``sources.index.new_files`` tests against the stored index as well.
+    """
     return stream.withWatermark(time_col, late).dropDuplicatesWithinWatermark([key])
 
 

@@ -1,5 +1,7 @@
 """The workspace's verbs, robots files, messages and folder extraction."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,28 @@ def test_download_and_search(spark):
     assert w.health()["status"] == "ok"
 
 
+def test_times_and_keys_stay(spark):
+    w = Workspace(spark)
+    pages = spark.createDataFrame([(1, "https://e.com/1", "<p>x</p>")], "page_id long, url string, html string")
+    w.download(DownloadRequest("website", "https://e.com", "job"), pages)
+    w.add_lesson(lesson(spark, (None, "p", "s", [], None), (None, "p", "s", [], None)))
+    first = w.status("job").collect(), sorted(w.lessons.collect())
+    time.sleep(1.1)
+    assert (w.status("job").collect(), sorted(w.lessons.collect())) == first
+    assert first[0][0].start_time <= first[0][0].end_time and len({r["_key"] for r in first[1]}) == 2
+
+
+def test_a_download_fails(spark):
+    w = Workspace(spark)
+    broken = spark.range(3).select(F.col("id").alias("page_id"), F.raise_error(F.lit("cut off")).alias("url"), F.lit("").alias("html"))
+    with pytest.raises(Exception, match="cut off"):
+        w.download(DownloadRequest("website", "https://e.com", "job"), broken)
+    state = w.status("job").first()
+    assert state.status == "failed" and "cut off" in state.error_details and state.end_time is not None
+    with pytest.raises(RuntimeError):
+        w.search_pages("job", ["x"], "p")
+
+
 def test_knowledge_base(spark):
     w = Workspace(spark)
     w.add_lesson(lesson(spark, ("a", "json parse", "use a parser", ["json"], [1.0, 0.0]), ("b", "shell quotes", "quote it", ["shell"], [0.0, 1.0]), ("c", " ", "no problem given", [], None)))

@@ -44,7 +44,29 @@ def test_canonical_is_idempotent(spark):
 def test_local_path(spark):
     (a, b) = column(spark, ["https://example.com/docs/page.html", "https://example.com/docs/image.png?x=1"], urls.local_path)
     assert a.startswith("example.com/example_com_docs_page_html-") and a.endswith(".html")
-    assert b.endswith(".html") and len(b) < 400
+    assert b.endswith(".png") and len(b) < 400
+    kept = column(spark, ["http://e.com/a.PDF", "http://e.com/a.exe", "http://e.com/.png", "http://e.com/a.b/c", "e.com/x.yaml;v=1"], urls.local_path)
+    assert [p.rpartition(".")[2] for p in kept] == ["pdf", "html", "html", "html", "yaml"]
+
+
+def test_local_path_too_long(spark):
+    host = "h" * 200 + ".com"
+    (a,) = column(spark, [f"http://{host}/{'x' * 300}.md"], lambda u: urls.local_path(u, "/data/" + "b" * 90))
+    (b,) = column(spark, [f"http://{host}/x.md"], lambda u: urls.local_path(u, "/data/" + "b" * 250))
+    assert a.startswith(f"{host}/url-") and a.endswith(".md") and b is None
+
+
+LOCAL = ["http://x@127.0.0.1/", "http://user:p@localhost/", "http://localhost./", "http://2130706433/", "http://0x7f000001/", "http://0177.0.0.1/", "http://127.1/", "http://a.test/", "http://b.example", "http://c.invalid/", "http://[::ffff:127.0.0.1]/", "http://a\\@10.0.0.1/", "http://１２７.0.0.1/", "http://loc%61lhost/", "http://8.8.8.8:80:90/", "http://999.1.1.1/"]
+
+
+@pytest.mark.parametrize("url", LOCAL)
+def test_local_targets_in_other_forms(spark, url):
+    assert column(spark, [url], urls.unsafe) == [True]
+
+
+def test_hosts(spark):
+    urls_ = ["http://u:p@E.com:81/x@y", "https://e.com./", "http://e.com:/", "mailto:x@e.com", "http://me@8.8.8.8/"]
+    assert column(spark, urls_, urls.host_of) == ["e.com", "e.com", "e.com", "", "8.8.8.8"] and column(spark, urls_[-1:], urls.unsafe) == [False]
 
 
 @pytest.mark.parametrize(

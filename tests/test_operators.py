@@ -66,6 +66,8 @@ def test_fuzzy_keyword_and_tags(spark):
     rows = spark.createDataFrame(TAGGED, "doc_id long, problem string, tags array<string>")
     assert sorted(keys(se.fuzzy_tags(rows, ["alpha", "beta"]))) == [1, 2, 3] and keys(se.fuzzy_tags(rows, ["alpha", "beta"]))[0] == 3
     assert keys(se.fuzzy_tags(rows, ["none"])) == []
+    for blank in ([], ["", "  ", None]):
+        assert keys(se.fuzzy_tags(rows, blank)) == [] and keys(se.fuzzy_text(rows, blank, ["problem"])) == []
     assert sorted(keys(se.fuzzy_text(rows, ["alpha", "id"], ["problem"]))) == [1, 2, 3]
     assert keys(se.fuzzy_text(rows, ["id", "beta"], ["problem"], mode="AND")) == [3]
     assert sorted(keys(se.tag_search(rows, ["search", "beta"]))) == [1, 2, 3]
