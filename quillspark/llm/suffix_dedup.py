@@ -41,6 +41,8 @@ REACH = WIDTH - GRAM  # bytes that a string can stand out beyond its minimiser,
 #: Symbols of one merge (whole groups of segments with one minimiser), and of one shard.
 MERGED, SHARD = 1 << 17, 1 << 21
 _NONE = U64(2**64 - 1)
+#: Bytes of text of one bucket of documents, about.
+BUCKET_BYTES = 64 << 20
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -469,17 +471,25 @@ def _remove(with_text: bool):
     return run
 
 
+def _prime(n: int) -> int:
+    """The least prime from n on: ids in equal steps spread over a prime number of buckets."""
+    while n < 2 or any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for every row, and the kept bytes on request."""
     spark = docs.sparkSession
     bound_batches(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = rows.where("id is not null and octet_length(text) >= 50").select("id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = _prime(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+    known = rows.where("id is not null and octet_length(text) >= 50").select("id", F.xxhash64(F.lit(1), "text").alias("h1"), F.xxhash64(F.lit(2), "text").alias("h2"))
     firsts = known.groupBy("h1", "h2").agg(F.min("id").alias("least"))
     copies = known.join(firsts, ["h1", "h2"]).where("id > least")
     copies = copies.select(F.pmod("id", F.lit(buckets).cast("long")).alias("bucket"), F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("keys"), F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("ids"))
-    placed = rows.withColumn("bucket", F.coalesce(F.pmod("id", F.lit(buckets).cast("long")), F.lit(0).cast("long")))
+    placed = rows.withColumn("bucket", F.coalesce(F.pmod("id", F.lit(buckets).cast("long")), F.pmod(F.xxhash64("text"), F.lit(buckets).cast("long"))))
     by_doc = placed.groupBy("bucket")  # one exchange of the texts serves all three steps
     anchored = by_doc.cogroup(copies.groupBy("bucket")).applyInArrow(_tidy(_known_only(_collect(buckets))), _PACKED)
     shared = anchored.groupBy("bucket").applyInArrow(_tidy(_shared(buckets)), _PACKED)
