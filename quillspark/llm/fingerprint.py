@@ -47,7 +47,7 @@ def vector(text: Column) -> Column:
     """struct(dense array<long>, lanes array<long>) of a text."""
     paragraphs = F.filter(F.split(text, "[\\n\\r]+"), lambda p: p != "")
     sentences = F.filter(F.transform(F.split(text, "[.!?\\n\\r]+"), lambda s: F.trim(s)), lambda s: s != "")
-    add = lambda i: lambda acc, p: (acc + F.xxhash64(p, F.lit(i)).bitwiseAND(F.lit(_DENSE_MASK))).bitwiseAND(F.lit(_DENSE_MASK))
+    add = lambda i: lambda acc, p: (acc + F.xxhash64(F.lit(i), p).bitwiseAND(F.lit(_DENSE_MASK))).bitwiseAND(F.lit(_DENSE_MASK))
     dense = let(paragraphs, lambda ps: F.array(*[F.aggregate(ps, F.lit(0).cast("long"), add(i)) for i in range(DENSE)]))
     entries = F.sort_array(F.transform(sentences, lambda s: F.xxhash64(s).bitwiseAND(F.lit((1 << (LANE_BITS + VALUE_BITS)) - 1))))
     return F.struct(dense.alias("dense"), _lanes(entries).alias("lanes"))

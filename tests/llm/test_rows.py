@@ -52,6 +52,56 @@ def test_license_rules():
         assert re.compile(r["pattern"]) and r["pattern"].startswith("^" + r["keyword"][:3])
 
 
+def most_words(parsed) -> int:
+    """The most blanks that a parsed pattern can match, without its unbounded repetitions."""
+    n = 0
+    for kind, arg in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            n += arg == 32
+        elif name == "BRANCH":
+            n += max(most_words(x) for x in arg[1])
+        elif name == "SUBPATTERN":
+            n += most_words(arg[3])
+        elif name == "MAX_REPEAT":
+            n += most_words(arg[2]) * (arg[1] if arg[1] < 1000 else 1)
+    return n
+
+
+def test_no_rule_reaches_beyond_its_words():
+    assert max(most_words(re._parser.parse(r["pattern"])) for r in licenses.rules()) < licenses.REACH
+    assert len({r["pattern"] for r in licenses.rules()}) == len(licenses.rules())
+
+
+def sample(pattern: str) -> str:
+    """A text that a rule matches, its optional parts left out."""
+    pattern = re.sub(r"\(\?: \[\^ \]\+\)\{0,7\}", " b c", pattern.lstrip("^"))
+    pattern = pattern.replace("[^ ]+", "a").replace("[cs]", "s").replace("[1-4] [05]", "4 0").replace("(?:[12][0-9]{3} )+", "1999 " * 40)
+    while "(?:" in pattern:
+        pattern = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] else m[1].split("|")[0], pattern)
+    return re.sub(r".\?", "", pattern)
+
+
+def test_every_rule_passes_the_gates(spark):
+    rules = licenses.rules()
+    rows = [(r["rule"], "x " + sample(r["pattern"])) for r in rules]
+    assert all(re.match(r["pattern"], t[2:]) for r, (_, t) in zip(rules, rows, strict=True))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for r, (_, text) in zip(rules, rows, strict=True):
+        first = got[r["rule"]].matches[0] if got[r["rule"]].matches else None
+        assert first is not None and first.start == 1, text
+
+
+def test_long_matches_are_not_cut(spark):
+    grant = "licensed under the terms of the creative commons attribution non commercial no derivatives 4 0 international public license"
+    rows = [(1, grant), (2, "copyright c " + "1999 " * 500 + "x"), (2, None), (None, "MIT License"), (None, "\u0130 \u212a MIT LICENSE")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(m.start, m.end, m.label) for m in got[0].matches] == [(0, 18, "cc-by-nc-nd")]
+    assert [(m.start, m.end) for m in got[1].matches] == [(0, 502)]
+    assert [(r.doc_id, r.n_words, r.labels) for r in got[2:]] == [(2, 0, ""), (None, 2, "mit"), (None, 4, "mit")]
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_covered_matches_are_suppressed(spark):
     rows = spark.createDataFrame([(1, "licensed under the mit license and bsd 3 clause license")], "doc_id long, text string")
     kept = [(m.start, m.end, m.label, m.priority) for m in licenses.scan(rows).first().matches]
@@ -91,7 +141,7 @@ def test_fingerprint_against_python(spark):
     h = spark.createDataFrame([(text,)], "t string")
     paragraphs = [p for p in re.split(r"[\n\r]+", text) if p]
     sentences = [s for s in (x.strip(" ") for x in re.split(r"[.!?\n\r]+", text)) if s]
-    hashes = spark.createDataFrame([(p,) for p in paragraphs + sentences], "p string").select(F.xxhash64("p"), *[F.xxhash64("p", F.lit(i)) for i in range(fp.DENSE)]).collect()
+    hashes = spark.createDataFrame([(p,) for p in paragraphs + sentences], "p string").select(F.xxhash64("p"), *[F.xxhash64(F.lit(i), "p") for i in range(fp.DENSE)]).collect()
     dense = [sum(r[1 + i] & (2**48 - 1) for r in hashes[: len(paragraphs)]) % 2**48 for i in range(fp.DENSE)]
     lanes: dict[int, int] = {}
     for r in hashes[len(paragraphs) :]:
