@@ -61,13 +61,19 @@ def tokens(line: Column, k: int, short: bool = False) -> Column:
     return let(hashed, lambda h: F.when((F.size(h) < k) | blank(h), few(h)).otherwise(grams(h)))
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select("id", "th", F.posexplode(F.split("lowered", "\n")).alias("at", "line"))
+def judged(line: Column, k: int, short: bool) -> Column:
+    """Whether a line has a token set: by its words alone, so that no filter makes tokens a second time."""
+    return line.rlike(r"[^\x20\x09-\x0D]" if short else rf"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{k - 1}}}[^\x20\x09-\x0D]")
+
+
+def _lines(rows: DataFrame, k: int, short: bool) -> DataFrame:
+    """The lines that have a token set, each with its text and place."""
+    return rows.select("id", "th", F.posexplode(F.split("lowered", "\n")).alias("at", "line")).where(judged(F.col("line"), k, short))
 
 
 def rarity_classes(rows: DataFrame, k: int, short: bool = False) -> list[int]:
     """The class of each hash bucket over all lines."""
-    token = _lines(rows).select(F.explode(tokens(F.col("line"), k, short)).alias("t"))
+    token = _lines(rows, k, short).select(F.explode(tokens(F.col("line"), k, short)).alias("t"))
     counts = token.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
     out = [0] * BUCKETS
     for bucket, n in counts.collect():  # BUCKETS rows at most
@@ -83,15 +89,20 @@ def ranked(line: Column, k: int, classes: list[int], short: bool = False) -> Col
     return F.sort_array(F.array_distinct(F.transform(tokens(line, k, short), key)))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, short: bool = False) -> DataFrame:
-    """The documents' rows and columns with later similar lines removed, and n_lines, n_removed added."""
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, short: bool = False, drop_emptied: bool = False) -> DataFrame:
+    """The documents' rows and columns with later similar lines removed, and n_lines, n_removed added.
+
+    With ``drop_emptied`` (and ``short``) documents go of which only blank lines would be left.
+    """
+    if drop_emptied and not short:
+        raise ValueError("documents are emptied for certain only where short lines are judged too")
     spark, text = docs.sparkSession, F.col(text_col).cast("string")
     key = {"id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)), "th": F.xxhash64(F.lit(1), text)}
     rows = docs.select(*[c.alias(n) for n, c in key.items()], F.lower(text).alias("lowered"))
     classes = rarity_classes(rows, k, short)
 
     need = lambda n: F.floor((n * num + (den - 1)) / den)  # noqa: E731  the least overlap with any partner
-    sets = _lines(rows).select(*PLACE, ranked(F.col("line"), k, classes, short).alias("tokens")).where("size(tokens) > 0")
+    sets = _lines(rows, k, short).select(*PLACE, ranked(F.col("line"), k, classes, short).alias("tokens"))
     keyed = sets.select(
         F.struct(*PLACE).alias("place"),
         F.xxhash64(F.lit(1), "tokens").alias("k1"),
@@ -111,8 +122,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     wanted = firsts.select("line", *PLACE).join(met.select("line").distinct(), "line")
     wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "line")).alias("wanted"))  # the lines of one text
-    fetched = rows.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("id", "th", F.explode("wanted").alias("w"), F.split("lowered", "\n").alias("lines"))
-    fetched = fetched.select(F.col("w.line").alias("line"), "id", "th", F.col("w.at").alias("at"), ranked(F.get("lines", F.col("w.at")), k, classes, short).alias("tokens"))
+    fetched = rows.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
+    # A text is split once, before its lines are exploded.
+    line = lambda lines: lambda w: F.struct(w["line"].alias("line"), w["at"].alias("at"), F.get(lines, w["at"]).alias("words"))
+    fetched = fetched.select("id", "th", F.explode(let(F.split("lowered", "\n"), lambda lines: F.transform("wanted", line(lines)))).alias("w"))
+    fetched = fetched.select("w.line", "id", "th", "w.at", ranked(F.col("w.words"), k, classes, short).alias("tokens"))
     fetched = materialize(fetched, "fetched")
     free(spark)
 
@@ -145,14 +159,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kept = firsts.select("line", *PLACE).join(covered, "line", "left_anti")
     kept = kept.groupBy("id", "th").agg(F.collect_list("at").alias("quill_kept")).withColumnsRenamed({"id": "quill_id", "th": "quill_th"})
-    # Only lines with a token set are judged; whether a line has one follows from its words alone.
-    judged = lambda line: F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= (1 if short else k)
     joined = docs.withColumns({"quill_key": key["id"], "quill_hash": key["th"]})
     joined = joined.join(kept, (F.col("quill_key") == F.col("quill_id")) & (F.col("quill_hash") == F.col("quill_th")), "left")
+    if drop_emptied:  # tested on the text as it was: a test of what is left would be pushed below and repeat the work
+        joined = joined.where(F.col("quill_kept").isNotNull() | F.coalesce(~judged(text, k, short), F.lit(True)))
     joined = joined.withColumn("quill_lines", F.split(text, "\n"))
     at = F.sequence(F.lit(0), F.size("quill_lines") - 1)
     other = F.array_except(at, F.coalesce(F.col("quill_kept"), F.array().cast("array<int>")))
-    joined = joined.withColumn("quill_gone", F.filter(other, lambda i: judged(F.get(F.col("quill_lines"), i))))
+    joined = joined.withColumn("quill_gone", F.filter(other, lambda i: judged(F.get(F.col("quill_lines"), i), k, short)))
     left = F.transform(F.array_except(at, F.col("quill_gone")), lambda i: F.get(F.col("quill_lines"), i))
     extra = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     number = lambda c: F.when(text.isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")

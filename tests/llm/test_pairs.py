@@ -206,6 +206,24 @@ def test_line_dedup_null_and_repeated_ids(spark):
     assert got == sorted([(None, ""), (3, ""), (3, ""), (1, "x\n" + line)], key=str)
 
 
+def test_line_dedup_drops_emptied_documents(spark):
+    rows = [(1, "a b c d e f\nx\n"), (2, "a b c d e f\n \nx"), (3, " \n"), (4, None), (5, ""), (6, "x\nnew"), (None, "x"), (2, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    with pytest.raises(ValueError):
+        line_dedup.line_dedup(docs, drop_emptied=True)
+    out = line_dedup.line_dedup(docs, short=True).collect()
+    want = [r for r in out if r.n_removed == 0 or (r.text or "").strip()]
+    got = line_dedup.line_dedup(docs, short=True, drop_emptied=True).collect()
+    order = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    assert sorted(got, key=order) == sorted(want, key=order) and [r.doc_id for r in sorted(got, key=order)] == [1, 3, 4, 5, 6]
+
+
+def test_vectors_of_any_magnitude(spark):
+    rows = [(i, [f * 1.0, f * 2.0], "a") for i, f in enumerate((1.0, 1e-170, 1e160, 5e-324))] + [(9, [2e300, -1e300], "a"), (10, [0.0, 0.0], "a")]
+    got = {r.vec_id: r.n_links for r in vd.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {0: 3, 1: 3, 2: 3, 3: 3, 9: 0, 10: 0}
+
+
 def test_line_dedup_rows_that_share_an_id(spark):
     """Rows of one id with different texts are judged line by line, not as one."""
     a, b = "a b c d e f", "p q r s t u"
