@@ -37,7 +37,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         if table.df.isEmpty():
             break
         nxt = Table(_small_star(_large_star(table.df)), "stars")
-        now = nxt.df.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        now = nxt.df.agg(F.count("*"), *[F.bit_xor(F.xxhash64(F.lit(i), "a", "b")) for i in (1, 2)]).first()
         table.drop()
         table = nxt
         if now == mark:

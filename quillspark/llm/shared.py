@@ -1,7 +1,7 @@
 """Scratch tables in the folder that the driver and all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``.  Only where that setting is absent
-(tests on one machine) a temporary folder is made and used.  A scratch table cuts lineage:
+The folder is the session's ``spark.checkpoint.dir``.  Where that setting is absent, a session on
+one machine (tests) makes a temporary folder; on a cluster that is an error.  A scratch table cuts lineage:
 it survives the loss of executors, as the shared store keeps its files.
 """
 
@@ -26,6 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="quillspark-")
     return "file://" + _FALLBACK["dir"]

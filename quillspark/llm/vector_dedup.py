@@ -20,7 +20,7 @@ c is a distance of sqrt(2 - 2c).
 Equal vectors of one label form one representative whose multiplicity enters the counts.
 Vectors that are null, empty, zero or hold null or non-finite components, and those with a
 null label, link with nothing.  Vectors of different lengths aren't compared.  Repeated ids
-count as one node for components; their rows stay.
+count as one node for components; their rows stay.  Finite vectors of any magnitude are compared.
 """
 
 from __future__ import annotations
@@ -161,11 +161,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spark = vectors.sparkSession
     bound_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e"), F.col(label_col).alias("label"))
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+    # Components so large or small that their squares leave the range of doubles are scaled first.
+    most = F.array_max(F.transform("e", lambda x: F.abs(x)))
+    scaled = F.when(F.col("most").between(1e-100, 1e100), F.col("e")).otherwise(F.transform("e", lambda x: x / F.col("most")))
+    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x))
     sound = F.coalesce(F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    good = rows.where(sound & F.col("label").isNotNull() & F.col("id").isNotNull()).withColumn("norm", norm).where("norm > 0 and norm < double('Infinity')")
+    good = rows.where(sound & F.col("label").isNotNull() & F.col("id").isNotNull()).withColumn("most", most).where("most > 0")
+    good = good.withColumn("s", scaled).withColumn("norm", norm)
     # Equal vectors share a group: their text form, hashed with 256 bits, is the key.
-    keyed = good.select("id", "label", F.sha2(F.to_json(F.struct("e")), 256).alias("same"), F.transform("e", lambda x: x / F.col("norm")).alias("v"))
+    keyed = good.select("id", "label", F.sha2(F.to_json(F.struct("e")), 256).alias("same"), F.transform("s", lambda x: x / F.col("norm")).alias("v"))
     groups = keyed.groupBy("label", "same").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
     member = materialize(keyed.select("id", "label", "same").join(groups, ["label", "same"]).select("id", "rep", "times"), "members")
     reps = keyed.join(groups.select("label", "same", "rep", "times"), ["label", "same"]).where("id = rep").dropDuplicates(["label", "same"]).select("rep", "label", "times", "v")
@@ -208,9 +212,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH RECURSIVE good AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS e,
-         sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS norm
-  FROM embeddings
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm
+  FROM (SELECT vec_id, label, embedding, CASE WHEN most BETWEEN 1e-100 AND 1e100 OR most = 0 THEN embedding::DOUBLE[] ELSE list_transform(embedding::DOUBLE[], lambda x: x / most) END AS e
+        FROM (SELECT *, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS most FROM embeddings))
   WHERE label IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 links AS (
