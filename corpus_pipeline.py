@@ -38,8 +38,7 @@ def drop_toxic(spark, docs, sf_dir):
 @stage
 def drop_repeated_lines(spark, docs, sf_dir):
     """Lines that are similar to an earlier one go, short ones too, and with them documents of which nothing is left."""
-    out = line_dedup.line_dedup(docs, short=True)
-    left = out.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    left = line_dedup.line_dedup(docs, short=True, drop_emptied=True)
     return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
