@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.fingerprint import let
-from quillspark.llm.shared import free, materialize
+from quillspark.llm.shared import Table, free, materialize
 
 BUCKETS, HASH_BITS = 1 << 16, 56
 _MASK = (1 << HASH_BITS) - 1
@@ -117,7 +117,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     index = firsts.select("line", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), F.posexplode("prefix").alias("i", "token"))
     index = index.select("token", "line", F.col("n").bitwiseOR(F.col("i").cast("long")).alias("ni"))
     several = index.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1").select("token")
-    met = materialize(index.join(several, "token"), "met")
+    met_table = Table(index.join(several, "token"), "met")
+    met = met_table.df
     free(spark)
 
     wanted = firsts.select("line", *PLACE).join(met.select("line").distinct(), "line")
@@ -127,7 +128,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line = lambda lines: lambda w: F.struct(w["line"].alias("line"), w["at"].alias("at"), F.get(lines, w["at"]).alias("words"))
     fetched = fetched.select("id", "th", F.explode(let(F.split("lowered", "\n"), lambda lines: F.transform("wanted", line(lines)))).alias("w"))
     fetched = fetched.select("w.line", "id", "th", "w.at", ranked(F.col("w.words"), k, classes, short).alias("tokens"))
-    fetched = materialize(fetched, "fetched")
+    fetched_table = Table(fetched, "fetched")
+    fetched = fetched_table.df
     free(spark)
 
     own = met.join(fetched.select("line", *PLACE), "line")
@@ -146,7 +148,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out = out.join(fetched.select(F.col("line").alias(s), F.col("tokens").alias(f"{s}_tokens")), s)
         shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
         similar = out.where(shared * den >= (F.size("a_tokens") + F.size("b_tokens") - shared) * num)
-        return materialize(similar.select(F.col("b").alias("line")).distinct(), name)
+        out = materialize(similar.select(F.col("b").alias("line")).distinct(), name)
+        free(spark)
+        return out
 
     # First every line against the earliest of each of its tokens: most of a large family ends here.
     hubs = own.groupBy("token").agg(F.min("b").alias("a"))
@@ -156,6 +160,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest = own.join(covered, F.col("b.line") == F.col("line"), "left_anti")
     pairs = rest.join(own.withColumnRenamed("b", "a"), "token").where(near)
     covered = covered.unionAll(verified(pairs, "covered")).distinct()
+    for table in (met_table, fetched_table):
+        table.drop()
 
     kept = firsts.select("line", *PLACE).join(covered, "line", "left_anti")
     kept = kept.groupBy("id", "th").agg(F.collect_list("at").alias("quill_kept")).withColumnsRenamed({"id": "quill_id", "th": "quill_th"})
