@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 4 << 20
+#: While a scratch table is written: its shuffle files go as soon as it stands.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _FALLBACK: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
@@ -46,7 +48,12 @@ class Table:
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{scratch_dir(self.spark)}/quillspark/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "snappy").parquet(self.path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "snappy").parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _MADE.append((self.spark, self.path))
         if _SCOPES:
