@@ -82,6 +82,14 @@ def byte_characters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def unsafe(left: np.ndarray, right: np.ndarray, made: np.ndarray, size: int) -> np.ndarray:
+    """Merges whose symbol takes part in an earlier merge: one such place may change the others, so they go one at a time."""
+    used, rank = np.full(size, NEVER), np.arange(len(made))
+    np.minimum.at(used, left, rank)
+    np.minimum.at(used, right, rank)
+    return used[made] < rank
+
+
 class Vocabulary:
     """The arrays of a vocabulary file; some MB, sent to the workers once."""
 
@@ -104,11 +112,7 @@ class Vocabulary:
         made = np.array([ids[p[0] + p[1]] for p in pairs], np.int64)
         order = np.argsort(left * self.size + right, kind="stable")
         self.keys, self.rank, self.made = (left * self.size + right)[order], order.astype(np.int64), made
-        # The first merge that uses each symbol: a pair that makes a symbol used before merges one place at a time.
-        used = np.full(self.size, NEVER)
-        np.minimum.at(used, left, np.arange(len(pairs)))
-        np.minimum.at(used, right, np.arange(len(pairs)))
-        self.single = used[made] < np.arange(len(pairs))
+        self.single = unsafe(left, right, made, self.size)
         self._table: dict[int, int] | None = None
 
     def table(self) -> dict[int, int]:
