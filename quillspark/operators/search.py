@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import fuzzy, text as tx
+from quillspark.functions.stems import once
 
 K1, B = 1.2, 0.75
 
@@ -39,6 +40,26 @@ def _page(hits: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     return ranked.withColumn("rank", rank).where(F.col("rank") > offset).crossJoin(F.broadcast(total))  # one row
 
 
+def previewed(page: DataFrame, docs: DataFrame, key: str, fields, size: int = 500) -> DataFrame:
+    """A page's rows with fields of their documents, texts cut to a preview; the page, a few rows, is broadcast."""
+    kind = dict(docs.dtypes)
+    cut = lambda f: tx.preview(F.col(f), size).alias(f) if kind[f] == "string" else F.col(f)
+    found = docs.select(F.col(key).alias("_found"), *[cut(f) for f in fields])
+    joined = found.join(F.broadcast(page), F.col("_found") == F.col(key)).drop("_found")
+    return joined.select(*page.columns, *[f for f in fields if f not in page.columns])
+
+
+def envelope(page: DataFrame, hits_total: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One row (results, total, offset, limit): a page's rows by rank in an array, also where the page is empty.
+
+    ``hits_total`` is one row with the column total.
+    """
+    rows = [c for c in page.columns if c != "total"]
+    ordered = F.sort_array(F.collect_list(F.struct("rank", *[c for c in rows if c != "rank"])))
+    results = page.agg(ordered.alias("results"))
+    return results.crossJoin(F.broadcast(hits_total.select("total"))).select("results", "total", F.lit(offset).alias("offset"), F.lit(limit).alias("limit"))  # one row each
+
+
 def bm25(docs: DataFrame, query: str, key: str = "doc_id", fields=("text",), limit: int = 5, offset: int = 0, threshold: float = 0.1, tags=None, tags_col: str = "tags", fold: bool = False) -> DataFrame:
     """(key, score, rank, total): one page of ``bm25_scores`` at the threshold or above."""
     check_parameters(threshold, limit=limit, offset=offset, tags=tags)
@@ -100,14 +121,14 @@ def semantic(docs: DataFrame, vector, key: str = "vec_id", vector_col: str = "em
     return _page(scored, [F.col("score").desc(), F.col(key)], limit, offset)
 
 
-def fuse(first: DataFrame, second: DataFrame, key: str, limit: int = 10, rrf_k: int = 60) -> DataFrame:
+def fuse(first: DataFrame, second: DataFrame, key: str, limit: int = 10, rrf_k: int = 60, offset: int = 0) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists with columns key, score and rank."""
     a = first.select(key, F.col("score").alias("bm25_score"), F.col("rank").alias("r1"))
     b = second.select(key, F.col("score").alias("similarity_score"), F.col("rank").alias("r2"))
     both = a.join(b, key, "full_outer")
     part = lambda r: F.coalesce(1.0 / (rrf_k + F.col(r)), F.lit(0.0))
     scored = both.select(key, F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), F.coalesce("similarity_score", F.lit(0.0)).alias("similarity_score"), (part("r1") + part("r2")).alias("hybrid_score"))
-    return _page(scored, [F.col("hybrid_score").desc(), F.col(key)], limit, 0)
+    return _page(scored, [F.col("hybrid_score").desc(), F.col(key)], limit, offset)
 
 
 def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector, key: str = "doc_id", limit: int = 10, k: int = 20, bm25_threshold: float = 0.01, similarity_threshold: float = 0.70, rrf_k: int = 60, fields=("text",), vector_col: str = "embedding") -> DataFrame:
@@ -115,7 +136,7 @@ def hybrid(docs: DataFrame, vectors: DataFrame, query: str, vector, key: str = "
     return fuse(bm25(docs, query, key, fields, k, 0, bm25_threshold), semantic(vectors, vector, key, vector_col, k, similarity_threshold), key, limit, rrf_k)
 
 
-def keyword_search(docs: DataFrame, keywords, fields, key: str = "doc_id", tags_col: str = "tags", tags=None, mode: str = "OR", limit: int = 10) -> DataFrame:
+def keyword_search(docs: DataFrame, keywords, fields, key: str = "doc_id", tags_col: str = "tags", tags=None, mode: str = "OR", limit: int = 10, offset: int = 0) -> DataFrame:
     """A keyword hits if a field contains it or it is a tag; hits with most wanted tags come first."""
     words = tx.clean_keywords(keywords)
     in_field = lambda w: reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.lower(f), F.lit(w)), F.lit(False)) for f in fields]) | F.coalesce(F.array_contains(tags_col, w), F.lit(False))
@@ -125,21 +146,21 @@ def keyword_search(docs: DataFrame, keywords, fields, key: str = "doc_id", tags_
     rows = docs.where(hit).select(key, overlap.alias("overlap"))
     if tags:
         rows = docs.where(hit & tx.has_all_tags(F.col(tags_col), tags)).select(key, overlap.alias("overlap"))
-    return _page(rows, [F.col("overlap").desc(), F.col(key)], limit, 0)
+    return _page(rows, [F.col("overlap").desc(), F.col(key)], limit, offset)
 
 
-def tag_search(docs: DataFrame, tags, key: str = "doc_id", tags_col: str = "tags", mode: str = "OR", limit: int = 10) -> DataFrame:
+def tag_search(docs: DataFrame, tags, key: str = "doc_id", tags_col: str = "tags", mode: str = "OR", limit: int = 10, offset: int = 0) -> DataFrame:
     """Documents with any or all of the tags, by overlap."""
     overlap = tx.tag_overlap(F.col(tags_col), tags)
     rows = docs.select(key, overlap.alias("overlap")).where(F.col("overlap") >= (len(set(tags)) if mode == "AND" else 1))
-    return _page(rows, [F.col("overlap").desc(), F.col(key)], limit, 0)
+    return _page(rows, [F.col("overlap").desc(), F.col(key)], limit, offset)
 
 
-def view_search(docs: DataFrame, query: str, fields, key: str = "doc_id", tags=None, tags_col: str = "tags", limit: int = 10) -> DataFrame:
+def view_search(docs: DataFrame, query: str, fields, key: str = "doc_id", tags=None, tags_col: str = "tags", limit: int = 10, offset: int = 0) -> DataFrame:
     """All query tokens in one field and all tags; by BM25 without a threshold.  No criterion finds nothing."""
     want = tx_tokens(query or "")
     if not want and not tags:
-        return _page(docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False)), [F.col(key)], limit, 0)
+        return _page(docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False)), [F.col(key)], limit, offset)
     rows = docs
     if want:
         in_field = lambda f: F.size(F.array_except(F.array(*[F.lit(t) for t in sorted(set(want))]), tx.tokens(F.col(f)))) == 0
@@ -147,9 +168,9 @@ def view_search(docs: DataFrame, query: str, fields, key: str = "doc_id", tags=N
     if tags:
         rows = rows.where(tx.has_all_tags(F.col(tags_col), tags))
     if not want:
-        return _page(rows.select(key, F.lit(0.0).alias("score")), [F.col(key)], limit, 0)
+        return _page(rows.select(key, F.lit(0.0).alias("score")), [F.col(key)], limit, offset)
     scored = bm25_scores(docs, query, key, fields)
-    return _page(scored.join(rows.select(key), key, "left_semi"), [F.col("score").desc(), F.col(key)], limit, 0)
+    return _page(scored.join(rows.select(key), key, "left_semi"), [F.col("score").desc(), F.col(key)], limit, offset)
 
 
 def newest(rows: DataFrame, fields, time_col: str, key: str, term: str | None = None, role=None, role_col: str = "role", limit: int = 10) -> DataFrame:
@@ -159,23 +180,23 @@ def newest(rows: DataFrame, fields, time_col: str, key: str, term: str | None =
     return hits.orderBy(F.col(time_col).desc(), F.col(key)).limit(limit)
 
 
-def substring_search(docs: DataFrame, query: str, key: str = "doc_id", text_col: str = "text", limit: int = 10) -> DataFrame:
+def substring_search(docs: DataFrame, query: str, key: str = "doc_id", text_col: str = "text", limit: int = 10, offset: int = 0) -> DataFrame:
     """Texts that contain the query; relevance is len(query) / len(text)."""
     rows = docs.where(F.contains(F.lower(text_col), F.lit(query.lower()))).select(key, (F.lit(float(len(query))) / F.greatest(F.length(text_col), F.lit(1))).alias("relevance"))
-    return _page(rows, [F.col("relevance").desc(), F.col(key)], limit, 0)
+    return _page(rows, [F.col("relevance").desc(), F.col(key)], limit, offset)
 
 
-def fuzzy_tags(docs: DataFrame, keywords, key: str = "doc_id", tags_col: str = "tags", least: float = 97.0, limit: int = 10) -> DataFrame:
+def fuzzy_tags(docs: DataFrame, keywords, key: str = "doc_id", tags_col: str = "tags", least: float = 97.0, limit: int = 10, offset: int = 0) -> DataFrame:
     """Documents that share a tag with the keywords, by how many keywords are like some tag; blank keywords find nothing."""
     words = tx.clean_keywords(keywords)
     if not words:
-        return _page(docs.select(key, F.lit(0).alias("matches")).where(F.lit(False)), [F.col(key)], limit, 0)
+        return _page(docs.select(key, F.lit(0).alias("matches")).where(F.lit(False)), [F.col(key)], limit, offset)
     rows = docs.where(F.arrays_overlap(tags_col, F.array(*[F.lit(w) for w in words])))
     n = reduce(lambda a, b: a + b, [(fuzzy.ratio_udf(w)(F.col(tags_col)) >= least).cast("int") for w in words])
-    return _page(rows.select(key, n.alias("matches")).where("matches > 0"), [F.col("matches").desc(), F.col(key)], limit, 0)
+    return _page(rows.select(key, n.alias("matches")).where("matches > 0"), [F.col("matches").desc(), F.col(key)], limit, offset)
 
 
-def fuzzy_text(docs: DataFrame, keywords, fields, key: str = "doc_id", mode: str = "OR", least: float = 97.0, limit: int = 10) -> DataFrame:
+def fuzzy_text(docs: DataFrame, keywords, fields, key: str = "doc_id", mode: str = "OR", least: float = 97.0, limit: int = 10, offset: int = 0) -> DataFrame:
     """LIKE first, natively; then the best partial ratio of each keyword in any field.
 
     A keyword scores its ratio where that is ``least`` or more; the sum ranks the documents.
@@ -183,20 +204,33 @@ def fuzzy_text(docs: DataFrame, keywords, fields, key: str = "doc_id", mode: str
     """
     words = tx.clean_keywords(keywords)
     if not words:
-        return _page(docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False)), [F.col(key)], limit, 0)
+        return _page(docs.select(key, F.lit(0.0).alias("score")).where(F.lit(False)), [F.col(key)], limit, offset)
     join = (lambda a, b: a & b) if mode == "AND" else (lambda a, b: a | b)
     rows = docs.where(reduce(join, [tx.like_any([F.col(f) for f in fields], w) for w in words]))
     best = lambda w: F.greatest(*[fuzzy.partial_udf(w, least)(F.col(f)) for f in fields], F.lit(0.0))
     scored = rows.select(key, *[best(w).alias(f"s{i}") for i, w in enumerate(words)])
     passing = [F.when(F.col(f"s{i}") >= least, F.col(f"s{i}")).otherwise(0.0) for i in range(len(words))]
     hit = reduce(join, [F.col(f"s{i}") >= least for i in range(len(words))])
-    return _page(scored.where(hit).select(key, reduce(lambda a, b: a + b, passing).alias("score")), [F.col("score").desc(), F.col(key)], limit, 0)
+    return _page(scored.where(hit).select(key, reduce(lambda a, b: a + b, passing).alias("score")), [F.col("score").desc(), F.col(key)], limit, offset)
 
 
 def embed_text(text: Column, dims: int = 64) -> Column:
     """A vector without a model: hashed token counts of length 1; null for an empty text."""
-    w = tx.tokens(text)
-    counts = lambda ws: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(ws, lambda x: F.pmod(F.xxhash64(x), F.lit(dims)) == i)).cast("double"))
+    if dims < 1:
+        raise ValueError("a vector needs a dimension")
+    # Sorted bucket numbers; where each number ends gives the counts, one pass over the words.
+    numbers = F.sort_array(F.transform(tx.tokens(text), lambda x: F.pmod(F.xxhash64(x), F.lit(dims)).cast("int")))
+    last = lambda ns: F.map_from_entries(F.filter(F.transform(ns, lambda n, i: F.when(F.coalesce(F.get(ns, i + 1), F.lit(-1)) != n, F.struct(n, (i + 1).alias("end")))), lambda x: x.isNotNull()))
+
+    def counts(ends):
+        filled = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.element_at(ends, i), F.lit(0)))
+        return F.aggregate(filled, F.struct(F.lit(0).alias("before"), F.array().cast("array<double>").alias("out")), lambda a, end: F.struct(F.greatest(a["before"], end).alias("before"), F.array_append(a["out"], F.greatest(end - a["before"], F.lit(0)).cast("double")).alias("out")))["out"]
+
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    once = lambda value, f: F.transform(F.array(value), f).getItem(0)
-    return F.when(F.size(w) > 0, once(once(w, counts), lambda v: F.transform(v, lambda x: x / norm(v))))
+    unit = lambda ns: once(once(once(ns, last), counts), lambda v: once(norm(v), lambda n: F.transform(v, lambda x: x / n)))
+    return F.when(F.size(numbers) > 0, once(numbers, unit))
+
+
+def of_dimension(vector: Column, dims: int) -> Column:
+    """The vector where it has that many components, none null; else null."""
+    return F.when((F.size(vector) == dims) & F.forall(vector, lambda x: x.isNotNull()), vector)

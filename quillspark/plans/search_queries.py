@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
-from quillspark.operators import pages as pg, search as se
+from quillspark.operators import pages as pg, postings as po, search as se, vectors as ve
 from quillspark.plans.registry import LESSONS, lessons, query, table, words_sql
 
 TERMS = "apache license version mit"
+_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+def _index(spark, d) -> po.Index:
+    """The stored index of the documents' texts: built by the first search of a table, then read."""
+    return po.ensure(spark, f"{d}/documents.parquet")
 
 
 def _bm25_sql(terms: str, source: str, limit: int, offset: int, threshold: float, where: str = "true", name: str = "score") -> str:
@@ -29,12 +35,63 @@ def _bm25_sql(terms: str, source: str, limit: int, offset: int, threshold: float
 
 @query(f"WITH {LESSONS}, {_bm25_sql(TERMS, 'lessons', 10, 0, 0.1)} SELECT doc_id, round(score, 6) AS score, rank::INTEGER AS rank, total FROM bm")
 def bm25_search(spark, d):
-    return se.bm25(table(spark, d, "documents"), TERMS, limit=10).withColumn("score", F.round("score", 6))
+    return po.bm25(_index(spark, d), TERMS, limit=10).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {LESSONS}, {_bm25_sql('the license', 'lessons', 5, 3, 0.1, where='''list_contains(tags, 'en')''')} SELECT doc_id, round(score, 6) AS score, rank::INTEGER AS rank, total FROM bm")
 def bm25_tagged_page(spark, d):
-    return se.bm25(lessons(spark, d), "the license", limit=5, offset=3, tags=["en"]).withColumn("score", F.round("score", 6))
+    tagged = lessons(spark, d).where(tx.has_all_tags(F.col("tags"), ["en"]))
+    return po.bm25(_index(spark, d), "the license", limit=5, offset=3, allowed=tagged).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {LESSONS}, {_bm25_sql(TERMS, 'lessons', 10, 0, 0.1)} SELECT doc_id, round(score, 6) AS score, rank::INTEGER AS rank, total FROM bm")
+def bm25_scan(spark, d):
+    """Without an index: one pass over all texts."""
+    return se.bm25(table(spark, d, "documents"), TERMS, limit=10).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {LESSONS}, {_bm25_sql('mit license granted', 'lessons', 25, 0, 0.0)} SELECT doc_id, round(score, 6) AS score, rank::INTEGER AS rank FROM bm")
+def bm25_best(spark, d):
+    """The best alone, from the bands of postings that they need."""
+    return po.best(_index(spark, d), "mit license granted", 25)[0].withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {words_sql('text')} AS w FROM documents),
+n AS (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license')) AS n FROM w)
+SELECT doc_id, n::BIGINT AS n FROM n WHERE n > 0""")
+def phrase_search(spark, d):
+    return po.phrase(_index(spark, d), "MIT License")
+
+
+@query()
+def stemmed_search(spark, d):
+    return po.bm25(_index(spark, d), "licensing granted works", limit=20, stemmed=True).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents)
+SELECT term, count(DISTINCT doc_id) AS df FROM t GROUP BY term""")
+def index_dictionary(spark, d):
+    """Every term of the stored index with its document frequency."""
+    index = _index(spark, d)
+    return spark.read.parquet(f"{index.folder}/terms").select("term", "df")
+
+
+@query(f"""WITH {LESSONS}, {_bm25_sql(TERMS, 'lessons', 4, 2, 0.1)}
+SELECT list({{'rank': rank::INTEGER, 'doc_id': doc_id, 'score': round(score, 6), 'problem': CASE WHEN length(problem) > 80 THEN substr(problem, 1, 80) || '...' ELSE problem END, 'tags': tags}} ORDER BY rank) AS results,
+       max(total) AS total, 2 AS "offset", 4 AS "limit" FROM bm JOIN lessons USING (doc_id)""")
+def search_envelope(spark, d):
+    page = po.bm25(_index(spark, d), TERMS, limit=4, offset=2).withColumn("score", F.round("score", 6))
+    total = po.scores(_index(spark, d), TERMS).where("score >= 0.1").agg(F.count("*").alias("total"))
+    shown = se.previewed(page, lessons(spark, d), "doc_id", ["problem", "tags"], 80)
+    return se.envelope(shown, total, 4, 2)
+
+
+@query(f"""WITH hits AS (SELECT e.vec_id, {_COS} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q WHERE {_COS} IS NOT NULL)
+SELECT vec_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, vec_id)::INTEGER AS rank FROM hits ORDER BY s DESC, vec_id LIMIT 10""")
+def semantic_indexed(spark, d):
+    """Nearest vectors from the lists that can hold them."""
+    index = ve.ensure(spark, f"{d}/embeddings.parquet")
+    return index.nearest(_vector(spark, d, 7), 10)[0].withColumn("score", F.round("score", 6))
 
 
 def _vector(spark, d, vec_id=0):
@@ -42,9 +99,6 @@ def _vector(spark, d, vec_id=0):
     return list(row[0])
 
 
-_COS = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-
-
 @query(f"""WITH hits AS (SELECT e.vec_id, {_COS} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {_COS} >= 0.1)
 SELECT vec_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, vec_id)::INTEGER AS rank, count(*) OVER () AS total FROM hits ORDER BY s DESC, vec_id LIMIT 10""")
 def semantic_topk(spark, d):
@@ -67,7 +121,8 @@ SELECT doc_id, round(bm25_score, 6) AS bm25_score, round(similarity_score, 6) AS
        row_number() OVER (ORDER BY h DESC, doc_id)::INTEGER AS rank, count(*) OVER () AS total FROM f ORDER BY h DESC, doc_id LIMIT 10""")
 def hybrid_search(spark, d):
     vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    out = se.hybrid(table(spark, d, "documents"), vectors, TERMS, _vector(spark, d), similarity_threshold=0.05)
+    words = po.bm25(_index(spark, d), TERMS, limit=20, threshold=0.01)
+    out = se.fuse(words, se.semantic(vectors, _vector(spark, d), "doc_id", limit=20, threshold=0.05), "doc_id", 10)
     return out.withColumns({"bm25_score": F.round("bm25_score", 6), "similarity_score": F.round("similarity_score", 6), "hybrid_score": F.round("hybrid_score", 8)})
 
 
