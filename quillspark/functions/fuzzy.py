@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -67,3 +69,31 @@ def partial_udf(keyword: str, least: float = 0.0):
         return pd.Series([one(t) for t in text])
 
     return best
+
+
+def common_characters(left, right) -> np.ndarray:
+    """For each pair of strings, at least as much as their longest common subsequence: shared characters in 64 classes."""
+    bags = np.zeros((2, len(left), 64), np.int32)
+    for side, texts in enumerate((left, right)):
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) % 64
+        np.add.at(bags[side], (np.repeat(np.arange(len(texts)), size), codes), 1)
+    return np.minimum(bags[0], bags[1]).sum(axis=1)
+
+
+def alike(left: Column, right: Column, least: float) -> Column:
+    """The ratio of two strings where it is ``least`` or more, else null; only pairs whose character counts allow it are aligned."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.full(len(a), np.nan)
+        for at in range(0, len(a), 4096):
+            x, y = a.iloc[at : at + 4096].fillna("").tolist(), b.iloc[at : at + 4096].fillna("").tolist()
+            total = np.array([len(s) + len(t) for s, t in zip(x, y, strict=True)])
+            bound = np.where(total == 0, 100.0, 200.0 * common_characters(x, y) / np.maximum(total, 1))
+            for i in np.flatnonzero(bound >= least):
+                score = ratio(x[i], y[i])
+                out[at + i] = score if score >= least else np.nan
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+    return run(left, right)

@@ -24,6 +24,11 @@ def is_json_like(text: str | None) -> bool:
     return True
 
 
+def distinct_terms(terms: Column) -> Column:
+    """The terms of a list once each, sorted, nulls left out."""
+    return F.array_sort(F.array_distinct(F.filter(terms, lambda t: t.isNotNull())))
+
+
 def json_like(text: Column) -> Column:
     t = F.trim(text)
     closed = (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))

@@ -142,9 +142,21 @@ def markdown_chunks(text: str | None, file_path: str = "") -> list[dict]:
     return out
 
 
-def rst_blocks(text: str | None, most: int = 50 * 1024) -> list[dict]:
-    """Literal blocks and code directives with the paragraph before; larger texts give none."""
-    if not text or len(text.encode()) > most:
+def rst_content(text: str | None) -> list[dict]:
+    """A reStructuredText file as blocks: its code with the paragraph before each; a file without code is one text block."""
+    out = []
+    for b in rst_blocks(text, None):
+        if b["description"]:
+            out.append({"type": "text", "content": b["description"], "language": None, "block_type": "description", "start_line": None, "end_line": None})
+        out.append({"type": "code", "content": b["code"], "language": b["language"], "block_type": "literal", "start_line": b["start_line"], "end_line": b["end_line"]})
+    if not out and (text or "").strip():
+        out = [{"type": "text", "content": text, "language": None, "block_type": "file", "start_line": 1, "end_line": text.count("\n") + 1}]
+    return out
+
+
+def rst_blocks(text: str | None, most: int | None = 50 * 1024) -> list[dict]:
+    """Literal blocks and code directives with the paragraph before; texts over ``most`` bytes give none (None: all do)."""
+    if not text or (most is not None and len(text.encode()) > most):
         return []
     lines, out, i, before = text.splitlines(), [], 0, ""
     while i < len(lines):
@@ -207,8 +219,11 @@ def sections(text: str | None) -> list[dict]:
     return out
 
 
-def pack(sentences: Column, count, most: int = 500) -> Column:
-    """Sentences joined to chunks of at most ``most`` tokens; a longer sentence stands alone."""
+def pack(sentences: Column, count, most: int = 500, text=lambda s: s) -> Column:
+    """Sentences joined to chunks of at most ``most`` tokens; a longer sentence stands alone.
+
+    ``count`` and ``text`` take an element: a sentence, or a struct that holds one beside its count.
+    """
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
 
     def step(acc, s):
@@ -216,7 +231,7 @@ def pack(sentences: Column, count, most: int = 500) -> Column:
         full = (acc["open"] != "") & (acc["n"] + n > most)
         return F.struct(
             F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat(s, F.lit("\n"))).otherwise(F.concat(acc["open"], s, F.lit("\n"))).alias("open"),
+            F.when(full, F.concat(text(s), F.lit("\n"))).otherwise(F.concat(acc["open"], text(s), F.lit("\n"))).alias("open"),
             F.when(full, n).otherwise(acc["n"] + n).alias("n"),
         )
 

@@ -115,14 +115,16 @@ def unsafe(url: Column, allowed=()) -> Column:
     four plain decimals (one integer, octal, hexadecimal), digits or dots beyond ASCII, blanks,
     backslashes and escapes.
     """
-    host = host_of(url)
+    host, netloc = host_of(url), _part(url, 2)
+    # Before the user is cut off: a client may read a backslash as a slash, or end the host at another @.
+    torn = netloc.rlike(r"[\s\\]|@.*@")
     local = (host == "") | (host == "localhost") | host.rlike("(" + "|".join(s.replace(".", r"\.") for s in LOCAL_SUFFIXES) + ")$")
     odd = host.rlike(r"[\s\\%。．｡]|[\p{Nd}&&[^0-9]]")
     plain = host.rlike(r"^(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$")
     number = host.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)$")
     literal = plain | host.rlike(r"[:\[\]]")
     test = F.when(literal, _private_address(host)).otherwise(number | odd)
-    return F.when(host.isin(list(allowed)), F.lit(False)).otherwise(F.coalesce(local | test, F.lit(True)))
+    return F.when(host.isin(list(allowed)) & ~torn, F.lit(False)).otherwise(F.coalesce(torn | local | test, F.lit(True)))
 
 
 def admission(url: Column, start_host: str, robots_ok: Column, path_ok: Column) -> Column:

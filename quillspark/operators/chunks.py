@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import html as hx, markdown as mx, text as tx
+from quillspark.functions import bpe, html as hx, markdown as mx, text as tx
 from quillspark.functions.markdown import pack
 
 
@@ -14,11 +14,20 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(mx.rows_udf(mx.sections, mx.SECTION)(F.col(text))).alias("ordinal", "s")).select(key, "ordinal", "s.*")
 
 
-def packed(docs: DataFrame, key: str, text: str = "text", most: int = 500) -> DataFrame:
-    """(key, ordinal, chunk, n_tokens, section_id): greedy packing of sentences, natively in the row."""
+def packed(docs: DataFrame, key: str, text: str = "text", most: int = 500, vocabulary: bpe.Vocabulary | None = None) -> DataFrame:
+    """(key, ordinal, chunk, n_tokens, section_id): greedy packing of sentences in the row.
+
+    Tokens are words and marks, counted natively, or those of a vocabulary; then ``n_tokens`` is the sum of a chunk's sentences.
+    """
     sentence = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
-    rows = docs.select(key, F.posexplode(pack(sentence, tx.token_count, most)).alias("ordinal", "chunk"))
-    return rows.select(key, "ordinal", "chunk", tx.token_count(F.col("chunk")).alias("n_tokens"), F.sha2("chunk", 256).alias("section_id"))
+    if vocabulary is None:
+        rows = docs.select(key, F.posexplode(pack(sentence, tx.token_count, most)).alias("ordinal", "chunk"))
+        return rows.select(key, "ordinal", "chunk", tx.token_count(F.col("chunk")).alias("n_tokens"), F.sha2("chunk", 256).alias("section_id"))
+    counted = docs.select(key, sentence.alias("s")).withColumn("n", bpe.counts(F.col("s"), vocabulary))
+    counted = counted.select(key, F.map_from_entries(F.array_distinct(F.arrays_zip("s", "n"))).alias("known"), pack(F.arrays_zip("s", "n"), lambda x: x["n"], most, lambda x: x["s"]).alias("chunks"))
+    rows = counted.select(key, "known", F.posexplode("chunks").alias("ordinal", "chunk"))
+    total = F.aggregate(F.filter(F.split("chunk", "\n"), lambda s: s != ""), F.lit(0), lambda n, s: n + F.coalesce(F.element_at("known", s), F.lit(0)))
+    return rows.select(key, "ordinal", "chunk", total.alias("n_tokens"), F.sha2("chunk", 256).alias("section_id"))
 
 
 def markdown_code(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -24,6 +24,7 @@ def extract_folder(spark: SparkSession, folder: str, suffixes=None, exclude=EXCL
     suffix = F.lower(F.regexp_extract("relative", r"\.([^./]+)$", 1))
     whole = F.when(F.trim("text") != "", F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("content"), F.lit(None).cast("string").alias("language"), F.lit("file").alias("block_type"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"))))
     blocks = F.when(suffix.isin("md", "mdx", "markdown"), mx.rows_udf(mx.markdown_blocks, mx.BLOCK)(F.col("text"))).when(suffix.isin("html", "htm"), mx.rows_udf(hx.html_blocks, mx.BLOCK)(F.col("text")))
+    blocks = blocks.when(suffix == "rst", mx.rows_udf(mx.rst_content, mx.BLOCK)(F.col("text")))
     blocks = blocks.when(suffix == "ipynb", mx.rows_udf(mx.notebook_blocks, mx.BLOCK)(F.col("text"))).otherwise(whole)
     rows = found.select("relative", F.posexplode(blocks).alias("ordinal", "b")).select("relative", "ordinal", "b.*")
     return (rows.where("ordinal = 0") if first_only else rows), metrics

@@ -31,7 +31,7 @@ from quillspark.operators.stored import Conflict, Folder
 #: Lower bounds of the bands as shares of the largest impact a posting can have.
 BANDS = (0.75, 0.5, 0.25, 0.0)
 BUCKETS, SLICES = 16, 4
-STATISTICS, FORMAT = "statistics.json", 2
+STATISTICS, FORMAT = "statistics.json", 3
 
 
 def impact(tf: Column, dl: Column, mean: float) -> Column:
@@ -49,8 +49,8 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def runs(tokens: Column) -> Column:
-    """array<struct(term, tf, positions)> of a row's tokens, without a shuffle."""
+def runs(tokens: Column, buckets: int) -> Column:
+    """array<struct(bucket, term, tf, positions)> of a row's tokens, without a shuffle."""
     placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
 
     def folded(s):
@@ -59,7 +59,7 @@ def runs(tokens: Column) -> Column:
         def run(heads_):
             end = lambda j: F.coalesce(F.get(heads_, j + 1), F.size(s))
             places = lambda h, j: F.transform(F.slice(s, h + 1, end(j) - h), lambda x: x["i"])
-            return F.transform(heads_, lambda h, j: F.struct(F.get(s, h)["t"].alias("term"), (end(j) - h).alias("tf"), places(h, j).alias("positions")))
+            return F.transform(heads_, lambda h, j: F.struct((F.crc32(F.get(s, h)["t"]) % buckets).cast("int").alias("bucket"), F.get(s, h)["t"].alias("term"), (end(j) - h).alias("tf"), places(h, j).alias("positions")))
 
         return stems.once(heads, run)
 
@@ -127,13 +127,17 @@ def build(docs: DataFrame, folder: str, key: str = "doc_id", fields=("text",), b
     words = spread(docs.select(key, *fields)).select(key, tokens.alias("w"))
     # Bands only have to be about right: any typical length will do.
     typical = docs.limit(200).agg(F.avg(F.size(tokens))).first()[0] or 1.0
-    rows = words.select(key, F.size("w").alias("dl"), F.explode(runs(F.col("w"))).alias("p")).select(key, "dl", "p.*")
+    # A row for each document and bucket crosses the shuffle, its postings in an array: a fourth of what a row each would take.
+    found = words.select(key, F.size("w").alias("dl"), runs(F.col("w"), buckets).alias("p"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.struct(b.alias("bucket"), F.filter("p", lambda x: x["bucket"] == b).alias("p")))
+    sent = found.select(key, "dl", F.explode(F.filter(parts, lambda x: F.size(x["p"]) > 0)).alias("x")).select(key, "dl", "x.*")
+    dealt = sent.repartition(buckets * SLICES, "bucket", F.pmod(F.xxhash64(key), F.lit(SLICES)))
+    dealt = dealt.select(key, "dl", "bucket", F.explode("p").alias("x")).select("x.term", key, "x.tf", "dl", "x.positions", "bucket")
     share = impact(F.col("tf"), F.col("dl"), max(typical, 1.0)) / (se.K1 + 1)
     band = F.lit(len(BANDS) - 1)
     for i in reversed(range(len(BANDS) - 1)):
         band = F.when(share >= BANDS[i], i).otherwise(band)
-    rows = rows.select("term", key, "tf", "dl", "positions", (F.crc32("term") % buckets).cast("int").alias("bucket"), band.alias("band"))
-    dealt = rows.repartition(buckets * SLICES, "bucket", F.pmod(F.xxhash64(key), F.lit(SLICES))).sortWithinPartitions("bucket", "band", "term", key)
+    dealt = dealt.withColumn("band", band).sortWithinPartitions("bucket", "band", "term", key)
     dealt.write.option("compression", "zstd").partitionBy("bucket", "band").parquet(f"{folder}/postings")
 
     n = docs.count()

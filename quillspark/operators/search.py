@@ -173,8 +173,12 @@ def view_search(docs: DataFrame, query: str, fields, key: str = "doc_id", tags=N
     return _page(scored.join(rows.select(key), key, "left_semi"), [F.col("score").desc(), F.col(key)], limit, offset)
 
 
-def newest(rows: DataFrame, fields, time_col: str, key: str, term: str | None = None, role=None, role_col: str = "role", limit: int = 10) -> DataFrame:
-    """LIKE over the fields and a role, newest first."""
+def newest(rows: DataFrame, fields, time_col: str, key: str, term: str | None = None, role=None, role_col: str = "role", limit: int = 10, tags=(), tags_col: str = "tags") -> DataFrame:
+    """LIKE over the fields, all tags and a role, newest first; tags are a list, or its JSON text, in which they stand in quotes."""
+    as_text = bool(tags) and rows.schema[tags_col].dataType.simpleString() == "string"
+    for t in tags:
+        if isinstance(t, str):
+            rows = rows.where(F.contains(F.lower(tags_col), F.lit(f'"{t.lower()}"')) if as_text else F.array_contains(tags_col, t))
     hits = rows.where(tx.like_any([F.col(f) for f in fields], term)) if term else rows
     hits = hits.where(F.col(role_col) == role) if role is not None else hits
     return hits.orderBy(F.col(time_col).desc(), F.col(key)).limit(limit)

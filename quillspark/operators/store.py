@@ -55,6 +55,32 @@ def insert(table: DataFrame, rows: DataFrame, required=("problem", "solution"),
     return table.unionByName(settled(rows) if key in made else rows, allowMissingColumns=True)
 
 
+def insert_checked(table: DataFrame, rows: DataFrame, required=("role", "problem", "solution"), tags: str = "tags", **how) -> DataFrame:
+    """``insert`` that refuses a table without the required fields, or whose tags aren't a list of strings."""
+    missing = [c for c in required if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing required fields: {missing}")
+    if tags in rows.columns and rows.schema[tags].dataType.simpleString() != "array<string>":
+        raise ValueError(f"{tags} must be a list of strings")
+    return insert(table, rows, required, **how)
+
+
+def first_rows(table: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n rows by key: a partial top n in each partition."""
+    return table.orderBy(key).limit(n)
+
+
+def among(rows: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is one of the candidates'."""
+    return rows.join(candidates.select(key), key, "left_semi")
+
+
+def first_records(index: DataFrame, key: str, order: str) -> DataFrame:
+    """Of each key the first record by ``order``: one aggregate."""
+    rest = [c for c in index.columns if c != key]
+    return index.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(order, *[c for c in rest if c != order])).alias("_r")).select(key, "_r.*")
+
+
 def merge_attributes(old: Column, new: Column) -> Column:
     """New attributes over old ones; a null removes one, and immutable ones can't change."""
     allowed = F.map_filter(new, lambda k, v: ~k.isin(*IMMUTABLE))

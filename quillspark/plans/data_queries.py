@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import jsontext as jx, markdown as mx, text as tx, urls
+from quillspark.functions import jsontext as jx, markdown as mx, text as tx, times, urls
 from quillspark.functions.markdown import pack
 from quillspark.operators import chunks as ch, graph as gr, pages as pg, search as se, store as st, tables as tb
 from quillspark.plans.registry import LESSONS, lessons, query, table
@@ -340,8 +340,8 @@ def source_types(spark, d):
 
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS iso, o_orderdate AS back FROM orders""")
 def iso_times(spark, d):
-    iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    return table(spark, d, "orders").select("o_orderkey", iso.alias("iso"), F.to_timestamp(iso).alias("back"))
+    iso = times.to_iso(F.col("o_orderdate"))
+    return table(spark, d, "orders").select("o_orderkey", iso.alias("iso"), times.from_iso(iso).alias("back"))
 
 
 @query("""SELECT sum(octet_length(encode(text)))::BIGINT AS bytes, sum(octet_length(encode(text))) <= 1073741824 AS fits FROM documents""")
@@ -352,7 +352,7 @@ def download_size(spark, d):
 @query("""SELECT doc_id, 'src3' AS wanted FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) l USING (doc_id) WHERE source = 'src3'""")
 def candidate_semi_join(spark, d):
     docs = table(spark, d, "documents").where("source = 'src3'")
-    return docs.join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", F.lit("src3").alias("wanted"))
+    return st.among(docs, table(spark, d, "labels").where("quality = 1"), "doc_id").select("doc_id", F.lit("src3").alias("wanted"))
 
 
 @query("""SELECT doc_id, lang, source FROM documents WHERE doc_id = 7""")
@@ -362,7 +362,7 @@ def point_lookup(spark, d):
 
 @query("""SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 15""")
 def collection_scan(spark, d):
-    return table(spark, d, "documents").orderBy("doc_id").limit(15).select("doc_id", "lang")
+    return st.first_rows(table(spark, d, "documents"), "doc_id", 15).select("doc_id", "lang")
 
 
 @query("""SELECT doc_id, lang FROM documents WHERE false""")
@@ -386,7 +386,7 @@ def all_document_frequencies(spark, d):
 
 @query("""SELECT conv_id, list_sort(list_distinct(list(role))) AS roles, count(*) AS n_turns FROM conversations GROUP BY conv_id""")
 def distinct_sets(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("roles"), F.count("*").alias("n_turns"))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(jx.distinct_terms(F.collect_set("role")).alias("roles"), F.count("*").alias("n_turns"))
 
 
 @query("""SELECT doc_id, md5(text) AS section_id, doc_id AS last FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) = 1""")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import urls
+from quillspark.functions.jsontext import json_like
 
 STATUSES = ("success", "failed_request", "failed_robotstxt", "failed_paywall", "failed_internal", "failed_precheck", "failed_ssrf", "failed_setup", "skipped", "skipped_domain", "failed_generic")
 SCHEMA = "original_url string, canonical_url string, local_path string, content_md5 string, fetch_status string, http_status int, error_message string"
@@ -83,6 +84,14 @@ def new_files(candidates: DataFrame, existing: DataFrame, path: str = "local_pat
     return marked.withColumn("write", F.lit(force) | F.col("_there").isNull()).drop("_have", "_there")
 
 
-def example_index(blocks: DataFrame) -> DataFrame:
-    """JSON blocks as rows of an example index."""
-    return blocks.where("type = 'json'")
+def example_index(blocks: DataFrame, content: str = "content") -> DataFrame:
+    """JSON blocks that parse, as rows of an example index."""
+    return blocks.where((F.col("type") == "json") & json_like(F.col(content)))
+
+
+def write_examples(blocks: DataFrame, path: str, content: str = "content") -> int:
+    """Write the example index as JSONL, nulls left out, and return its number of rows."""
+    seen = Observation("examples")
+    rows = example_index(blocks, content).observe(seen, F.count("*").alias("n"))
+    rows.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+    return seen.get["n"]
