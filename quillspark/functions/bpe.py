@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from itertools import chain
 
 import pandas as pd
 import regex
@@ -55,22 +56,21 @@ class Vocabulary:
         return [self.ranks[word[start[i] : end[i]]] for i in range(n) if start[i] >= 0]
 
 
-def _worker(vocabulary: Vocabulary):
-    """A function from a text to its ids; distinct words are merged once."""
+def _worker(vocabulary: Vocabulary, of=lambda ids: ids):
+    """A function from a text to what ``of`` makes of each word's ids, in order; distinct words are merged once."""
     words, known = regex.compile(vocabulary.pattern), {}
 
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
-        for w in words.findall(text):
-            got = known.get(w)
-            if got is None:
-                if len(known) >= KEPT:
-                    known.clear()
-                got = known[w] = vocabulary.ids(w.encode())
-            out += got
-        return out
+    def parts(text: str) -> list:
+        found = words.findall(text)
+        new = [w for w in set(found) if w not in known]
+        if new:
+            if len(known) > KEPT:
+                known.clear()
+                new = set(found)
+            known.update((w, of(vocabulary.ids(w.encode()))) for w in new)
+        return list(map(known.__getitem__, found))
 
-    return encode
+    return parts
 
 
 def ids(text: Column, vocabulary: Vocabulary) -> Column:
@@ -78,8 +78,19 @@ def ids(text: Column, vocabulary: Vocabulary) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(texts: pd.Series) -> pd.Series:
-        encode = _worker(vocabulary)
-        return texts.map(lambda t: None if t is None else encode(t))
+        parts = _worker(vocabulary)
+        return texts.map(lambda t: None if t is None else list(chain.from_iterable(parts(t))))
+
+    return run(text)
+
+
+def count(text: Column, vocabulary: Vocabulary) -> Column:
+    """The number of tokens of each text; null stays null."""
+
+    @F.pandas_udf("int")
+    def run(texts: pd.Series) -> pd.Series:
+        parts = _worker(vocabulary, len)
+        return pd.Series([None if t is None else sum(parts(t)) for t in texts], dtype="Int32")
 
     return run(text)
 
@@ -89,7 +100,7 @@ def counts(texts: Column, vocabulary: Vocabulary) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(rows: pd.Series) -> pd.Series:
-        encode = _worker(vocabulary)
-        return rows.map(lambda row: None if row is None else [len(encode(t)) if t else 0 for t in row])
+        parts = _worker(vocabulary, len)
+        return rows.map(lambda row: None if row is None else [sum(parts(t)) if t else 0 for t in row])
 
     return run(texts)

@@ -178,9 +178,10 @@ def rst_blocks(text: str | None, most: int | None = 50 * 1024) -> list[dict]:
                 said = before if directive else line.strip().removesuffix("::").strip() or before
                 if code not in [b["code"] for b in out]:
                     out.append({"code": code, "language": (directive[2] if directive else "") or "text", "description": said, "start_line": start + 1, "end_line": start + len(body), "section_id": sha(code)})
+                before = said
             i = j
             continue
-        if line.strip():
+        if line.strip() and not re.fullmatch(r"([=\-~^\"'`#*+.:_])\1{2,}", line.strip()):  # a title's rule is no paragraph
             before = line.strip()
         i += 1
     return out

@@ -6,8 +6,8 @@ opens a few folders and skips other terms' row groups.  ``terms`` (term, df, top
 largest impact in every band, ``forms`` (stem, term) the terms of each stem, both by hash.  The statistics file is written
 last: an index without it isn't there.
 
-A document's runs of equal tokens are counted inside its row, so a single shuffle deals postings out by bucket and a slice of the
-key: a term that stands in every document is spread over all slices.  Nothing but statistics of the query's own terms
+A document's runs of equal tokens are counted inside its row, so a single shuffle deals postings out by groups of buckets and
+slices of the key: a term that stands in every document is spread over all slices.  Nothing but statistics of the query's own terms
 reaches the driver.
 """
 
@@ -30,8 +30,8 @@ from quillspark.operators.stored import Conflict, Folder
 
 #: Lower bounds of the bands as shares of the largest impact a posting can have.
 BANDS = (0.75, 0.5, 0.25, 0.0)
-BUCKETS, SLICES = 16, 4
-STATISTICS, FORMAT = "statistics.json", 3
+BUCKETS, SLICES, GROUPS = 16, 4, 4
+STATISTICS, FORMAT = "statistics.json", 4
 
 
 def impact(tf: Column, dl: Column, mean: float) -> Column:
@@ -49,17 +49,18 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def runs(tokens: Column, buckets: int) -> Column:
-    """array<struct(bucket, term, tf, positions)> of a row's tokens, without a shuffle."""
-    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+def runs(tokens: Column, positions: bool) -> Column:
+    """array<struct(term, tf[, positions])> of a row's tokens, without a shuffle."""
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))) if positions else tokens)
+    term = lambda s, i: F.get(s, i)["t"] if positions else F.get(s, i)
 
     def folded(s):
-        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["t"] != F.get(s, i - 1)["t"]))
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (term(s, i) != term(s, i - 1)))
 
         def run(heads_):
             end = lambda j: F.coalesce(F.get(heads_, j + 1), F.size(s))
-            places = lambda h, j: F.transform(F.slice(s, h + 1, end(j) - h), lambda x: x["i"])
-            return F.transform(heads_, lambda h, j: F.struct((F.crc32(F.get(s, h)["t"]) % buckets).cast("int").alias("bucket"), F.get(s, h)["t"].alias("term"), (end(j) - h).alias("tf"), places(h, j).alias("positions")))
+            places = lambda h, j: [F.transform(F.slice(s, h + 1, end(j) - h), lambda x: x["i"]).alias("positions")] if positions else []
+            return F.transform(heads_, lambda h, j: F.struct(term(s, h).alias("term"), (end(j) - h).alias("tf"), *places(h, j)))
 
         return stems.once(heads, run)
 
@@ -78,6 +79,7 @@ class Index:
     kind: str
     buckets: int
     fold: bool
+    positions: bool
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> "Index":
@@ -120,19 +122,30 @@ class Index:
         return rows.select(self.key, "term", "tf", "dl", *(["positions"] if positions else []), "band")
 
 
-def build(docs: DataFrame, folder: str, key: str = "doc_id", fields=("text",), buckets: int = BUCKETS, fold: bool = False) -> Index:
-    """Write the index of the joined fields of all rows; null texts count as documents without terms."""
+def build(docs: DataFrame, folder: str, key: str = "doc_id", fields=("text",), buckets: int = BUCKETS, fold: bool = False, positions: bool = False) -> Index:
+    """Write the index of the joined fields of all rows; null texts count as documents without terms.
+
+    Without ``positions`` it is smaller and can't answer phrases.
+    """
     spark = docs.sparkSession
     tokens = tx.tokens(F.concat_ws(" ", *fields), fold)
     words = spread(docs.select(key, *fields)).select(key, tokens.alias("w"))
     # Bands only have to be about right: any typical length will do.
     typical = docs.limit(200).agg(F.avg(F.size(tokens))).first()[0] or 1.0
-    # A row for each document and bucket crosses the shuffle, its postings in an array: a fourth of what a row each would take.
-    found = words.select(key, F.size("w").alias("dl"), runs(F.col("w"), buckets).alias("p"))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.struct(b.alias("bucket"), F.filter("p", lambda x: x["bucket"] == b).alias("p")))
-    sent = found.select(key, "dl", F.explode(F.filter(parts, lambda x: F.size(x["p"]) > 0)).alias("x")).select(key, "dl", "x.*")
-    dealt = sent.repartition(buckets * SLICES, "bucket", F.pmod(F.xxhash64(key), F.lit(SLICES)))
-    dealt = dealt.select(key, "dl", "bucket", F.explode("p").alias("x")).select("x.term", key, "x.tf", "dl", "x.positions", "bucket")
+    # What crosses the shuffle is a row for each document and group of buckets, its terms, counts and places as three strings:
+    # tokens hold no blanks, and a dozen bytes a posting is a tenth of what a row for each would take.
+    numbers = lambda x: F.array_join(x["positions"].cast("array<string>"), ",")
+    joined = lambda p, f: F.array_join(F.transform(p, f), " ")
+    packed = lambda p: F.struct(joined(p, lambda x: x["term"]).alias("terms"), joined(p, lambda x: x["tf"].cast("string")).alias("tfs"), *([joined(p, numbers).alias("places")] if positions else []))
+    group = lambda p, g: F.filter(p, lambda x: F.crc32(x["term"]) % GROUPS == g)
+    parts = lambda p: F.array(*[F.struct(F.lit(g).alias("group"), stems.once(group(p, g), packed).alias("x")) for g in range(GROUPS)])
+    # Bound to a variable, so that the optimizer can't repeat the runs for each group.
+    sent = words.select(key, F.size("w").alias("dl"), F.explode(stems.once(runs(F.col("w"), positions), parts)).alias("y")).select(key, "dl", "y.group", "y.x.*").where("terms <> ''")
+    dealt = sent.repartition(buckets * SLICES, "group", F.pmod(F.xxhash64(key), F.lit(max(1, buckets * SLICES // GROUPS))))
+    fields_ = [F.split("terms", " ").alias("term"), F.split("tfs", " ").alias("tf"), *([F.split("places", " ").alias("places")] if positions else [])]
+    dealt = dealt.select(key, "dl", F.explode(F.arrays_zip(*fields_)).alias("x"))
+    places = F.split("x.places", ",").cast("array<int>") if positions else F.lit(None).cast("array<int>")
+    dealt = dealt.select("x.term", key, F.col("x.tf").cast("int").alias("tf"), "dl", places.alias("positions"), (F.crc32("x.term") % buckets).cast("int").alias("bucket"))
     share = impact(F.col("tf"), F.col("dl"), max(typical, 1.0)) / (se.K1 + 1)
     band = F.lit(len(BANDS) - 1)
     for i in reversed(range(len(BANDS) - 1)):
@@ -153,7 +166,7 @@ def build(docs: DataFrame, folder: str, key: str = "doc_id", fields=("text",), b
 
     deal(known, "term", "terms")
     deal(spark.read.schema(known.schema).parquet(f"{folder}/terms").select(stems.stem(F.col("term")).alias("stem"), "term"), "stem", "forms")
-    facts = {"n": n, "mean": mean, "key": key, "kind": docs.schema[key].dataType.simpleString(), "buckets": buckets, "fold": fold}
+    facts = {"n": n, "mean": mean, "key": key, "kind": docs.schema[key].dataType.simpleString(), "buckets": buckets, "fold": fold, "positions": positions}
     Folder(spark, folder).create(STATISTICS, json.dumps(facts))
     return Index.open(spark, folder)
 
@@ -167,18 +180,18 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:24]
 
 
-def ensure(spark: SparkSession, path: str, key: str = "doc_id", fields=("text",), fold: bool = False) -> Index:
+def ensure(spark: SparkSession, path: str, key: str = "doc_id", fields=("text",), fold: bool = False, positions: bool = False) -> Index:
     """The index of a Parquet table in the shared folder: built the first time, and again when the table's files have changed."""
-    name = hashlib.sha256(repr((FORMAT, fingerprint(spark, path), key, tuple(fields), fold)).encode()).hexdigest()[:16]
+    name = hashlib.sha256(repr((FORMAT, fingerprint(spark, path), key, tuple(fields), fold, positions)).encode()).hexdigest()[:16]
     base = f"{shared_folder(spark)}/quillspark-index"
     marks = Folder(spark, base)
     found = [n for n in marks.names() if n.startswith(f"{name}-") and Folder(spark, f"{base}/{n}").names(STATISTICS)]
     if found:
         return Index.open(spark, f"{base}/{found[0]}")
     try:
-        return build(spark.read.parquet(path), f"{base}/{name}-{uuid.uuid4().hex[:8]}", key, fields, fold=fold)
+        return build(spark.read.parquet(path), f"{base}/{name}-{uuid.uuid4().hex[:8]}", key, fields, fold=fold, positions=positions)
     except Conflict:  # pragma: no cover  the folder's name is new
-        return ensure(spark, path, key, fields, fold)
+        return ensure(spark, path, key, fields, fold, positions)
 
 
 def _idf(n: int, df: int) -> float:
@@ -262,6 +275,8 @@ def phrase(index: Index, words: str) -> DataFrame:
     wanted = se.tx_tokens(words, index.fold)
     if not wanted:
         raise ValueError("a phrase needs a word")
+    if not index.positions:
+        raise ValueError("the index was built without positions")
     rows = index.postings(sorted(set(wanted)), positions=True)
     # Each word's positions, moved back to the phrase's start; a start that all words share is a hit.
     at = {t: [i for i, w in enumerate(wanted) if w == t] for t in set(wanted)}

@@ -223,7 +223,7 @@ def embed_text(text: Column, dims: int = 64) -> Column:
     if dims < 1:
         raise ValueError("a vector needs a dimension")
     # Sorted bucket numbers; where each number ends gives the counts, one pass over the words.
-    numbers = F.sort_array(F.transform(tx.tokens(text), lambda x: F.pmod(F.xxhash64(x), F.lit(dims)).cast("int")))
+    numbers = F.sort_array(F.transform(tx.tokens(text), lambda x: (F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("int") % dims)))
     last = lambda ns: F.map_from_entries(F.filter(F.transform(ns, lambda n, i: F.when(F.coalesce(F.get(ns, i + 1), F.lit(-1)) != n, F.struct(n, (i + 1).alias("end")))), lambda x: x.isNotNull()))
 
     def counts(ends):

@@ -83,7 +83,9 @@ def link_extraction(spark, d):
     return rows.agg(F.count("*").alias("n_links"), F.count_distinct("href").alias("n_targets"))
 
 
-@query()
+@query(f"""WITH {_CANON}, l AS (SELECT DISTINCT url AS src, scheme, host, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS href FROM addr JOIN (SELECT page_id, scheme FROM canon) USING (page_id)),
+t AS (SELECT src, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END AS dst FROM (SELECT *, rtrim(url_decode(replace(split_part(split_part(split_part(href, '#', 1), '?', 1), ';', 1), '+', '%2B')), '/') AS path FROM l WHERE href LIKE '/%'))
+SELECT DISTINCT src, dst FROM t WHERE dst NOT IN (SELECT canonical_url FROM addr)""")
 def page_links(spark, d):
     p = table(spark, d, "pages")
     return pg.same_site(pg.links(p), p.select(urls.canonical(F.col("url")).alias("url")))
@@ -220,7 +222,7 @@ def json_search(spark, d):
     return e.select("event_id", jx.json_like(p).alias("json_like"), F.get_json_object("props", "$.k").cast("long").alias("k"), jx.search_udf(["7"], "values")(p)["score"].alias("value_score"), jx.search_udf(["K"], "keys")(p)["score"].alias("key_score"), jx.search_udf(["k"], "odd")(p)["score"].alias("no_mode"))
 
 
-@query()
+@query("""SELECT event_id, '{"id": ' || event_id || ', "name": "x", "flag": true}' AS cleaned FROM events""")
 def json_repair(spark, d):
     broken = F.concat(F.lit("Result: {'id': "), F.col("event_id"), F.lit(", name: 'x', flag: True,"))
     return table(spark, d, "events").select("event_id", jx.clean_json_udf(broken).alias("cleaned"))
@@ -257,7 +259,10 @@ def sentence_packing(spark, d):
     return rows.select("doc_id", "ordinal", F.md5("chunk").alias("chunk_md5"), "section_id")
 
 
-@query()
+@query("""WITH n AS (SELECT doc_id, text, len(regexp_extract_all(text, chr(10))) AS lines FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest([{'ordinal': 0, 'number': '1', 'title': 'First', 'content': trim(text, chr(10)), 'start_line': 2, 'path': ['1 First']},
+  {'ordinal': 1, 'number': '1.1', 'title': 'Part', 'content': 'x', 'start_line': 4 + lines, 'path': ['1 First', '1.1 Part']}, {'ordinal': 2, 'number': '2', 'title': 'Second', 'content': 'y', 'start_line': 6 + lines, 'path': ['2 Second']}], recursive := true) FROM n)
+SELECT doc_id, ordinal::INTEGER AS ordinal, number, title, content, start_line::INTEGER AS start_line, path, list_transform(path, lambda x: sha256(x)) AS hashes FROM s""")
 def section_split(spark, d):
     text = F.concat(F.lit("intro\n**1 First**\n"), F.col("text"), F.lit("\n**1.1 Part**\nx\n**2 Second**\n"), F.lit("y"))
     return ch.sections(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id")
@@ -395,9 +400,13 @@ def chunk_upsert(spark, d):
     return st.upsert(rows.limit(0), rows, "section_id", "last").select("doc_id", "section_id", "last")
 
 
-@query()
+@query(f"""WITH {LESSONS}, e AS (SELECT doc_id, trim(CASE WHEN trim(problem) = '' THEN '' ELSE trim(problem) || CASE WHEN trim(solution, ' ') = '' THEN '' ELSE chr(10) END END || trim(solution, ' ')) AS t FROM lessons),
+w AS (SELECT doc_id, list_transform(list_filter(string_split_regex(lower(t), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 7))::INT % 16) AS h FROM e),
+c AS (SELECT doc_id, CASE WHEN len(h) > 0 THEN list_transform(range(16), lambda i: len(list_filter(h, lambda x: x = i))::DOUBLE) END AS c FROM w)
+SELECT doc_id, list_transform(c, lambda x: round(x / sqrt(list_sum(list_transform(c, lambda y: y * y))), 6)) AS embedding FROM c""")
 def embedded_text(spark, d):
-    return lessons(spark, d).select("doc_id", se.embed_text(tx.embedding_text(F.col("problem"), F.col("solution")), 16).alias("embedding"))
+    made = se.embed_text(tx.embedding_text(F.col("problem"), F.col("solution")), 16)
+    return lessons(spark, d).select("doc_id", F.transform(made, lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query("""SELECT page_id, (contains(lower(html), 'react') OR contains(lower(html), 'vue') OR contains(lower(html), 'angular') OR contains(lower(html), 'svelte')

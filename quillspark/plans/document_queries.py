@@ -123,7 +123,7 @@ def table_quality(spark, d):
 @query()
 def bpe_token_counts(spark, d):
     """Tokens of each text by a byte-level vocabulary."""
-    return table(spark, d, "documents").select("doc_id", F.size(bpe.ids(F.col("text"), bpe.Vocabulary())).alias("n_tokens"))
+    return table(spark, d, "documents").select("doc_id", bpe.count(F.col("text"), bpe.Vocabulary()).alias("n_tokens"))
 
 
 @query()

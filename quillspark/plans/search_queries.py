@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as tx
 from quillspark.operators import pages as pg, postings as po, search as se, vectors as ve
+from quillspark.plans.data_queries import _CANON, _PATH
 from quillspark.plans.registry import LESSONS, lessons, query, table, words_sql
 
 TERMS = "apache license version mit"
@@ -60,7 +61,7 @@ def bm25_best(spark, d):
 n AS (SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license')) AS n FROM w)
 SELECT doc_id, n::BIGINT AS n FROM n WHERE n > 0""")
 def phrase_search(spark, d):
-    return po.phrase(_index(spark, d), "MIT License")
+    return po.phrase(po.ensure(spark, f"{d}/documents.parquet", positions=True), "MIT License")
 
 
 @query()
@@ -205,12 +206,22 @@ def select_headings(spark, d):
     return found.select("page_id", F.explode("snippets").alias("snippet"))
 
 
-@query()
+# The pages' markup is simple enough for patterns: no element stands in another of its kind.
+_TEXT = """regexp_replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')"""
+_ARTICLE = """regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '<[^>]*>', ' ', 'g')"""
+_PAGE_TEXT = "nullif(trim(" + _TEXT.format(f"regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) || ' ' || {_ARTICLE}") + "), '')"
+_LINKS = "list_filter(list_transform(regexp_extract_all(html, '<li><a[^>]*>([^<]*)</a>', 1), lambda x: trim(" + _TEXT.format("x") + ")), lambda x: x <> '')"
+_H1 = "trim(" + _TEXT.format("regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1)") + ")"
+
+
+@query(f"""WITH {_CANON}, t AS (SELECT page_id, url AS original_url, {_PATH} AS local_path, {_PAGE_TEXT} AS page_text, {_LINKS} AS links, trim({_TEXT.format(_ARTICLE)}) AS article, {_H1} AS h1 FROM addr),
+c AS (SELECT page_id, original_url, local_path, array_to_string(list_filter(links || [article, h1], lambda x: x <> ''), ' ... ') AS content FROM t WHERE contains(lower(page_text), 'the'))
+SELECT page_id, original_url, local_path, CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || '...' ELSE content END AS content_preview, 'article, li > a, h1' AS selector_matched FROM c ORDER BY page_id LIMIT 25""")
 def page_search(spark, d):
     return pg.search(table(spark, d, "pages"), ["the"], "article, li > a, h1", limit=25)
 
 
-@query()
+@query(f"SELECT page_id, {_PAGE_TEXT} AS page_text FROM pages")
 def page_text(spark, d):
     from quillspark.functions.html import page_text_udf
 

@@ -178,13 +178,15 @@ def test_an_index_finds_what_a_scan_finds(spark, tmp_path):
             found, bands = po.best(index, query, k)
             assert ranked(found) == ranked(po.bm25(index, query, k, threshold=0.0)), (query, k)
     assert po.best(index, "hot", 3)[1] != list(range(len(po.BANDS))), "the low bands of one term aren't read"
+    with pytest.raises(ValueError):
+        po.phrase(index, "hot")
     plan = index.postings(["hot"])._jdf.queryExecution().toString()
     assert "In(term" in plan or "EqualTo(term" in plan
 
 
 def test_phrases_and_stems(spark, tmp_path):
     docs = documents(spark)
-    index = po.build(docs, f"file://{tmp_path}/i", fields=("text", "more"), buckets=3)
+    index = po.build(docs, f"file://{tmp_path}/i", fields=("text", "more"), buckets=3, positions=True)
     rows = {r.doc_id: se.tx_tokens(f"{r.text or ''} {r.more or ''}") for r in docs.collect()}
     for words in ("a b", "a b a", "a a", "hot w1", "b b a", "w2"):
         w = words.split()
@@ -196,7 +198,7 @@ def test_phrases_and_stems(spark, tmp_path):
 
 
 def test_an_empty_index(spark, tmp_path):
-    index = po.build(documents(spark).limit(0), f"file://{tmp_path}/i")
+    index = po.build(documents(spark).limit(0), f"file://{tmp_path}/i", positions=True)
     assert po.bm25(index, "a").collect() == [] and po.best(index, "a")[0].collect() == [] and po.phrase(index, "a b").collect() == []
 
 
