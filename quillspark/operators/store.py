@@ -22,11 +22,20 @@ def get(table: DataFrame, key: str, value) -> DataFrame:
     return table.where(F.col(key) == value)
 
 
+def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of each key the last row by ``order``, then by the other columns: a partial aggregate, so a hot key is no hot task."""
+    rest = [c for c in rows.columns if c not in (key, order)]
+    if any(kind in rows.schema[c].dataType.simpleString() for c in rest for kind in ("map<", "variant")):  # these have no order
+        w = Window.partitionBy(key).orderBy(F.col(order).desc(), *[F.to_json(F.struct(c)).desc() for c in rest])
+        return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    last = F.max(F.struct(F.col(order), *rest)).alias("_last")
+    return rows.groupBy(key).agg(last).select(key, "_last.*").select(*rows.columns)
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Insert or replace: a key's changed row wins, of several the last by ``order``."""
     if order is not None:
-        w = Window.partitionBy(key).orderBy(F.col(order).desc(), *[F.col(c).desc() for c in changes.columns if c not in (key, order)])
-        changes = changes.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+        changes = last_of(changes, key, order)
     kept = table.join(changes.select(key).distinct(), key, "left_anti")
     return kept.select(*table.columns).unionByName(changes.select(*table.columns))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import bpe
 from quillspark.operators import chunks as ch, tables as tb
+from quillspark.operators.lineage import shared_folder
+from quillspark.operators.stored import StoredTable
 from quillspark.plans.registry import query, table
-from quillspark.sources import fetch
+from quillspark.sources import fetch, index as ix
 
 
 def _nested(spark, d):
@@ -120,6 +124,36 @@ def table_quality(spark, d):
     return tb.quality(rows).select("conv_id", "turn", F.round("quality", 6).alias("quality"))
 
 
+@query("""SELECT CASE WHEN contains(url, '#') THEN 'malformed' WHEN contains(url, '/de/') THEN 'invalid' WHEN contains(url, '.net') THEN 'not saved' WHEN contains(url, '?') THEN 'not searchable' ELSE 'searchable' END AS kind, count(*) AS n FROM pages GROUP BY kind""")
+def index_scan_jsonl(spark, d):
+    """The pages' index, appended as JSON lines to the shared folder and read back, broken lines and odd statuses included."""
+    u = lambda part: F.contains("url", F.lit(part))
+    record = F.to_json(
+        F.struct(
+            F.col("url").alias("original_url"),
+            F.when(u("?"), "a.css").otherwise("a.HTML").alias("local_path"),
+            F.when(u("/de/"), "odd").when(u(".net"), "failed_request").otherwise("success").alias("fetch_status"),
+        )
+    )
+    path = f"{shared_folder(spark)}/quillspark-index-lines/{uuid.uuid4().hex}"
+    table(spark, d, "pages").select(F.when(u("#"), F.concat(F.lit('{"original_url": '), "url")).otherwise(record).alias("value")).write.text(path)
+    return ix.scan_report(ix.read_index(spark, path))
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS r, count(*) OVER (PARTITION BY text) AS copies FROM documents)
+SELECT md5(text) AS section_id, doc_id AS last, source, copies > 1 AS replaced FROM n WHERE r = 1""")
+def stored_upsert(spark, d):
+    """Sections of all documents in a stored table: each section's first document, then, by key, its last one."""
+    rows = table(spark, d, "documents").where("text is not null").select(F.md5("text").alias("section_id"), F.col("doc_id").alias("last"), "source")
+    folder = f"{shared_folder(spark)}/quillspark-tables/{uuid.uuid4().hex}"
+    stored_ = StoredTable.create(spark, folder, "section_id string, last long, source string", "section_id", 16)
+    first = stored_.upsert(rows.withColumn("back", -F.col("last")), order="back", stream="sections", batch=0)
+    stored_.upsert(rows, order="last", stream="sections", batch=1)
+    stored_.upsert(rows.withColumn("source", F.lit("repeated")), order="last", stream="sections", batch=1)
+    before = stored_.read(first).select("section_id", F.col("last").alias("was"))
+    return stored_.read().join(before, "section_id").select("section_id", "last", "source", (F.col("last") != F.col("was")).alias("replaced"))
+
+
 @query()
 def bpe_token_counts(spark, d):
     """Tokens of each text by a byte-level vocabulary."""
