@@ -15,17 +15,20 @@ from quillspark.sources import fetch, index as ix
 
 
 def _nested(spark, d):
-    """Each conversation as nested blocks: a turn holds the next one."""
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("turn", "role", "text")))).alias("t"))
-    escaped = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("x"))), r'^\{"x":|\}$', "")
-    node = lambda x, inner: F.concat(F.lit('{"type":"'), x["role"], F.lit('","text":'), escaped(x["text"]), F.lit(',"children":['), inner, F.lit("]}"))
-    return turns.select("conv_id", F.aggregate("t", F.lit(""), lambda acc, x: node(x, acc)).alias("json"))
+    """Documents as nested blocks: lines, and in them what stands between full stops."""
+    block = lambda kind, text, *inner: F.struct(F.lit(kind).alias("type"), text.alias("text"), *inner)
+    parts = lambda line: F.transform(F.split(line, "[.]"), lambda s: block("part", s)).alias("children")
+    lines = F.transform(F.split("text", "\n"), lambda line: block("line", line, parts(line)))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.to_json(F.struct(F.lit("document").alias("type"), lines.alias("children"))).alias("json"))
 
 
-@query("""SELECT conv_id, (row_number() OVER w - 1)::INTEGER AS depth, role AS type, md5(text) AS text_md5 FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+p AS (SELECT doc_id, i, unnest(range(len(x))) AS j, unnest(x) AS part FROM (SELECT doc_id, i, string_split(line, '.') AS x FROM l))
+SELECT doc_id, '' AS path, 0 AS depth, 'document' AS type, NULL AS text_md5 FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, i::VARCHAR, 1, 'line', md5(line) FROM l UNION ALL SELECT doc_id, i || ',' || j, 2, 'part', md5(part) FROM p""")
 def nested_nodes(spark, d):
-    found = tb.nodes(_nested(spark, d), "conv_id", most_depth=1000)
-    return found.select("conv_id", "depth", "type", F.md5("text").alias("text_md5"))
+    found = tb.nodes(_nested(spark, d), "doc_id")
+    return found.select("doc_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("path"), "depth", "type", F.md5("text").alias("text_md5"))
 
 
 _READINGS = """a AS (SELECT conv_id AS page, turn AS id, (turn * 7)::DOUBLE AS x1, (length(text) % 50)::DOUBLE AS y1, (turn * 7 + 5 + length(text) % 11)::DOUBLE AS x2, (length(text) % 50 + 20)::DOUBLE AS y2 FROM conversations),
