@@ -141,7 +141,9 @@ def build(docs: DataFrame, folder: str, key: str = "doc_id", fields=("text",), b
     parts = lambda p: F.array(*[F.struct(F.lit(g).alias("group"), stems.once(group(p, g), packed).alias("x")) for g in range(GROUPS)])
     # Bound to a variable, so that the optimizer can't repeat the runs for each group.
     sent = words.select(key, F.size("w").alias("dl"), F.explode(stems.once(runs(F.col("w"), positions), parts)).alias("y")).select(key, "dl", "y.group", "y.x.*").where("terms <> ''")
-    dealt = sent.repartition(buckets * SLICES, "group", F.pmod(F.xxhash64(key), F.lit(max(1, buckets * SLICES // GROUPS))))
+    # As many parts as the table has splits, so that a part grows with neither the table nor a term.
+    parts_ = max(buckets * SLICES, docs.rdd.getNumPartitions())
+    dealt = sent.repartition(parts_, "group", F.pmod(F.xxhash64(key), F.lit(parts_ // GROUPS)))
     fields_ = [F.split("terms", " ").alias("term"), F.split("tfs", " ").alias("tf"), *([F.split("places", " ").alias("places")] if positions else [])]
     dealt = dealt.select(key, "dl", F.explode(F.arrays_zip(*fields_)).alias("x"))
     places = F.split("x.places", ",").cast("array<int>") if positions else F.lit(None).cast("array<int>")
