@@ -34,8 +34,9 @@ def markdown_code(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.select(key, F.posexplode(mx.rows_udf(mx.markdown_chunks, mx.CHUNK)(F.col(text))).alias("ordinal", "c")).select(key, "ordinal", "c.*")
 
 
-def rst_code(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    return docs.select(key, F.posexplode(mx.rows_udf(mx.rst_blocks, mx.RST)(F.col(text))).alias("ordinal", "c")).select(key, "ordinal", "c.*")
+def rst_code(docs: DataFrame, key: str, text: str = "text", most: int | None = 50 * 1024) -> DataFrame:
+    """Code of reStructuredText; texts over ``most`` bytes have none, with None all are read."""
+    return docs.select(key, F.posexplode(mx.rows_udf(lambda t: mx.rst_blocks(t, most), mx.RST)(F.col(text))).alias("ordinal", "c")).select(key, "ordinal", "c.*")
 
 
 def html_code(docs: DataFrame, key: str, selectors, html: str = "html") -> DataFrame:
