@@ -114,6 +114,13 @@ def test_long_license_text(spark):
     assert (got.n_words, got.n_base, got.first_word, got.last_word) == (9000, 3000, 1, 8998)
 
 
+def test_license_query_takes_its_contract_s_phrases(spark, tmp_path):
+    texts = ["MIT License", "under the MIT-License", "Licensed under the mit license, not under mit license", "under the Apache License, Version 2", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r)[1:7] for r in licenses.query(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == [(2, 0, None, None, "", "mit"), (4, 1, 0, 0, "mit", "mit"), (9, 1, 1, 1, "mit", "mit"), (6, 1, 2, 2, "apache-2", "apache-2"), (0, 0, None, None, "", "")]
+
+
 # Fingerprints
 
 
