@@ -6,7 +6,7 @@ opens a few folders and skips other terms' row groups.  ``terms`` (term, df, top
 largest impact in every band, ``forms`` (stem, term) the terms of each stem, both by hash.  The statistics file is written
 last: an index without it isn't there.
 
-A document's runs of equal tokens are counted inside its row, so a single shuffle deals postings out by groups of buckets and
+Equal tokens of a batch of documents are counted before the shuffle, which deals postings out by groups of terms and
 slices of the key: a term that stands in every document is spread over all slices.  Nothing but statistics of the query's own terms
 reaches the driver.
 """
@@ -18,8 +18,12 @@ import json
 import math
 import uuid
 import zlib
+from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +35,9 @@ from quillspark.operators.stored import Conflict, Folder
 #: Lower bounds of the bands as shares of the largest impact a posting can have.
 BANDS = (0.75, 0.5, 0.25, 0.0)
 BUCKETS, SLICES, GROUPS = 16, 4, 4
-STATISTICS, FORMAT = "statistics.json", 4
+#: Bytes of text whose postings a part holds, about.
+PART_BYTES = 32 << 20
+STATISTICS, FORMAT = "statistics.json", 5
 
 
 def impact(tf: Column, dl: Column, mean: float) -> Column:
@@ -49,22 +55,107 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def runs(tokens: Column, positions: bool) -> Column:
-    """array<struct(term, tf[, positions])> of a row's tokens, without a shuffle."""
-    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))) if positions else tokens)
-    term = lambda s, i: F.get(s, i)["t"] if positions else F.get(s, i)
-
-    def folded(s):
-        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (term(s, i) != term(s, i - 1)))
-
-        def run(heads_):
-            end = lambda j: F.coalesce(F.get(heads_, j + 1), F.size(s))
-            places = lambda h, j: [F.transform(F.slice(s, h + 1, end(j) - h), lambda x: x["i"]).alias("positions")] if positions else []
-            return F.transform(heads_, lambda h, j: F.struct(term(s, h).alias("term"), (end(j) - h).alias("tf"), *places(h, j)))
-
-        return stems.once(heads, run)
-
-    return F.when(F.size(tokens) > 0, stems.once(placed, folded))
+def _flat(column):
+    """The items of all lists of a column, in one array."""
+    flat = pc.list_flatten(column)
+    return flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+
+
+def _heads(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    new = np.zeros(len(sorted_[0]), bool)
+    new[:1] = True
+    for x in sorted_:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _checksums(words: pa.Array) -> np.ndarray:
+    """``crc32`` of each word's bytes, read where they lie."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, offsets, data = words.buffers()
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    ends, view = np.frombuffer(offsets, kind)[words.offset : words.offset + len(words) + 1].tolist(), memoryview(data)
+    return np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(ends, ends[1:])), np.int64, len(words))
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return values[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
+
+
+def counted(batch: pa.RecordBatch, slices: int, positions: bool) -> pa.RecordBatch | None:
+    """The postings of a batch of rows (key, slice, tokens): a row for each part, in which a term stands once before its documents."""
+    keys, sliced, tokens = (batch.column(i) for i in range(3))
+    size, flat = pc.list_value_length(tokens).to_numpy().astype(np.int64), _flat(tokens)
+    if not len(flat):
+        return None
+    coded = flat.dictionary_encode()
+    words, n = coded.dictionary, len(coded.dictionary)
+    at = np.repeat(np.arange(len(size)) * n, size) + coded.indices.to_numpy()
+    order = np.argsort(at, kind="stable") if positions else None
+    at = np.sort(at) if order is None else at[order]
+    first = _heads(at)
+    tf = np.diff(np.append(first, len(at)))
+    row, code = at[first] // n, at[first] % n
+    part = (_checksums(words) % GROUPS)[code] * slices + sliced.to_numpy()[row]
+    by = np.argsort(part * n + code, kind="stable")
+    part, code, row, tf, first = part[by], code[by], row[by], tf[by], first[by]
+    entry, parts = _heads(part, code), _heads(part)
+    lists = lambda starts, values: pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+    columns = [
+        pa.array(part[parts], pa.int32()),
+        lists(np.searchsorted(entry, parts), words.take(pa.array(code[entry]))),
+        lists(np.searchsorted(entry, parts), pa.array(np.diff(np.append(entry, len(code))), pa.int32())),
+        lists(parts, keys.take(pa.array(row))),
+        lists(parts, pa.array(tf, pa.int32())),
+        lists(parts, pa.array(size[row], pa.int32())),
+    ]
+    if positions:
+        places = (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size))[order]
+        columns.append(lists((np.cumsum(tf) - tf)[parts], pa.array(_gathered(places, first, tf), pa.int32())))
+    return pa.RecordBatch.from_arrays(columns, names=["part", "term", "times", "key", "tf", "dl", *(["places"] if positions else [])])
+
+
+def merged(rows: pa.Table, typical: float, buckets: int, positions: bool):
+    """A part's postings (term, key, tf, dl, positions, bucket, band) by bucket, band and term, in batches."""
+    coded = _flat(rows["term"]).dictionary_encode()
+    words = coded.dictionary
+    rank = np.empty(len(words), np.int64)
+    rank[pc.array_sort_indices(words).to_numpy()] = np.arange(len(words))
+    code = np.repeat(coded.indices.to_numpy().astype(np.int64), _flat(rows["times"]).to_numpy())
+    keys, tf, dl = _flat(rows["key"]), _flat(rows["tf"]).to_numpy(), _flat(rows["dl"]).to_numpy()
+    share = tf / (tf + se.K1 * (1 - se.B + se.B * dl / typical))
+    band = sum((share < low).astype(np.int32) for low in BANDS[:-1])
+    bucket = (_checksums(words) % buckets).astype(np.int32)[code]
+    order = np.argsort((bucket * len(BANDS) + band) * np.int64(len(words)) + rank[code], kind="stable")
+    places, start = (_flat(rows["places"]).to_numpy(), np.cumsum(tf, dtype=np.int64) - tf) if positions else (None, None)
+    for i in range(0, len(order), 1 << 15):
+        o = order[i : i + (1 << 15)]
+        found = pa.nulls(len(o), pa.list_(pa.int32()))
+        if positions:
+            ends = np.concatenate(([0], np.cumsum(tf[o])))
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_gathered(places, start[o], tf[o]), pa.int32()))
+        yield pa.RecordBatch.from_arrays(
+            [words.take(pa.array(code[o])), keys.take(pa.array(o)), pa.array(tf[o]), pa.array(dl[o]), found, pa.array(bucket[o]), pa.array(band[o])],
+            names=["term", "key", "tf", "dl", "positions", "bucket", "band"],
+        )
+
+
+@contextmanager
+def settings(spark: SparkSession, **values):
+    """Settings of the session while something is written."""
+    names = {k: f"spark.sql.{k.replace('__', '.')}" for k in values}
+    before = {n: spark.conf.get(n, None) for n in names.values()}
+    try:
+        for k, v in values.items():
+            spark.conf.set(names[k], v)
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
 @dataclass
@@ -128,34 +219,35 @@ def build(docs: DataFrame, folder: str, key: str = "doc_id", fields=("text",), b
     Without ``positions`` it is smaller and can't answer phrases.
     """
     spark = docs.sparkSession
-    tokens = tx.tokens(F.concat_ws(" ", *fields), fold)
-    words = spread(docs.select(key, *fields)).select(key, tokens.alias("w"))
+    joined = F.concat_ws(" ", *fields)
+    tokens = tx.tokens(joined, fold)
     # Bands only have to be about right: any typical length will do.
-    typical = docs.limit(200).agg(F.avg(F.size(tokens))).first()[0] or 1.0
-    # What crosses the shuffle is a row for each document and group of buckets, its terms, counts and places as three strings:
-    # tokens hold no blanks, and a dozen bytes a posting is a tenth of what a row for each would take.
-    numbers = lambda x: F.array_join(x["positions"].cast("array<string>"), ",")
-    joined = lambda p, f: F.array_join(F.transform(p, f), " ")
-    packed = lambda p: F.struct(joined(p, lambda x: x["term"]).alias("terms"), joined(p, lambda x: x["tf"].cast("string")).alias("tfs"), *([joined(p, numbers).alias("places")] if positions else []))
-    group = lambda p, g: F.filter(p, lambda x: F.crc32(x["term"]) % GROUPS == g)
-    parts = lambda p: F.array(*[F.struct(F.lit(g).alias("group"), stems.once(group(p, g), packed).alias("x")) for g in range(GROUPS)])
-    # Bound to a variable, so that the optimizer can't repeat the runs for each group.
-    sent = words.select(key, F.size("w").alias("dl"), F.explode(stems.once(runs(F.col("w"), positions), parts)).alias("y")).select(key, "dl", "y.group", "y.x.*").where("terms <> ''")
-    # As many parts as the table has splits, so that a part grows with neither the table nor a term.
-    parts_ = max(buckets * SLICES, docs.rdd.getNumPartitions())
-    dealt = sent.repartition(parts_, "group", F.pmod(F.xxhash64(key), F.lit(parts_ // GROUPS)))
-    fields_ = [F.split("terms", " ").alias("term"), F.split("tfs", " ").alias("tf"), *([F.split("places", " ").alias("places")] if positions else [])]
-    dealt = dealt.select(key, "dl", F.explode(F.arrays_zip(*fields_)).alias("x"))
-    places = F.split("x.places", ",").cast("array<int>") if positions else F.lit(None).cast("array<int>")
-    dealt = dealt.select("x.term", key, F.col("x.tf").cast("int").alias("tf"), "dl", places.alias("positions"), (F.crc32("x.term") % buckets).cast("int").alias("bucket"))
-    share = impact(F.col("tf"), F.col("dl"), max(typical, 1.0)) / (se.K1 + 1)
-    band = F.lit(len(BANDS) - 1)
-    for i in reversed(range(len(BANDS) - 1)):
-        band = F.when(share >= BANDS[i], i).otherwise(band)
-    dealt = dealt.withColumn("band", band).sortWithinPartitions("bucket", "band", "term", key)
-    dealt.write.option("compression", "zstd").partitionBy("bucket", "band").parquet(f"{folder}/postings")
-
-    n = docs.count()
+    typical = max(docs.limit(200).agg(F.avg(F.size(tokens))).first()[0] or 1.0, 1.0)
+    facts = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(joined)).alias("size")).first()
+    n = facts["n"]
+    # A part is a group of terms and a slice of the keys: their number follows the bytes of the texts, so that a part grows with neither the table nor a term.
+    slices = max(SLICES, math.ceil((facts["size"] or 0) / PART_BYTES / GROUPS))
+    kind = docs.schema[key].dataType.simpleString()
+    words = spread(docs.select(key, *fields)).select(F.col(key).alias("key"), F.pmod(F.xxhash64(key), F.lit(slices)).cast("int").alias("slice"), tokens.alias("w"))
+
+    def count_all(batches):
+        for batch in batches:
+            out = counted(batch, slices, positions)
+            if out is not None:
+                yield out
+
+    def merge_all(batches):
+        rows = list(batches)
+        if rows:
+            yield from merged(pa.Table.from_batches(rows), typical, buckets, positions)
+
+    sent = words.mapInArrow(count_all, f"part int, term array<string>, times array<int>, key array<{kind}>, tf array<int>, dl array<int>" + (", places array<int>" if positions else ""))
+    dealt = sent.repartitionById(GROUPS * slices, "part").mapInArrow(merge_all, f"term string, key {kind}, tf int, dl int, positions array<int>, bucket int, band int")
+    dealt = dealt.withColumnRenamed("key", key)
+    # Parts come sorted: with a writer for each folder, Spark needn't sort them again.
+    with settings(spark, execution__arrow__maxBytesPerBatch=4 << 20, maxConcurrentOutputFileWriters=buckets * len(BANDS) + 1):
+        dealt.write.option("compression", "zstd").partitionBy("bucket", "band").parquet(f"{folder}/postings")
+
     written = spark.read.schema(dealt.schema).parquet(f"{folder}/postings")
     mean = (written.agg(F.sum("tf")).first()[0] or 0) / max(n, 1) or 1.0
     own = impact(F.col("tf"), F.col("dl"), mean)
@@ -168,8 +260,8 @@ def build(docs: DataFrame, folder: str, key: str = "doc_id", fields=("text",), b
 
     deal(known, "term", "terms")
     deal(spark.read.schema(known.schema).parquet(f"{folder}/terms").select(stems.stem(F.col("term")).alias("stem"), "term"), "stem", "forms")
-    facts = {"n": n, "mean": mean, "key": key, "kind": docs.schema[key].dataType.simpleString(), "buckets": buckets, "fold": fold, "positions": positions}
-    Folder(spark, folder).create(STATISTICS, json.dumps(facts))
+    kept = {"n": n, "mean": mean, "key": key, "kind": kind, "buckets": buckets, "fold": fold, "positions": positions}
+    Folder(spark, folder).create(STATISTICS, json.dumps(kept))
     return Index.open(spark, folder)
 
 

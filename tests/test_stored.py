@@ -202,6 +202,17 @@ def test_an_empty_index(spark, tmp_path):
     assert po.bm25(index, "a").collect() == [] and po.best(index, "a")[0].collect() == [] and po.phrase(index, "a b").collect() == []
 
 
+def test_parts_of_the_index_follow_the_bytes_of_the_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(po, "PART_BYTES", 200)
+    docs = spark.range(400).selectExpr("id doc_id", "concat('the w', id % 7, ' the \u00e9t\u00e9 w', id) text")
+    index = po.build(docs, f"file://{tmp_path}/i", positions=True)
+    rows = spark.read.parquet(f"{tmp_path}/i/postings")
+    spread = rows.withColumn("part", F.regexp_extract(F.input_file_name(), "part-([0-9]+)", 1)).groupBy("part").count()
+    assert rows.count() == 400 * 4 - 7
+    assert spread.agg(F.max("count")).first()[0] < 200
+    assert {r.doc_id for r in po.phrase(index, "the \u00e9t\u00e9").collect()} == set(range(400))
+
+
 def test_an_index_follows_its_table(spark, tmp_path):
     path = f"file://{tmp_path}/docs"
     spark.createDataFrame([(1, "one fish")], "doc_id long, text string").write.parquet(path)
