@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import html as hx, jsontext as jx, markdown as mx, text as tx, urls
+from quillspark.functions.arrow import bound_batches
 from quillspark.functions.code import valid_language_udf
 
 
@@ -18,6 +19,7 @@ def scan(pages: DataFrame, keywords, html: str = "html") -> DataFrame:
     words = tx.clean_keywords(keywords)
     if not words:
         return pages.limit(0)
+    bound_batches(pages.sparkSession)
     plain = [w for w in words if w.isascii() and w.isalnum()]
     rows = pages.where(tx.contains_all(F.col(html), plain) | F.contains(html, F.lit("&"))) if plain else pages
     return rows.withColumn("page_text", hx.page_text_udf(F.col(html))).where(tx.contains_all(F.col("page_text"), words))
@@ -25,6 +27,7 @@ def scan(pages: DataFrame, keywords, html: str = "html") -> DataFrame:
 
 def extract(pages: DataFrame, selector: str, html: str = "html", keywords=None) -> DataFrame:
     """Texts of the selected elements as ``snippets``, on request only those with all keywords."""
+    bound_batches(pages.sparkSession)
     out = pages.withColumn("snippets", hx.selected_udf(selector)(F.col(html)))
     if tx.clean_keywords(keywords):
         out = out.withColumn("snippets", F.filter("snippets", lambda s: tx.contains_all(s, keywords)))
@@ -45,6 +48,7 @@ def search(pages: DataFrame, scan_keywords, selector: str, extract_keywords=None
 
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst): followable links in absolute, canonical form, each once a page."""
+    bound_batches(pages.sparkSession)
     raw = pages.select(F.col(url).alias("src"), F.explode(hx.links_udf(F.col(html))).alias("href")).where(urls.followable(F.col("href")))
     absolute = raw.select("src", urls.joined(F.col("src"), F.col("href")).alias("to")).where(F.col("to").rlike("^https?://"))
     return absolute.select("src", urls.canonical(F.col("to")).alias("dst")).distinct()
@@ -58,6 +62,7 @@ def same_site(links_: DataFrame, visited: DataFrame, url: str = "url") -> DataFr
 
 def blocks(pages: DataFrame, content: str = "html", kind: str = "html") -> DataFrame:
     """Content blocks of HTML or Markdown, one row each, with their ordinal."""
+    bound_batches(pages.sparkSession)
     f = hx.html_blocks if kind == "html" else mx.markdown_blocks
     return pages.select("*", F.posexplode(mx.rows_udf(f, mx.BLOCK)(F.col(content))).alias("ordinal", "block")).drop(content).select("*", "block.*").drop("block")
 
