@@ -135,6 +135,32 @@ def _is_subsequence(s, b):
     return all(c in it for c in s)
 
 
+def test_a_page_s_tree_goes_with_its_text():
+    import gc
+
+    page = "<body><article><h1>a</h1><ul><li><a href='x'>b</a><p>c</ul></article></body>"
+    gc.collect()
+    gc.disable()
+    try:
+        for f in (hx.page_text, hx.links, lambda h: hx.selected_texts(h, "h1")):
+            assert f(page)
+        assert not [x for x in gc.get_objects() if isinstance(x, hx.Node)]
+    finally:
+        gc.enable()
+
+
+def test_partial_ratios_align_only_what_can_reach_the_least(spark, monkeypatch):
+    words, texts = ["licensed", "that", "it was agreed upon by all"], [None, "", "licens", "licensed under", "tha", "at that", "it was agreed upon by al", "he said it was agreed upon by all of us", "it was agred upon by all of them"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    for w in words:
+        for least in (97.0, 60.0):
+            want = [0.0 if t is None else (s if (s := fuzzy.partial_ratio(w, t)) >= least else 0.0) for t in texts]
+            assert [r[0] for r in rows.select("t", fuzzy.partial_udf(w, least)(F.col("t")).alias("s")).select("s").collect()] == want
+    seen = rows.select(fuzzy.partial_udf("that", 97.0)(F.concat(F.col("t"), F.repeat(F.lit("x"), 5000))).alias("s"))
+    plan = seen._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (NOT Contains" in plan.split("ArrowEvalPython", 1)[1]  # long texts stay outside the workers
+
+
 def test_partial_ratio():
     assert fuzzy.partial_ratio("cat", "the cat sat") == 100
     assert fuzzy.partial_ratio("", "") == 100 and fuzzy.partial_ratio("", "x") == 0
