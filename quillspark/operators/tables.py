@@ -32,10 +32,14 @@ def overlapping(left: DataFrame, right: DataFrame, threshold: float, key: str =
         joined = rows[0].join(rows[1], "p")
     else:
         away = _levels(rows, threshold)
-        (a_home, a_away), (b_home, b_away) = ((_cells(r, c, 0, 0), _cells(r, c, 1, away)) for r, c in zip(rows, "ab", strict=True))
+        a_home, b_home = (_cells(r, c, 0, 0) for r, c in zip(rows, "ab", strict=True))
         # A pair meets in the grid of the larger box, where at least one of the two is at home.
         on = ["p", "grid", "cx", "cy"]
-        joined = a_home.join(b_home.unionAll(b_away), on).unionByName(a_away.join(b_home, on))
+        if away:
+            a_away, b_away = (_cells(r, c, 1, away) for r, c in zip(rows, "ab", strict=True))
+            joined = a_home.join(b_home.unionAll(b_away), on).unionByName(a_away.join(b_home, on))
+        else:
+            joined = a_home.join(b_home, on)
         side = F.pow(F.lit(2.0), F.col("grid"))
         corner = lambda c: F.floor(F.greatest(F.col(f"a.{c}").cast("double"), F.col(f"b.{c}").cast("double")) / side)
         joined = joined.where((corner("x1") == F.col("cx")) & (corner("y1") == F.col("cy")))
@@ -55,15 +59,12 @@ def _levels(rows: list[DataFrame], threshold: float) -> int:
     """How many grids two boxes with an IoU above the threshold can be apart.
 
     The intersection is at most min(w) * min(h), so min(w) > t * max(w), and the same for heights: larger sides differ by 1 / t
-    at most.  Small thresholds are bounded by the sizes that occur, one row of an aggregate.
+    at most.  The sizes that occur, one row of an aggregate, are a second bound: boxes of one size need their own grid alone.
     """
-    most = math.ceil(math.log2(1 / threshold)) if threshold > 0 else None
-    if most is not None and most <= 4:
-        return max(1, most)
     homes = rows[0].select(_home("a").alias("h")).unionAll(rows[1].select(_home("b").alias("h")))
     low, high = homes.agg(F.min("h"), F.max("h")).first()
-    span = 1 if low is None else max(1, high - low)
-    return span if most is None else min(span, most)
+    span = 0 if low is None else high - low
+    return min(span, max(1, math.ceil(math.log2(1 / threshold)))) if threshold > 0 else span
 
 
 def _cells(boxes: DataFrame, box: str, first: int, last: int) -> DataFrame:

@@ -117,6 +117,13 @@ def test_a_full_page_does_not_list_all_pairs(spark):
     assert tb.overlapping(boxes, boxes, 0.5).count() == n
 
 
+def test_boxes_of_one_size_stay_in_their_own_grid(spark):
+    boxes = spark.range(60).selectExpr("id % 3 page", "id", "named_struct('x1', id * 2.0D, 'y1', 1.0D, 'x2', id * 2.0D + 15, 'y2', 21.0D) bbox")
+    found = tb.overlapping(boxes, boxes, 0.1)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # no second one for boxes of other grids
+    assert found.count() == sum(a % 3 == b % 3 and (i := max(0, 15 - 2 * abs(a - b)) * 20) / (600 - i) > 0.1 for a in range(60) for b in range(60))
+
+
 def test_readings_confirm_each_other(spark):
     a = spark.createDataFrame([(1, 1, (0.0, 0.0, 10.0, 10.0)), (1, 2, (50.0, 0.0, 60.0, 10.0)), (2, 3, (0.0, 0.0, 10.0, 10.0))], BOX)
     b = spark.createDataFrame([(1, 7, (0.0, 0.0, 10.0, 9.0)), (1, 8, (0.0, 0.0, 10.0, 9.0)), (2, 9, (5.0, 5.0, 30.0, 30.0))], BOX)
