@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import bpe, html as hx, markdown as mx, text as tx
+from quillspark.functions.arrow import bound_batches
 from quillspark.functions.markdown import pack
 
 
@@ -23,11 +24,11 @@ def packed(docs: DataFrame, key: str, text: str = "text", most: int = 500, vocab
     if vocabulary is None:
         rows = docs.select(key, F.posexplode(pack(sentence, tx.token_count, most)).alias("ordinal", "chunk"))
         return rows.select(key, "ordinal", "chunk", tx.token_count(F.col("chunk")).alias("n_tokens"), F.sha2("chunk", 256).alias("section_id"))
+    bound_batches(docs.sparkSession)
     counted = docs.select(key, sentence.alias("s")).withColumn("n", bpe.counts(F.col("s"), vocabulary))
-    counted = counted.select(key, F.map_from_entries(F.array_distinct(F.arrays_zip("s", "n"))).alias("known"), pack(F.arrays_zip("s", "n"), lambda x: x["n"], most, lambda x: x["s"]).alias("chunks"))
-    rows = counted.select(key, "known", F.posexplode("chunks").alias("ordinal", "chunk"))
-    total = F.aggregate(F.filter(F.split("chunk", "\n"), lambda s: s != ""), F.lit(0), lambda n, s: n + F.coalesce(F.element_at("known", s), F.lit(0)))
-    return rows.select(key, "ordinal", "chunk", total.alias("n_tokens"), F.sha2("chunk", 256).alias("section_id"))
+    chunks = pack(F.arrays_zip("s", "n"), lambda x: F.coalesce(x["n"], F.lit(0)), most, lambda x: x["s"], counted=True)
+    rows = counted.select(key, F.posexplode(chunks).alias("ordinal", "c"))
+    return rows.select(key, "ordinal", "c.chunk", F.col("c.n").alias("n_tokens"), F.sha2("c.chunk", 256).alias("section_id"))
 
 
 def markdown_code(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

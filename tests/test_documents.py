@@ -117,6 +117,16 @@ def test_a_full_page_does_not_list_all_pairs(spark):
     assert tb.overlapping(boxes, boxes, 0.5).count() == n
 
 
+def test_packing_doesn_t_look_sentences_up_again(spark):
+    vocabulary = bpe.Vocabulary()
+    docs = spark.range(2).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 3000), i -> concat('Word ', i % 1000, '.'))) text")
+    out = ch.packed(docs, "doc_id", most=50, vocabulary=vocabulary)
+    assert "map_from_entries" not in out._jdf.queryExecution().optimizedPlan().toString()  # a map's keys are searched one by one
+    got = out.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("most")).collect()
+    want = sum(len(vocabulary.ids(b"Word")) + len(vocabulary.ids(f" {i % 1000}".encode())) + len(vocabulary.ids(b".")) for i in range(1, 3001))
+    assert [r.most <= 50 for r in got] == [True, True] and len({r.n for r in got}) == 1 and abs(got[0].n - want) <= 3000
+
+
 def test_boxes_of_one_size_stay_in_their_own_grid(spark):
     boxes = spark.range(60).selectExpr("id % 3 page", "id", "named_struct('x1', id * 2.0D, 'y1', 1.0D, 'x2', id * 2.0D + 15, 'y2', 21.0D) bbox")
     found = tb.overlapping(boxes, boxes, 0.1)
