@@ -299,36 +299,71 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
+#: So many levels of nested JSON are made in one pass.
+LEVELS = 8
+
+
 def nodes(documents: DataFrame, key: str, json: str = "json", children: str = "children", most_depth: int = 1000) -> DataFrame:
     """(key, path, parent, depth, type, text) of the nodes of nested JSON, to any depth.
 
-    The text is parsed to a variant, and each level of children is one more ``variant_explode`` over the level above.
-    Every eighth level is settled, so that neither plans nor recomputation grow with the depth; a level costs a small job that
-    asks whether it has rows.  ``path`` is the list of places from the top, ``parent`` the path above.  Malformed text has no
-    nodes; nesting deeper than ``most_depth`` is an error.  (A recursive query would stop at a million rows.)
+    The text is parsed to a variant once, and each level of children is one more ``posexplode`` in the same pass, which hands on
+    the nodes above as they are.  How many levels there can be is told by their schemas, an aggregate of one row.
+    Texts with more than eight levels go on from those that were reached, which are settled, so that neither plans nor
+    recomputation grow with the depth.  ``path`` is the list of places from the top, ``parent`` the path above.  Malformed text
+    has no nodes; nesting deeper than ``most_depth`` is an error.  (A recursive query would stop at a million rows.)
     """
     from quillspark.operators.lineage import settled
 
-    spark = documents.sparkSession
-    level = documents.select(F.col(key).alias("k"), F.array().cast("array<int>").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
-    below, found = f"variant_get(v, '$.{children}')", []
-    while True:
-        found.append(level)
-        listed = level.where(f"schema_of_variant({below}) like 'ARRAY%'")
-        level = spark.sql(f"SELECT k, array_append(path, c.pos) AS path, c.value AS v FROM {{listed}}, LATERAL variant_explode({below}) c", listed=listed)
-        if len(found) % 8 == 0:
-            level = settled(level)
-        if level.isEmpty():
-            break
-        if len(found) > most_depth:
-            raise ValueError(f"nested deeper than {most_depth}")
-    string = lambda name: F.expr(f"try_variant_get(v, '$.{name}', 'string')").alias(name)
-    rows = [x.select("k", "path", F.size("path").alias("depth"), string("type"), string("text")) for x in found]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionAll(r)
-    parent = F.when(F.col("depth") > 0, F.slice("path", F.lit(1), F.col("depth") - 1))
-    return out.select(F.col("k").alias(key), "path", parent.alias("parent"), "depth", "type", "text")
+    top, most, depth = _parsed(documents.select(F.col(key).alias("k"), F.col(json).alias("j"))), min(LEVELS, most_depth), 0
+    levels = nesting(F.col("v"), LEVELS)
+    deepest = top.agg(F.max(levels)).first()[0] or 0
+    found = [_below(top if deepest <= most else top.where(levels <= most), children, min(deepest, most))]
+    if deepest > most:
+        top = top.where(levels > most)
+        while True:
+            steps = min(LEVELS, most_depth + 1 - depth)
+            reached, depth = _below(top, children, steps), depth + steps
+            found.append(reached.where(F.size("path") < depth))
+            top = settled(reached.where(F.size("path") == depth))
+            if top.isEmpty():
+                break
+            if depth > most_depth:
+                raise ValueError(f"nested deeper than {most_depth}")
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionAll(rows)
+    depth = F.size("path")
+    parent = F.when(depth > 0, F.slice("path", F.lit(1), depth - 1))
+    return out.select(F.col("k").alias(key), "path", parent.alias("parent"), depth.alias("depth"), *[F.coalesce(_string(c), F.col(c)).alias(c) for c in ("type", "text")])
+
+
+def nesting(v: Column, most: int) -> Column:
+    """How deep a variant's arrays are nested at most, by its schema; ``most`` + 1 where fields differ so that the schema hides some."""
+    schema = F.schema_of_variant(v)
+    return F.when(F.contains(schema, F.lit("VARIANT")), most + 1).otherwise(F.size(F.split(schema, "ARRAY<")) - 1)
+
+
+def _parsed(texts: DataFrame) -> DataFrame:
+    """The top nodes of texts, open: their variant isn't taken apart yet.  A generator keeps the text from being parsed twice."""
+    v = F.explode(F.array(F.try_parse_json("j"))).alias("v")
+    none = F.lit(None).cast("string")
+    return texts.select("k", v).where("v is not null").select("k", F.array().cast("array<int>").alias("path"), "v", none.alias("type"), none.alias("text"))
+
+
+def _string(name: str) -> Column:
+    return F.expr(f"try_variant_get(v, '$.{name}', 'string')")
+
+
+def _below(rows: DataFrame, children: str, steps: int) -> DataFrame:
+    """The rows and so many levels below them; those of the last level stay open."""
+    for _ in range(steps):
+        # Place 0 is the node itself, closed: its strings are read and its variant goes.
+        listed = f"coalesce(try_variant_get(v, '$.{children}', 'array<variant>'), array())"
+        rows = rows.select("*", F.posexplode(F.expr(f"concat(array(cast(null as variant)), {listed})")).alias("at", "child"))
+        own = lambda c: F.when(F.col("at") == 0, F.coalesce(F.col(c), _string(c))).alias(c)
+        path = F.when(F.col("at") == 0, F.col("path")).otherwise(F.array_append("path", F.col("at") - 1))
+        rows = rows.select("k", path.alias("path"), F.col("child").alias("v"), own("type"), own("text"))
+    return rows
 
 
 def fallback(*readings: Column) -> Column:

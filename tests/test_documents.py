@@ -204,6 +204,42 @@ def test_nested_blocks_to_any_depth(spark):
     assert sorted((r.doc_id, r.type) for r in got if not r.depth) == sorted((w[0], w[4]) for w in want if not w[3])
 
 
+def test_nested_blocks_read_their_documents_twice_at_most(spark):
+    """Once for the number of levels, once for the nodes; each level used to read and parse them again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = [(i, json.dumps({"type": "d", "text": "[a]]", "children": [{"text": "b", "children": [{"text": None}, None]}, None]})) for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, json string").mapInArrow(counted, "doc_id long, json string")
+    got = tb.nodes(df, "doc_id").collect()
+    assert read.value <= 2 * len(docs)
+    want = [([], None, "d", "[a]]"), ([0], [], None, "b"), ([0, 0], [0], None, None), ([0, 1], [0], None, None), ([1], [], None, None)]
+    assert sorted((r.doc_id, r.path, r.parent, r.type, r.text) for r in got) == [(i, *w) for i in range(10) for w in want]
+
+
+def test_nested_blocks_of_different_kinds_and_too_deep(spark):
+    def chain(n):
+        return {"text": "0"} if n == 0 else {"text": str(n), "children": [chain(n - 1)]}
+
+    docs = {1: chain(8), 2: chain(9), 3: chain(17), 4: {"children": [{"children": "none"}, {"children": [1]}, [2, [3]]]}, 5: [], 6: None, 7: chain(2)}
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in docs.items()] + [(8, "[")], "doc_id long, json string")
+    got = {}
+    for r in tb.nodes(df, "doc_id").collect():
+        got.setdefault(r.doc_id, []).append(tuple(r.path))
+    assert {i: sorted(p) for i, p in got.items()} == {
+        **{i: [(0,) * j for j in range(n + 1)] for i, n in ((1, 8), (2, 9), (3, 17), (7, 2))},
+        4: [(), (0,), (1,), (1, 0), (2,)], 5: [()], 6: [()],
+    }
+    assert tb.nodes(df, "doc_id", most_depth=17).count() == sum(map(len, got.values()))
+    for depth in (16, 8, 3):
+        with pytest.raises(ValueError):
+            tb.nodes(df, "doc_id", most_depth=depth)
+
+
 # Fetching
 
 
