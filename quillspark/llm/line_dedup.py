@@ -47,18 +47,40 @@ PLACE = ["id", "th", "at"]
 
 def _words(line: Column) -> Column:
     """The words of a line; one empty string where it has none."""
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for space in ("  ", *"\t\n\x0b\x0c\r"):
+        odd = odd | F.contains(line, F.lit(space))
+    # Most lines have single blanks alone between words: a plain split, without the regular expression.
+    return F.when(odd, F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+
+
+def hashes(line: Column) -> Column:
+    """The hashes of a line's words."""
+    return F.transform(_words(line), lambda w: F.xxhash64(w))
+
+
+def _few(h: Column, k: int) -> Column:
+    return (F.size(h) < k) | (F.get(h, F.lit(0)) == F.xxhash64(F.lit("")))
+
+
+def _starts(h: Column, k: int) -> Column:
+    return F.slice(h, F.lit(1), F.size(h) - (k - 1))
+
+
+def _gram(h: Column, x: Column, i: Column, k: int) -> Column:
+    return F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
+
+
+def _whole(h: Column, k: int, short: bool) -> Column:
+    """The tokens of a line of few words."""
+    none = F.array().cast("array<bigint>")
+    return F.when(F.get(h, F.lit(0)) == F.xxhash64(F.lit("")), none).otherwise(F.array(F.xxhash64(h, F.size(h)))) if short else none
 
 
 def tokens(line: Column, k: int, short: bool = False) -> Column:
     """The hashes of a lower-cased line's k-word shingles, repeated ones included; fewer words make none, or one if short."""
-    hashed = F.transform(_words(line), lambda w: F.xxhash64(w))
-    gram = lambda h: lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
-    grams = lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - (k - 1)), gram(h))
-    none = F.array().cast("array<bigint>")
-    blank = lambda h: F.get(h, F.lit(0)) == F.xxhash64(F.lit(""))
-    few = lambda h: F.when(blank(h), none).otherwise(F.array(F.xxhash64(h, F.size(h)))) if short else none
-    return let(hashed, lambda h: F.when((F.size(h) < k) | blank(h), few(h)).otherwise(grams(h)))
+    grams = lambda h: F.transform(_starts(h, k), lambda x, i: _gram(h, x, i, k))
+    return let(hashes(line), lambda h: F.when(_few(h, k), _whole(h, k, short)).otherwise(grams(h)))
 
 
 def judged(line: Column, k: int, short: bool) -> Column:
@@ -71,10 +93,21 @@ def _lines(rows: DataFrame, k: int, short: bool) -> DataFrame:
     return rows.select("id", "th", F.posexplode(F.split("lowered", "\n")).alias("at", "line")).where(judged(F.col("line"), k, short))
 
 
+def _bucket(token: Column) -> Column:
+    return token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
 def rarity_classes(rows: DataFrame, k: int, short: bool = False) -> list[int]:
-    """The class of each hash bucket over all lines."""
-    token = _lines(rows, k, short).select(F.explode(tokens(F.col("line"), k, short)).alias("t"))
-    counts = token.groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")).count()
+    """The class of each hash bucket over all lines.
+
+    Only counts are wanted here, so shingles are hashed as rows behind an explode, in generated code, and not in an array.
+    """
+    h = F.col("h")
+    lines = _lines(rows, k, short).select(hashes(F.col("line")).alias("h"))
+    starts = lines.select("h", F.posexplode(F.when(_few(h, k), _whole(h, k, short)).otherwise(_starts(h, k))).alias("i", "x"))
+    gram = _gram(h, F.col("x"), F.col("i"), k)
+    token = starts.select((F.when(_few(h, k), F.col("x")).otherwise(gram) if short else gram).alias("t"))
+    counts = token.groupBy(_bucket(F.col("t")).alias("bucket")).count()
     out = [0] * BUCKETS
     for bucket, n in counts.collect():  # BUCKETS rows at most
         out[bucket] = min(127, 1 + int(4 * math.log2(n)))
@@ -84,9 +117,9 @@ def rarity_classes(rows: DataFrame, k: int, short: bool = False) -> list[int]:
 def ranked(line: Column, k: int, classes: list[int], short: bool = False) -> Column:
     """A line's distinct tokens in order of rarity; class and hash packed in one long."""
     table = F.from_json(F.lit(json.dumps(classes)), "array<int>")  # a constant of the plan
-    place = lambda t: F.get(table, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-    key = lambda t: F.shiftleft(place(t), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit(_MASK)))
-    return F.sort_array(F.array_distinct(F.transform(tokens(line, k, short), key)))
+    key = lambda t: F.shiftleft(F.get(table, _bucket(t)).cast("long"), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit(_MASK)))
+    # No key is null, but Spark doesn't know; told so, it sorts longs and no objects.
+    return F.sort_array(F.array_distinct(F.transform(tokens(line, k, short), lambda t: F.coalesce(key(t), F.lit(0).cast("long")))))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, short: bool = False, drop_emptied: bool = False) -> DataFrame:

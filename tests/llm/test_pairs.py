@@ -1,6 +1,7 @@
 """Similarity joins and near-duplicate operators against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillspark.llm import components as cc, line_dedup, ngram_join as nj, suffix_dedup as sd, textkit as tk, vector_dedup as vd
 
@@ -311,3 +313,22 @@ def test_merged_intervals(strings, shard):
         by_interval.setdefault(i, set()).add(name)
         by_content.setdefault(name, set()).add(i)
     assert all(len(v) == 1 for v in (*by_interval.values(), *by_content.values()))
+
+
+def test_lines_are_ranked_without_nulls_and_counted_like_their_tokens(spark):
+    """Keys that may be null are sorted as objects; odd blanks don't change a line's words."""
+    lines = ["a b c d e f", " a  b\tc d\x0be f\r", "a b c d e f\x0c", "x y", "  ", "", "A b c d e f g", "a b c d e a b c d e a b c d e"]
+    rows = spark.createDataFrame([(1, 1, "\n".join(lines))], "id long, th long, lowered string")
+    for short in (False, True):
+        made = line_dedup._lines(rows, 5, short).select("at", line_dedup.tokens(F.col("line"), 5, short).alias("t"))
+        counts = [0] * line_dedup.BUCKETS
+        for r in made.collect():
+            for t in r.t:
+                counts[t & (line_dedup.BUCKETS - 1)] += 1
+        got = line_dedup.rarity_classes(rows, 5, short)
+        assert got == [min(127, 1 + int(4 * math.log2(n))) if n else 0 for n in counts]
+        ranked = made.sparkSession.createDataFrame(list(enumerate(lines)), "at long, line string").select("at", line_dedup.ranked(F.col("line"), 5, got, short).alias("r"))
+        assert not ranked.schema["r"].dataType.containsNull
+        sets = {r.at: r.r for r in ranked.collect()}
+        assert sets[0] == sets[1] == sets[2] and len(sets[0]) == 2 and len(sets[7]) == 5 and all(s == sorted(set(s)) for s in sets.values())
+        assert [len(sets[i]) for i in (3, 4, 5)] == [int(short), 0, 0]
