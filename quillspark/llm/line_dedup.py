@@ -35,6 +35,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.fingerprint import let
 from quillspark.llm.shared import Table, free, materialize
@@ -68,13 +69,13 @@ def _starts(h: Column, k: int) -> Column:
 
 
 def _gram(h: Column, x: Column, i: Column, k: int) -> Column:
-    return F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])
+    return F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]).bitwiseAND(F.lit(_MASK))
 
 
 def _whole(h: Column, k: int, short: bool) -> Column:
     """The tokens of a line of few words."""
-    none = F.array().cast("array<bigint>")
-    return F.when(F.get(h, F.lit(0)) == F.xxhash64(F.lit("")), none).otherwise(F.array(F.xxhash64(h, F.size(h)))) if short else none
+    none = F.array().cast(T.ArrayType(T.LongType(), False))
+    return F.when(F.get(h, F.lit(0)) == F.xxhash64(F.lit("")), none).otherwise(F.array(F.xxhash64(h, F.size(h)).bitwiseAND(F.lit(_MASK)))) if short else none
 
 
 def tokens(line: Column, k: int, short: bool = False) -> Column:
@@ -117,7 +118,7 @@ def rarity_classes(rows: DataFrame, k: int, short: bool = False) -> list[int]:
 def ranked(line: Column, k: int, classes: list[int], short: bool = False) -> Column:
     """A line's distinct tokens in order of rarity; class and hash packed in one long."""
     table = F.from_json(F.lit(json.dumps(classes)), "array<int>")  # a constant of the plan
-    key = lambda t: F.shiftleft(F.get(table, _bucket(t)).cast("long"), HASH_BITS).bitwiseOR(t.bitwiseAND(F.lit(_MASK)))
+    key = lambda t: F.shiftleft(F.get(table, _bucket(t)).cast("long"), HASH_BITS).bitwiseOR(t)
     # No key is null, but Spark doesn't know; told so, it sorts longs and no objects.
     return F.sort_array(F.array_distinct(F.transform(tokens(line, k, short), lambda t: F.coalesce(key(t), F.lit(0).cast("long")))))
 
@@ -146,27 +147,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = keyed.groupBy("k1", "k2", "n").agg(F.min("place").alias("place"), F.first("prefix").alias("prefix"))
     firsts = materialize(firsts.select(F.monotonically_increasing_id().alias("line"), "place.*", "n", "prefix"), "firsts")
 
-    # Tokens that stand in two lines or more, by partial aggregates, and the index of these.
+    # Tokens that stand in two lines or more, and the index of these with the lines' places.  Most tokens stand in one
+    # line, so they are counted where they are dealt to: partial aggregates wouldn't make fewer rows.
     index = firsts.select("line", F.shiftleft(F.col("n").cast("long"), 32).alias("n"), F.posexplode("prefix").alias("i", "token"))
-    index = index.select("token", "line", F.col("n").bitwiseOR(F.col("i").cast("long")).alias("ni"))
+    index = index.select("token", "line", F.col("n").bitwiseOR(F.col("i").cast("long")).alias("ni")).repartition("token")
     several = index.groupBy("token").agg(F.count("*").alias("lines")).where("lines > 1").select("token")
-    met_table = Table(index.join(several, "token"), "met")
-    met = met_table.df
+    met = index.join(several.hint("shuffle_hash"), "token").join(firsts.select("line", *PLACE), "line")
+    met = met.select("token", F.struct(*PLACE, "line", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("i")).alias("b"))
+    met_table = Table(met, "met")
+    own = met_table.df
     free(spark)
 
-    wanted = firsts.select("line", *PLACE).join(met.select("line").distinct(), "line")
-    wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "line")).alias("wanted"))  # the lines of one text
+    wanted = own.groupBy("b.id", "b.th").agg(F.collect_set(F.struct("b.at", "b.line")).alias("wanted"))  # the lines of one text
     fetched = rows.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
     # A text is split once, before its lines are exploded.
-    line = lambda lines: lambda w: F.struct(w["line"].alias("line"), w["at"].alias("at"), F.get(lines, w["at"]).alias("words"))
-    fetched = fetched.select("id", "th", F.explode(let(F.split("lowered", "\n"), lambda lines: F.transform("wanted", line(lines)))).alias("w"))
-    fetched = fetched.select("w.line", "id", "th", "w.at", ranked(F.col("w.words"), k, classes, short).alias("tokens"))
+    line = lambda lines: lambda w: F.struct(w["line"].alias("line"), F.get(lines, w["at"]).alias("words"))
+    fetched = fetched.select(F.explode(let(F.split("lowered", "\n"), lambda lines: F.transform("wanted", line(lines)))).alias("w"))
+    fetched = fetched.select("w.line", F.array_distinct(tokens(F.col("w.words"), k, short)).alias("tokens"))  # in any order
     fetched_table = Table(fetched, "fetched")
     fetched = fetched_table.df
     free(spark)
 
-    own = met.join(fetched.select("line", *PLACE), "line")
-    own = own.select("token", F.struct(*PLACE, "line", F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("i")).alias("b"))
     place = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in PLACE])
     both = F.col("a.n") + F.col("b.n")
     overlap = F.ceil(both * F.lit(num) / F.lit(num + den))
@@ -199,7 +200,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = firsts.select("line", *PLACE).join(covered, "line", "left_anti")
     kept = kept.groupBy("id", "th").agg(F.collect_list("at").alias("quill_kept")).withColumnsRenamed({"id": "quill_id", "th": "quill_th"})
     joined = docs.withColumns({"quill_key": key["id"], "quill_hash": key["th"]})
-    joined = joined.join(kept, (F.col("quill_key") == F.col("quill_id")) & (F.col("quill_hash") == F.col("quill_th")), "left")
+    joined = joined.join(kept.hint("shuffle_hash"), (F.col("quill_key") == F.col("quill_id")) & (F.col("quill_hash") == F.col("quill_th")), "left")
     if drop_emptied:  # tested on the text as it was: a test of what is left would be pushed below and repeat the work
         joined = joined.where(F.col("quill_kept").isNotNull() | F.coalesce(~judged(text, k, short), F.lit(True)))
     joined = joined.withColumn("quill_lines", F.split(text, "\n"))

@@ -315,6 +315,21 @@ def test_merged_intervals(strings, shard):
     assert all(len(v) == 1 for v in (*by_interval.values(), *by_content.values()))
 
 
+def test_lines_of_the_index_get_their_places_once(spark, monkeypatch):
+    """The index holds the places, so that no later join fetches them again; the verified sets are neither ranked nor boxed."""
+    made, table = {}, line_dedup.Table
+    monkeypatch.setattr(line_dedup, "Table", lambda df, name: made.setdefault(name, table(df, name)))
+    rows = [(i, f"a b c d e f g h i j k l m n o p q r s t u v w x y{i}") for i in range(4)] + [(9, "p q r s t u")]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in out.collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 9: 0}
+    assert made["met"].df.columns == ["token", "b"] and made["met"].df.select("b.*").columns == ["id", "th", "at", "line", "n", "i"]
+    assert made["fetched"].df.columns == ["line", "tokens"]
+    for short in (False, True):
+        sets = spark.createDataFrame([("a b c d e f",), ("a b",), (" ",)], "line string").select(line_dedup.tokens(F.col("line"), 5, short).alias("t"))
+        assert not sets.select(F.array_distinct("t").alias("t")).schema["t"].dataType.containsNull
+        assert all(0 <= t < 1 << line_dedup.HASH_BITS for r in sets.collect() for t in r.t)
+
+
 def test_lines_are_ranked_without_nulls_and_counted_like_their_tokens(spark):
     """Keys that may be null are sorted as objects; odd blanks don't change a line's words."""
     lines = ["a b c d e f", " a  b\tc d\x0be f\r", "a b c d e f\x0c", "x y", "  ", "", "A b c d e f g", "a b c d e a b c d e a b c d e"]
