@@ -330,6 +330,22 @@ def test_lines_of_the_index_get_their_places_once(spark, monkeypatch):
         assert all(0 <= t < 1 << line_dedup.HASH_BITS for r in sets.collect() for t in r.t)
 
 
+def test_only_lines_that_can_have_a_partner_are_counted_and_ranked(spark, monkeypatch):
+    """Lines that share no token of their prefixes are settled by hash alone; whole texts aren't split for the counts of tokens."""
+    counted, classes = [], line_dedup._classes
+    monkeypatch.setattr(line_dedup, "_classes", lambda token: counted.append(token.count()) or classes(token))
+    monkeypatch.setattr(line_dedup, "rarity_classes", None)
+    passage = " ".join(f"p{i}" for i in range(12))
+    lone = [" ".join(f"w{i}_{j}" for j in range(30)) for i in range(40)]
+    rows = [(i, line) for i, line in enumerate(lone)] + [(100 + i, f"{passage} {' '.join(f'x{j}' for j in range(20))} y{i}") for i in range(3)]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect() if r.n_removed} == {101, 102}
+    assert counted == [3 * 29]
+    # A passage that stands in many lines, by hash in the prefixes of some: still no line is lost.
+    rows = [(i, f"{line} {passage}") for i, line in enumerate(lone)] + [(200 + i, f"{line} {passage} z") for i, line in enumerate(lone[:5])]
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == line_brute(rows)
+
+
 def test_lines_are_ranked_without_nulls_and_counted_like_their_tokens(spark):
     """Keys that may be null are sorted as objects; odd blanks don't change a line's words."""
     lines = ["a b c d e f", " a  b\tc d\x0be f\r", "a b c d e f\x0c", "x y", "  ", "", "A b c d e f g", "a b c d e a b c d e a b c d e"]
