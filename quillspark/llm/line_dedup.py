@@ -169,7 +169,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Lines that can have a partner: those with a token of the prefix by hash in common with another.  Most tokens stand
     # in one line, so they are counted where they are dealt to: partial aggregates wouldn't make fewer rows.
     index = firsts.where("line is not null").select("line", F.explode("prefix").alias("token")).repartition("token")
-    likely = index.join(several(index, "line"), "token").select("line").distinct()
+    likely = materialize(index.join(several(index, "line"), "token").select("line").distinct(), "likely")
+    free(spark)  # the index's shuffle files go before those of the texts come
     wanted = firsts.select("line", *PLACE).join(likely, "line")
     wanted = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("at", "line")).alias("wanted"))  # the lines of one text
     fetched = rows.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"])
