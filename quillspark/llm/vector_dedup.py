@@ -16,6 +16,10 @@ c is a distance of sqrt(2 - 2c).
 * *Hot lists.*  A list is cut into blocks of members, and the queries of a list into slices; a
   task gets one block and one slice.  Each task returns a count for each query and a spanning
   forest of its links, never the pairs.
+* *Joins.*  Spark estimates rows by the bytes of compressed files, doesn't see that an explode of
+  probes makes up to ``LISTS`` rows of one, and counts an array as one element.  So vectors,
+  members and probes aren't joined by that estimate: of these joins only the sizes of the lists
+  are broadcast, after they were counted.
 
 Equal vectors of one label form one representative whose multiplicity enters the counts.
 Vectors that are null, empty, zero or hold null or non-finite components, and those with a
@@ -35,6 +39,8 @@ from quillspark.llm.shared import bound_batches, materialize
 
 TRAIN_ROWS, LISTS, CODEWORDS, SUBSPACES, ROUNDS = 4096, 64, 64, 8, 8
 BLOCK, SLICE = 2048, 4096
+#: A table of so many lists at most is sent to every task; a longer one is joined by shuffles.
+SENT_LISTS = 50_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -156,6 +162,33 @@ def _compare(quantisers, cosine: float):
     return run
 
 
+def _train(reps: DataFrame, rows: int) -> np.ndarray:
+    """The vectors of the lowest hashes; a task sends no vector to the driver that isn't among them."""
+    hashed = reps.select(F.xxhash64("rep").alias("h"), "v")
+    lowest = hashed.select("h").orderBy("h").limit(rows).collect()
+    kept = hashed.where(F.col("h") <= lowest[-1]["h"]).orderBy("h").limit(rows).select("v").collect()
+    return np.array([x["v"] for x in kept])
+
+
+def list_sizes(coded: DataFrame) -> DataFrame:
+    """(label, dim, list, blocks, slices) of each list that has members; a vector probes its own list too."""
+    asked = coded.select("label", "dim", F.col("list").alias("own"), F.explode("probes").alias("list"))
+    sizes = asked.groupBy("label", "dim", "list").agg(
+        F.ceil(F.count_if(F.col("own") == F.col("list")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / SLICE).cast("int").alias("slices")
+    )
+    return materialize(sizes.where("blocks > 0"), "sizes")
+
+
+def dealt(coded: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members (role 0) and queries (role 1) of every list, one row for each block and slice they meet in."""
+    key = ["label", "dim", "list"]
+    sizes = F.broadcast(sizes) if sizes.count() <= SENT_LISTS else sizes.hint("merge")
+    asked = coded.select("rep", "label", "dim", "v", F.explode("probes").alias("list"))
+    base = coded.join(sizes, key).select(*key, F.pmod(F.hash("rep"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "rep", "times", "code", "error", "v", F.lit(0).alias("role"))
+    query = asked.join(sizes, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("rep"), "slices").alias("slice"), "rep", F.lit(0).cast("long").alias("times"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"), "v", F.lit(1).alias("role"))
+    return base.unionByName(query)
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.98, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row; links are cosines of at least ``cosine``."""
     spark = vectors.sparkSession
@@ -171,31 +204,24 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # Equal vectors share a group: their text form, hashed with 256 bits, is the key.
     keyed = good.select("id", "label", F.sha2(F.to_json(F.struct("e")), 256).alias("same"), F.transform("s", lambda x: x / F.col("norm")).alias("v"))
     groups = keyed.groupBy("label", "same").agg(F.min("id").alias("rep"), F.count("*").alias("times"))
-    member = materialize(keyed.select("id", "label", "same").join(groups, ["label", "same"]).select("id", "rep", "times"), "members")
-    reps = keyed.join(groups.select("label", "same", "rep", "times"), ["label", "same"]).where("id = rep").dropDuplicates(["label", "same"]).select("rep", "label", "times", "v")
+    member = materialize(keyed.select("id", "label", "same").join(groups.hint("merge"), ["label", "same"]).select("id", "rep", "times"), "members")
+    reps = keyed.join(groups.hint("merge"), ["label", "same"]).where("id = rep").dropDuplicates(["label", "same"]).select("rep", "label", "times", "v")
     reps = materialize(reps, "representatives")
 
     quantisers = {}
     for row in reps.groupBy(F.size("v").alias("dim")).count().collect():  # as many rows as lengths
-        sample = reps.where(F.size("v") == row["dim"]).orderBy(F.xxhash64("rep")).limit(train_rows).select("v").collect()
-        quantisers[row["dim"]] = Quantiser(np.array([x["v"] for x in sample]))
+        quantisers[row["dim"]] = Quantiser(_train(reps.where(F.size("v") == row["dim"]), train_rows))
 
     coded = materialize(
         reps.mapInPandas(_assign(quantisers, cosine), "rep long, label " + reps.schema["label"].dataType.simpleString() + ", times long, dim int, list int, probes array<int>, code binary, error double, v array<double>"),
         "coded",
     )
-    key = ["label", "dim", "list"]
-    asked = coded.select("rep", "label", "dim", "v", F.explode("probes").alias("list"))
-    sizes = coded.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(
-        asked.groupBy(*key).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")), key
-    )
-    base = coded.join(sizes, key).select(*key, F.pmod(F.hash("rep"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "rep", "times", "code", "error", "v", F.lit(0).alias("role"))
-    query = asked.join(sizes, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.hash("rep"), "slices").alias("slice"), "rep", F.lit(0).cast("long").alias("times"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error"), "v", F.lit(1).alias("role"))
-    found = base.unionByName(query).groupBy(*key, "block", "slice").applyInPandas(_compare(quantisers, cosine), "rep long, other long, links long")
+    pairs = dealt(coded, list_sizes(coded)).groupBy("label", "dim", "list", "block", "slice")
+    found = pairs.applyInPandas(_compare(quantisers, cosine), "rep long, other long, links long")
     found = materialize(found, "found")
     counts = found.where("rep = other").groupBy("rep").agg(F.sum("links").alias("links"))
     named = components(found.where("rep <> other").select(F.col("rep").alias("u"), F.col("other").alias("v")))
-    info = member.join(counts, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left").select(
+    info = member.join(counts.hint("merge"), "rep", "left").join(named.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "rep").alias("component")
     )
     info = info.groupBy("id").agg(F.max("links").alias("links"), F.min("component").alias("component"))

@@ -172,6 +172,28 @@ def test_near_vectors(spark, monkeypatch, block):
     assert vd.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+@pytest.mark.parametrize("sent", [50_000, 0])
+def test_probed_lists_are_never_broadcast(spark, monkeypatch, sent):
+    """Spark takes the rows of the exploded probes for fewer bytes than they are, and the sizes of the lists for more as soon as a
+    part of them is broadcast; the sizes go to every task if they are few."""
+    plans = {}
+
+    def seen(df, name, write=vd.materialize):
+        df.collect()  # joins are chosen anew while it runs
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    rows = spark.createDataFrame(vectors(), "vec_id long, embedding array<double>, label int")
+    want = sorted(vd.near_vectors(rows).collect())
+    monkeypatch.setattr(vd, "materialize", seen)
+    monkeypatch.setattr(vd, "SENT_LISTS", sent, raising=False)
+    monkeypatch.setattr(vd, "SLICE", 64)
+    assert sorted(vd.near_vectors(rows).collect()) == want
+    assert "BuildLeft" not in plans["found"] and "Broadcast" not in plans["members"] + plans["representatives"]
+    joins = re.findall(r"(Broadcast\w+Join|SortMergeJoin|ShuffledHashJoin) \[.*", plans["found"])
+    assert set(joins) == {"BroadcastHashJoin" if sent else "SortMergeJoin"}
+
+
 def line_brute(rows, k=5, num=80, den=100):
     lines = [(i, at, x) for i, t in rows if t is not None for at, x in enumerate(t.split("\n"))]
     sets = {}
