@@ -185,6 +185,13 @@ def test_page_text():
     assert hx.page_text("") is None and hx.page_text("<script>x</script>") is None
 
 
+def test_names_without_a_semicolon_stand_for_no_character():
+    page = '<title>a&amp b</title><body><h1>und&&amp;&amp</h1><p class="x&amp y" title="&lt">&lt &copy; &copy2 &notit; &quot;&#38 &#x26; &ampamp; R&D & é&eacute;\ufdd0&\ufdd0</p><a href="?a=1&amp;b=2&copy;&amp">&gt</a></body>'
+    assert hx.page_text(page) == 'a&amp b und&&&amp &lt © &copy2 &notit; "& & &ampamp; R&D & éé\ufdd0&\ufdd0 &gt'
+    assert hx.selected_texts(page, "h1") == ["und&&&amp"] and hx.selected_texts("<script>if (a&lt) b&&c;</script>", "script") == ["if (a&lt) b&&c;"]
+    assert hx.links(page) == ["?a=1&b=2©&"] and hx.selected_texts(page, "p[title='<']") == hx.selected_texts(page, "p")
+
+
 @pytest.mark.parametrize(
     ("selector", "expected"),
     [
