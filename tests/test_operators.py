@@ -181,6 +181,14 @@ def test_links(pages):
     assert [tuple(r) for r in pg.links(pages).collect()] == [("https://e.com/3", "https://e.com/1")]
 
 
+
+def test_headings_with_references(spark):
+    heads = ["the&&amp;&amp", "the&amp Ly", "a &lt; b &amp;lt; c", "t = &quot;0cf"]
+    pages = spark.createDataFrame([(i, f"<body><h1>{x}</h1><p>&amp</p></body>") for i, x in enumerate(heads)], "page_id long, html string")
+    got = {r.page_id: r.snippets for r in pg.extract(pages, "h1").collect()}
+    assert got == {0: ["the&&&amp"], 1: ["the&amp Ly"], 2: ["a < b &lt; c"], 3: ['t = "0cf']}
+
+
 def test_block_search(spark):
     md = "Text about json config\n\n```python\ndef config(): return 1\n```\n\n```json\n{\"config\": {\"deep\": 1}}\n```\n\n```python\ndef broken( config\n```\n"
     blocks = pg.blocks(spark.createDataFrame([(1, md)], "doc_id long, text string"), "text", "markdown")
